@@ -20,20 +20,20 @@ from .common import stored
 
 K, SCALE = 20, 64.0
 BLOCK, BATCH = 8192, 1024
-#: First depth in the lists; it doubles each round.
-DEPTH = 32
+#: First depth in the lists; it grows by DEEPER each round.
+DEPTH, DEEPER = 32, 4
 
 
 def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its index, ids and scores of its k best of the block, best first.  `own`: the query's own row.
 
-    Integer vectors; products are exact: in doubles while they stay below 2**53, else in 64-bit integers.
+    Integer vectors; products are exact: in floats while they stay below 2**24, doubles below 2**53, else 64-bit integers.
     """
     n, d = vectors.shape
     most = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, d)
-    kind = np.float64 if most < 2**53 else np.int64
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
     v, q = vectors.astype(kind), queries.astype(kind)
-    order = np.argsort(v, axis=0, kind="stable").T.copy()  # by dimension, ascending
+    order = np.argsort(v, axis=0, kind="stable").T.astype(np.int32)  # by dimension, ascending
     lists = np.take_along_axis(v, order.T, 0)  # depth, dimension
     seen = np.zeros(n, bool)
     for i in range(len(q)):
@@ -43,24 +43,23 @@ def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarr
         found, scores = np.zeros(0, np.int64), np.zeros(0, kind)
         if not used.size:
             found, scores = np.arange(n), np.zeros(n, kind)
-            used = None
-        up = x[used] > 0 if used is not None else None
+        up, down = used[x[used] > 0], used[x[used] < 0]
         done, depth = 0, min(DEPTH, n)
-        while used is not None:
-            new = np.concatenate([order[used[up], n - depth : n - done].ravel(), order[used[~up], done:depth].ravel()])
-            new = new[~seen[new]]
-            seen[new] = True
-            new = np.unique(new)
-            found, scores = np.concatenate([found, new]), np.concatenate([scores, v[new] @ x])
-            if len(found) == n or depth == n:
+        while len(found) < n:
+            before = seen.copy()
+            for ids_read in (order[up, n - depth : n - done], order[down, done:depth]):
+                seen[ids_read.ravel()] = True
+            new = np.flatnonzero(seen & ~before)
+            # when most of the block turns up, a pass over all of it is the cheapest way to look them up
+            found, scores = np.concatenate([found, new]), np.concatenate([scores, (v @ x)[new] if 4 * len(new) > n else v[new] @ x])
+            if depth == n:
                 break
             other = rows[found] != own[i]
-            if other.sum() >= k:
+            if np.count_nonzero(other) >= k:
                 kth = np.partition(scores[other], -k)[-k]
-                bound = (x[used] * np.where(up, lists[n - depth, used], lists[depth - 1, used])).sum()
-                if bound < kth:
+                if float(x[up] @ lists[n - depth, up]) + float(x[down] @ lists[depth - 1, down]) < kth:
                     break
-            done, depth = depth, min(2 * depth, n)
+            done, depth = depth, min(DEEPER * depth, n)
         keep = rows[found] != own[i]
         found, scores = found[keep], scores[keep]
         if len(found) > k:
