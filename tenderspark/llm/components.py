@@ -17,8 +17,8 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    # the sum keeps the aggregation's own partitioning from being reused, so that a hot node's links can be split
-    linked = both.join(least.select((F.col("u") + 0).alias("w"), "m"), F.col("u") == F.col("w")).drop("w")
+    # the key is written anew to keep the aggregation's own partitioning from being reused, so that a hot node's links can be split
+    linked = both.join(least.select(F.col("u").bitwiseXOR(F.lit(0)).alias("w"), "m"), F.col("u") == F.col("w")).drop("w")
     if large:
         out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -45,7 +45,8 @@ def _place() -> Column:
 def repeated(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`lines` in a table -> (n, id, th, ln): the lines that go."""
     first = found.groupBy("l1", "l2").agg(F.min(_place()).alias("r0"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    ranked = stored(found.join(first, ["l1", "l2"]).select("n", "id", "th", "seq", "ln", "words", "r0"), "rank1")
+    # kept in a table: both sides of the join are dealt anew, so that a line with very many copies can be split
+    ranked = stored(found.join(stored(first, "first"), ["l1", "l2"]).select("n", "id", "th", "seq", "ln", "words", "r0"), "rank1")
     alone = ranked.where((F.col("words") >= min_words) & (F.col("r0") < _place())).select("n", "id", "th", "ln")
     # longer least runs: short lines, and one line beside them at most
     doc = Window.partitionBy("n", "id", "th").orderBy("seq")
@@ -62,7 +63,7 @@ def repeated(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pairs = last.select("n", "id", "th", "seq", F.col(k).alias("a"), follows.alias("b")).where("b IS NOT NULL")
         pairs = stored(pairs, "pairs")
         rank = pairs.groupBy("a", "b").agg(F.min(_place()).alias(name), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-        levels.append(stored(pairs.join(rank, ["a", "b"]).select("n", "id", "th", "seq", name), name))
+        levels.append(stored(pairs.join(stored(rank, "ranks"), ["a", "b"]).select("n", "id", "th", "seq", name), name))
         h *= 2
     whole = near
     for k, level in enumerate(levels[1:], 1):
@@ -89,7 +90,7 @@ def repeated(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return alone.distinct()
     found_runs = stored(runs[0].unionByName(runs[1]).distinct(), "runs")
     first = found_runs.groupBy("run").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    late = found_runs.join(first, "run").where(F.col("first") < _place())
+    late = found_runs.join(stored(first, "firsts"), "run").where(F.col("first") < _place())
     covered = late.select("n", "id", "th", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("run.size") - 1)).alias("seq")).distinct()
     return alone.unionByName(covered.join(near.select("n", "id", "th", "seq", "ln"), ["n", "id", "th", "seq"]).select("n", "id", "th", "ln")).distinct()
 
