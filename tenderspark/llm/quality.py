@@ -5,7 +5,7 @@ log(1 + count), and three shares: of words that repeat the word before, of chara
 and of words that are only such characters.  One vector of weights w is shared by all grades; ordered thresholds t1 < t2 cut
 its score: P(grade >= k) = logistic(score - t_k).  So a text gets its expected grade and the tail probability that selects.
 
-Ratings: grade = quality + (1 - toxic), from 0 to 2.  Fitted by gradient steps with L2 shrinkage on a bounded sample.
+Ratings: grade = quality + (1 - toxic), from 0 to 2.  Fitted by gradient steps with shrinkage on a bounded sample.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from .common import slim, texts
 
 #: Bounds of the sample: rated texts, and bytes of one of them.
 SAMPLE, TEXT_BYTES = 4000, 65_536
-BITS, GRADES, STEPS, SHRINK, SPARSE = 16, 3, 300, 0.3, 0.1
-#: Least number and greatest share of sampled texts that hold a word which counts.
-FEW, MANY = 5, 0.15
+BITS, GRADES, STEPS, SHRINK, SPARSE = 16, 3, 300, 1.0, 0.1
+#: Least number of sampled texts that hold a word which counts.
+FEW = 5
 SELECT = 0.7
 _MARK = re.compile(rb"[^A-Za-z\x80-\xff\s]")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -71,7 +71,7 @@ def fit(rows: list[tuple], grades: np.ndarray, steps: int = STEPS, shrink: float
     who = np.repeat(np.arange(n), [len(r[0]) for r in rows])
     at, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
     seen = np.bincount(at, minlength=size)
-    ok = (seen[at] >= FEW) & (seen[at] <= max(FEW, MANY * n))
+    ok = seen[at] >= FEW
     who, at, val, dense = who[ok], at[ok], val[ok], np.stack([r[2] for r in rows])
     p = np.zeros(size + 3 + GRADES - 1)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES)[:-1]) / n, 0.01, 0.99)

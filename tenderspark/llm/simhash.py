@@ -54,14 +54,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row; a null text counts as empty."""
+    """doc_id, th (a hash of the text), fp (the fingerprint as a signed long) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter(map(fingerprint, texts(batch.column(1))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return slim(docs, "doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("fp", "long"))
+    rows = slim(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("th"))
+    return rows.mapInArrow(run, docs.select("doc_id").schema.add("th", "long").add("fp", "long"))
 
 
 def _keys(fps: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (least doc_id reachable by links) of every row.
+    """doc_id, th, fp, root (least fingerprint of the group), component_id (least doc_id reachable by links) of every row.
 
     Texts that are null or without words share fingerprint 0 and link with each other.  Rows that repeat an id keep a row
     each; a null id takes no part in the least (null only where no linked row has an id).  No rows in, no rows out.
@@ -124,8 +125,8 @@ def groups(docs: DataFrame) -> DataFrame:
     roots = components(links(least.select("fp")))
     named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(named.join(tops, "root").select("fp", "component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = cut(named.join(tops, "root").select("fp", "root", "component_id"))
+    return prints.join(of, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
 def hexed(fp: str = "fp"):
@@ -133,10 +134,10 @@ def hexed(fp: str = "fp"):
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the least id; of rows that repeat that id, one.  A group without any
-    id keeps one row."""
-    ids = groups(docs)
-    keep = ids.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    """One row of each group stays: the one of least id (null last), then of least text hash; of equal rows, one."""
+    first = groups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), "th")).alias("m"))
+    keep = first.select(F.col("m.i").alias("__id"), F.col("m.th").alias("__keep"))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    whole = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return whole.dropDuplicates(["doc_id"]).select(*cols)
+    keyed = docs.withColumn("__th", F.xxhash64("text"))
+    whole = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__keep")), "left_semi")
+    return whole.dropDuplicates(["doc_id", "__th"]).select(*cols)
