@@ -25,10 +25,14 @@ def split(text: str) -> list[str]:
     return _LATIN.findall(text)
 
 
+#: Characters of a piece that is remembered; longer ones are encoded each time.
+LONG = 64
+
+
 class Pieces(dict):
     """piece -> what `encode` makes of it, for whole batches of pieces at a time; emptied when `most` are held."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 700_000):
         super().__init__()
         self.encode, self.most = encode, most
 
@@ -39,4 +43,8 @@ class Pieces(dict):
             asked = list(set(pieces))
         if asked:
             self.update(zip(asked, self.encode(asked), strict=True))
-        return list(map(self.__getitem__, pieces))
+        out = list(map(self.__getitem__, pieces))
+        for p in asked:
+            if len(p) > LONG:
+                del self[p]
+        return out

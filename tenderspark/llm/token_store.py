@@ -15,7 +15,9 @@ High digits' counts are re-summed every RENEW ids, low digits' every RENEW_LOW.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,7 +255,10 @@ def _pieces(path: str) -> Pieces:
         def encode(pieces: list[str]) -> Iterator[bytes]:
             for i in range(0, len(pieces), 20_000):
                 for e in t.encode_batch_fast(pieces[i : i + 20_000], add_special_tokens=False):
-                    yield np.array(e.ids, "<u4").tobytes()
+                    ids = array("I", e.ids)
+                    if sys.byteorder != "little":
+                        ids.byteswap()
+                    yield ids.tobytes()
 
         _tokenizers[path] = Pieces(encode)
     return _tokenizers[path]
