@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 def windowed_totals(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Tumbling totals of `value` by event_type; works on a stream and on a table."""
+    if events.isStreaming:  # watermarks want timestamps with a zone
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "total", "n")
 
 
