@@ -116,10 +116,10 @@ products AS (SELECT *, total_revenue / total_units_sold AS avg_unit_price, subst
 PLAT = f"""pp AS (SELECT niin, platform_family, {money("spend_amount")} AS sp FROM tx GROUP BY ALL), plats AS (SELECT niin, arg_max(platform_family, sp) AS platform_family FROM pp GROUP BY 1)"""
 NSN = f"nsn AS (SELECT niin, year, platform_family, market_segment, sub_agency, parent_agency, psc, {money('spend_amount')} AS spend_amount, COUNT(DISTINCT contract_id) AS contracts FROM tx GROUP BY ALL)"
 LOOKUP = f"lookup AS (SELECT niin, year, vendor_cage AS cage, parent_agency, sub_agency, market_segment, platform_family, psc, contract_id, max(vendor_name) AS vendor, max(action_date) AS last_sold, {money('spend_amount')} AS total_revenue FROM tx GROUP BY ALL)"
-OPPS = f"""opps AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'SOL-' || o_orderkey AS sol_num, substr(text, 1, 60) AS title, c_mktsegment AS agency, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 60 DAY AS DATE) AS VARCHAR) AS deadline,
- o_orderpriority AS set_aside_type, lpad(CAST(o_orderkey % 50 + 1 AS VARCHAR), 6, '0') AS naics, lpad(CAST(o_orderkey % 50 + 1 AS VARCHAR), 4, '0') AS psc, substr(text, 1, 400) AS description,
+OPPS = f"""opps AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'SOL-' || o_orderkey AS sol_num, split_part(text, chr(10), 1) AS title, c_mktsegment AS agency, CAST(CAST(CAST(o_orderdate AS DATE) + INTERVAL 60 DAY AS DATE) AS VARCHAR) AS deadline,
+ o_orderpriority AS set_aside_type, lpad(CAST(o_orderkey % 50 + 1 AS VARCHAR), 6, '0') AS naics, lpad(CAST(o_orderkey % 50 + 1 AS VARCHAR), 4, '0') AS psc, text AS description,
  CASE WHEN o_orderkey % 2 = 0 THEN 'DIBBS' ELSE 'SAM' END AS source_system, 'ST_' || (o_orderkey % 7) AS state
- FROM orders JOIN customer ON o_custkey = c_custkey JOIN documents ON doc_id = o_orderkey % 200 WHERE o_orderstatus = 'O' AND CAST(CAST(o_orderdate AS DATE) + INTERVAL 60 DAY AS DATE) >= DATE '{AS_OF}')"""
+ FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN documents ON doc_id = o_orderkey % (SELECT greatest(1, count(*)) FROM documents) WHERE o_orderstatus = 'O' AND CAST(CAST(o_orderdate AS DATE) + INTERVAL 60 DAY AS DATE) >= DATE '{AS_OF}')"""
 BOM = """bom AS (SELECT DISTINCT upper(a.p_brand) AS platform_family, lpad(CAST(b.p_partkey AS VARCHAR), 9, '0') AS niin FROM (SELECT DISTINCT p_brand, p_size FROM part) a JOIN part b ON a.p_size = b.p_size)"""
 
 
@@ -241,12 +241,12 @@ def _entries() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
         "opportunities_total_over": (lambda t: Q.open_opportunities(t.opps, AS_OF, AGENCY, ["the"]), w(f"SELECT id, sol_num, agency, deadline, count(*) OVER () AS total FROM opps WHERE upper(agency) LIKE '%{AGENCY}%' AND (upper(title) LIKE '%THE%' OR upper(description) LIKE '%THE%') ORDER BY deadline NULLS LAST, id LIMIT 50", OPPS)),
         "opportunities_naics_prefix": (lambda t: Q.naics_matches(t.opps, ["00001", "00003", "12", "x"], AS_OF), w("SELECT id, naics, agency, deadline FROM opps WHERE naics LIKE '00001%' OR naics LIKE '00003%' ORDER BY deadline NULLS LAST, id LIMIT 50", OPPS)),
         "pipeline_live": (lambda t: Q.pipeline_live(t.opps, AS_OF, agency=AGENCY, source="SAM", naics="0000", limit=20, offset=3), w(f"SELECT id, sol_num, agency, deadline, CAST(date_diff('day', DATE '{AS_OF}', CAST(deadline AS DATE)) AS INTEGER) AS days_left, source_system FROM opps WHERE upper(agency) LIKE '%{AGENCY}%' AND source_system = 'SAM' AND naics LIKE '0000%' ORDER BY deadline, id LIMIT 20 OFFSET 3", OPPS)),
-        "solicitation_lookup": (lambda t: Q.solicitation(solicitations(t.spark, t.dir), "sol-10").select("id", "sol_num"), "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'SOL-' || o_orderkey AS sol_num FROM orders WHERE o_orderstatus = 'O' AND o_orderkey = 10"),
-        "search_index": (lambda t: M.search_index(t.s, t.geo, t.opps), None),
-        "search_index_entities": (lambda t: M.search_index(t.s, t.geo, t.opps.limit(0)), w(f"""SELECT clean_parent AS label, clean_parent AS value, 'PARENT' AS type, {money('total_spend')} AS score, NULL AS cage, NULL AS city, NULL AS state FROM s GROUP BY 1 HAVING COUNT(DISTINCT cage_code) > 1 OR {money('total_spend')} > 1e9
+        "solicitation_lookup": (lambda t: Q.solicitation(solicitations(t.spark, t.dir), "sol-50").select("id", "sol_num"), "SELECT CAST(o_orderkey AS VARCHAR) AS id, 'SOL-' || o_orderkey AS sol_num FROM orders WHERE o_orderstatus = 'O' AND o_orderkey = 50"),
+        "search_index": (lambda t: M.search_index(t.s, t.geo, t.opps), w(f"""SELECT clean_parent AS label, clean_parent AS value, 'PARENT' AS type, {money('total_spend')} AS score, NULL AS cage, NULL AS city, NULL AS state FROM s GROUP BY 1 HAVING COUNT(DISTINCT cage_code) > 1 OR {money('total_spend')} > 1e9
  UNION ALL SELECT g.*, geo.city, geo.state FROM (SELECT vendor_name AS label, cage_code AS value, 'CHILD' AS type, {money('total_spend')} AS score, cage_code AS cage FROM s GROUP BY 1, 2) g LEFT JOIN geo ON geo.cage_code = g.cage
- UNION ALL SELECT platform_family, platform_family, 'PLATFORM', {money('total_spend')}, NULL, NULL, NULL FROM s GROUP BY 1 UNION ALL SELECT sub_agency, sub_agency, 'AGENCY', {money('total_spend')}, NULL, NULL, NULL FROM s GROUP BY 1""", TX, S, GEO)),
-        "search_global_merge": (lambda t: Q.search_global(M.search_index(t.s, t.geo, t.opps.limit(0)), "brand#1").drop("score_label"), w(f"SELECT 'PLATFORM-' || platform_family AS key, platform_family AS label, 'PLATFORM' AS type, {money('total_spend')} AS score FROM s WHERE platform_family LIKE '%BRAND#1%' GROUP BY 2 ORDER BY score DESC, key LIMIT 8", TX, S)),
+ UNION ALL SELECT platform_family, platform_family, 'PLATFORM', {money('total_spend')}, NULL, NULL, NULL FROM s GROUP BY 1 UNION ALL SELECT sub_agency, sub_agency, 'AGENCY', {money('total_spend')}, NULL, NULL, NULL FROM s GROUP BY 1
+ UNION ALL SELECT title, sol_num, 'OPPORTUNITY', 999999999.0::DOUBLE, NULL, NULL, NULL FROM opps""", TX, S, GEO, OPPS)),
+        "search_global_merge": (lambda t: Q.search_global(M.search_index(t.s, t.geo, t.opps), "brand#1").drop("score_label"), w(f"SELECT 'PLATFORM-' || platform_family AS key, platform_family AS label, 'PLATFORM' AS type, {money('total_spend')} AS score FROM s WHERE platform_family LIKE '%BRAND#1%' GROUP BY 2 ORDER BY score DESC, key LIMIT 8", TX, S)),
         "vendor_typeahead": (lambda t: Q.vendor_typeahead(t.s, "0001"), w("SELECT cage_code, max(vendor_name) AS vendor_name, max(city) AS city FROM s WHERE vendor_name LIKE '%0001%' OR cage_code LIKE '%0001%' GROUP BY 1 ORDER BY 1 LIMIT 10", TX, S)),
         "taxonomy_typeahead": (lambda t: Q.taxonomy_typeahead(t.s, "naics", "00001"), w("SELECT naics_code AS code, max(naics_description) AS name FROM s WHERE naics_code LIKE '%00001%' OR upper(naics_description) LIKE '%00001%' GROUP BY 1 ORDER BY 1 LIMIT 15", TX, S)),
         # explorer
@@ -266,10 +266,10 @@ SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN '' WHEN length('C' || c_custk
  SELECT CASE WHEN spend > -1 AND spend <= 0 THEN 'Zero' WHEN spend > 0 AND spend <= 1e5 THEN '<100k' WHEN spend > 1e5 AND spend <= 1e6 THEN '100k-1M' WHEN spend > 1e6 AND spend <= 1e12 THEN '>1M' END AS tier, count(*) AS n, {money('spend')} AS value
  FROM (SELECT cage_code, {money('total_spend')} AS spend FROM s GROUP BY 1) JOIN geo USING (cage_code) WHERE state NOT IN ('ST_1', 'ST_2') GROUP BY 1)""", TX, S, GEO)),
         "whales_counts": (lambda t: M.whales(t.s, 5e4, 9e4), w("SELECT COUNT(DISTINCT CASE WHEN total_spend >= 50000 THEN cage_code END) AS over_low, COUNT(DISTINCT CASE WHEN total_spend >= 90000 THEN cage_code END) AS over_high FROM s", TX, S)),
-        "naics_prefix_hydration": (lambda t: Q.naics_titles(M.profiles(t.s.where("cage_code < '00020'"), t.edges.limit(0)), t.raw("part").select(F.substring(F.lpad(F.col("p_size").cast("string"), 6, "0"), 1, 5).alias("code")).distinct().withColumn("title", F.concat(F.lit("title "), F.col("code")))), w("""SELECT cage_code, code, 'title ' || substr(code, 1, 5) AS title FROM (SELECT cage_code, regexp_extract(x, '^([0-9]+)', 1) AS code FROM (
- SELECT cage_code, unnest(list_sort(list(DISTINCT naics_code || ' - ' || naics_description))[1:5]) AS x FROM s WHERE cage_code < '00020' GROUP BY 1))""", TX, S)),
+        "naics_prefix_hydration": (lambda t: Q.naics_titles(M.profiles(t.s, t.edges), t.raw("part").select(F.substring(F.lpad(F.col("p_size").cast("string"), 6, "0"), 1, 5).alias("code")).distinct().withColumn("title", F.concat(F.lit("title "), F.col("code")))), w("""SELECT cage_code, code, 'title ' || substr(code, 1, 5) AS title FROM (SELECT cage_code, regexp_extract(x, '^([0-9]+)', 1) AS code FROM (
+ SELECT cage_code, unnest(list_sort(list(DISTINCT naics_code || ' - ' || naics_description))[1:5]) AS x FROM s GROUP BY 1))""", TX, S)),
         "events_hourly": (lambda t: incremental.windowed_totals(t.raw("events")).select("start", "event_type", "n"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
-        "topic_dedup": (lambda t: Q.topic_dedup(t.raw("documents").where("doc_id < 200").select((F.col("doc_id") % 10).alias("feed"), F.col("doc_id").alias("pos"), F.substring("text", 1, 60).alias("title"))), None),
+        "topic_dedup": (lambda t: Q.topic_dedup(t.raw("documents").select(F.floor(F.col("doc_id") / 10).alias("feed"), F.col("doc_id").alias("pos"), F.split("text", "\n")[0].alias("title"))), None),
     }
 
 

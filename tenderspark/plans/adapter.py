@@ -49,11 +49,12 @@ def vendor_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solicitations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders with a title and a description from documents 0 to 199."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 400).alias("description"))
-    key = F.col("o_orderkey")
+    """Open orders; their text is that of a document, dealt over all documents; the title is its first line."""
+    documents = table(spark, sf_dir, "documents")
+    docs = documents.select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("description"))
+    key, n = F.col("o_orderkey"), max(1, documents.count())  # the count comes from the footers
     rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.join(docs, key % 200 == F.col("doc_id")).select(
+    return rows.join(docs, key % n == F.col("doc_id"), "left").select(
         key.cast("string").alias("id"), F.concat(F.lit("SOL-"), key).alias("sol_num"), "title", F.col("c_mktsegment").alias("agency"), F.date_add(F.to_date("o_orderdate"), 60).cast("string").alias("deadline"),
         F.col("o_orderpriority").alias("set_aside_type"), F.lpad((key % 50 + 1).cast("string"), 6, "0").alias("naics"), F.lpad((key % 50 + 1).cast("string"), 4, "0").alias("psc"), "description",
         F.when(key % 2 == 0, "DIBBS").otherwise("SAM").alias("source_system"), F.concat(F.lit("ST_"), key % 7).alias("state"))

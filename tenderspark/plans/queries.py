@@ -391,11 +391,11 @@ def topic_dedup(titles: DataFrame, generic: Sequence[str] = (), most: int = 6) -
     words = F.regexp_extract_all("title", F.lit(r"(\b[A-Z][a-z]+\b|\b[A-Z]+\b)"), F.lit(1))
     topics = F.array_distinct(F.filter(F.transform(words, F.upper), lambda w: (F.length(w) > 2) & ~w.isin(*generic)))
     rows = titles.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("pos", "title", topics.alias("topics")))).alias("items"))
-    empty = F.struct(F.array().cast("array<struct<pos:int,title:string>>").alias("kept"), F.array().cast("array<string>").alias("seen"))
+    empty = F.struct(F.array().cast("array<struct<pos:bigint,title:string>>").alias("kept"), F.array().cast("array<string>").alias("seen"))
 
     def step(acc: Column, x: Column) -> Column:
         take = (F.size(acc["kept"]) < most) & ~F.arrays_overlap(acc["seen"], x["topics"])
-        one = F.array(F.struct(x["pos"].cast("int").alias("pos"), x["title"].alias("title")))
+        one = F.array(F.struct(x["pos"].cast("long").alias("pos"), x["title"].alias("title")))
         return F.when(take, F.struct(F.concat(acc["kept"], one).alias("kept"), F.array_union(acc["seen"], x["topics"]).alias("seen"))).otherwise(acc)
 
     return rows.select("feed", F.inline(F.aggregate("items", empty, step, lambda acc: acc["kept"])))

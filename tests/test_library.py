@@ -139,7 +139,7 @@ def test_plans(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["top_vendors", "distributions_platform", "contracts_rolled", "award_search_keyset_next", "subcontracts_rollup", "profiles_full_outer", "nsn_trend_encode", "search_index_entities", "explorer_page", "summary_clean_alias"])
+@pytest.mark.parametrize("name", ["top_vendors", "distributions_platform", "contracts_rolled", "award_search_keyset_next", "subcontracts_rollup", "profiles_full_outer", "nsn_trend_encode", "search_index", "explorer_page", "summary_clean_alias"])
 def test_sql(spark, name):
     db = duckdb.connect()
     for f in os.listdir(DATA):
