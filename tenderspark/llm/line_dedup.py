@@ -52,7 +52,8 @@ def repeated(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     doc = Window.partitionBy("n", "id", "th").orderBy("seq")
     short = F.col("words") < min_words
     beside = F.coalesce(F.lag(short).over(doc), F.lit(False)) | F.coalesce(F.lead(short).over(doc), F.lit(False))
-    near = stored(ranked.select("*", (short | beside).alias("near")).where("near").drop("near"), "near")
+    once = ranked.repartition("n", "id", "th").dropDuplicates(["n", "id", "th", "seq"])  # a document that is repeated counts once
+    near = stored(once.select("*", (short | beside).alias("near")).where("near").drop("near"), "near")
     levels, h = [near], 1
     while 2 * h <= min_words:
         name, k = f"r{len(levels)}", f"r{len(levels) - 1}"

@@ -379,6 +379,13 @@ def test_lines(spark, docs, none, least):
     assert line_dedup.dedup(none, least).count() == 0
 
 
+def test_lines_repeated_rows(spark):
+    short = "cd ef gh\nij kl mn op\nq r s t"
+    rows_ = [(1, f"ab\n{short}\nu"), (2, f"zz\n{short}\nyy"), (2, f"zz\n{short}\nyy"), (2, f"zz\n{short}\nyy")]
+    got = line_dedup.dedup(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r["__gone"]) for r in got) == [(1, rows_[0][1], 0)] + [(2, "zz\nyy", 3)] * 3
+
+
 def test_lines_stage(docs, none):
     out = line_dedup.stage(docs)
     assert out.columns == docs.columns
