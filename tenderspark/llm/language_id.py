@@ -133,7 +133,8 @@ def sample(docs: DataFrame, usable: Column) -> dict[str, list[bytes]]:
     each = min(SAMPLE_BYTES, TOTAL_BYTES // len(sizes))
     wanted = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * each / r["bytes"]))) for r in sizes], F.lit(0.0))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(draw < wanted).select("lang", "text", F.xxhash64("text").alias("h"))
+    # all copies of a text are drawn together: one of them comes to the driver
+    got = rows.where(draw < wanted).select("lang", "text", F.xxhash64("text").alias("h")).dropDuplicates(["lang", "h"])
     out: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
     for r in sorted(got.toLocalIterator(), key=lambda r: (r["lang"], r["h"], r["text"])):
