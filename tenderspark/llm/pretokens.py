@@ -30,21 +30,27 @@ LONG = 64
 
 
 class Pieces(dict):
-    """piece -> what `encode` makes of it, for whole batches of pieces at a time; emptied when `most` are held."""
+    """piece -> what `encode` makes of it, for whole batches of pieces at a time; emptied when over `most` are held."""
 
     def __init__(self, encode: Callable[[list[str]], Iterable], most: int = 700_000):
         super().__init__()
         self.encode, self.most = encode, most
 
     def of(self, pieces: list[str]) -> list:
-        asked = [p for p in set(pieces) if p not in self]
-        if len(self) + len(asked) > self.most:
+        return self.each([pieces])[0]
+
+    def each(self, lists: list[list[str]]) -> list[list]:
+        """For each list of pieces what they become; pieces not known yet go to `encode` all at once."""
+        if len(self) > self.most:
             self.clear()
-            asked = list(set(pieces))
-        if asked:
+        out = [list(map(self.get, pieces)) for pieces in lists]
+        open_ = [k for k, got in enumerate(out) if None in got]
+        if open_:
+            asked = list({p for k in open_ for p, x in zip(lists[k], out[k], strict=True) if x is None})
             self.update(zip(asked, self.encode(asked), strict=True))
-        out = list(map(self.__getitem__, pieces))
-        for p in asked:
-            if len(p) > LONG:
-                del self[p]
+            for k in open_:
+                out[k] = list(map(self.__getitem__, lists[k]))
+            for p in asked:
+                if len(p) > LONG:
+                    del self[p]
         return out

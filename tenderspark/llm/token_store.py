@@ -2,7 +2,7 @@
 
 File format.  A store is a Parquet folder (so Spark's commit protocol covers lost executors).  A row is a run of BLOCK
 ids or fewer of one part: `part` and `block` (parts in ascending order of doc_id, blocks from 0), `n`, `crc` (crc32 of the
-ids as little-endian unsigned 32-bit integers) and `payload`.  A second folder lists documents: `part`, `seq`, `doc_id`, `n`.
+ids as little-endian unsigned 32-bit integers) and `payload`.  The first block of a batch lists the batch's documents in `ids`: `doc_id`, `n`.
 Blocks know nothing of each other: each starts from the same state, so any block can be read alone.
 
 Model of a block.  Two tables hold the id that last followed the last two ids (order 2) and the last id (order 1), with a
@@ -32,6 +32,8 @@ from .pretokens import Pieces, split
 VOCABULARY, END = "byte_bpe_50k.json", 2
 BLOCK, LANES, RENEW, RENEW_LOW = 4096, 1024, 128, 1024
 SLOTS, OWN, CHUNK = 1 << 11, 8, 1 << 21
+#: Pieces that the library is given in one text.
+JOINED = 256
 _TOP, _WORD, _TOTAL = np.uint64(1 << 32), np.uint64(16), 1 << 16
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -252,13 +254,37 @@ def _pieces(path: str) -> Pieces:
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
 
+        def raw(ids: list[int]) -> bytes:
+            out = array("I", ids)
+            if sys.byteorder != "little":
+                out.byteswap()
+            return out.tobytes()
+
+        line = t.encode("\n", add_special_tokens=False).ids
+
         def encode(pieces: list[str]) -> Iterator[bytes]:
+            """Pieces go to the library by JOINED, a line feed after each: it is a piece of its own there, and no byte of the
+            others, so its id parts theirs.  Blanks would merge with it; they, and what comes back in other numbers, go alone."""
+            if len(line) != 1:
+                yield from (raw(e.ids) for e in t.encode_batch_fast(pieces, add_special_tokens=False))
+                return
             for i in range(0, len(pieces), 20_000):
-                for e in t.encode_batch_fast(pieces[i : i + 20_000], add_special_tokens=False):
-                    ids = array("I", e.ids)
-                    if sys.byteorder != "little":
-                        ids.byteswap()
-                    yield ids.tobytes()
+                part = pieces[i : i + 20_000]
+                words = [p for p in part if not p.isspace() and "\n" not in p]
+                runs = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+                found: dict[str, bytes] = {}
+                for run, e in zip(runs, t.encode_batch_fast(["\n".join(run) for run in runs], add_special_tokens=False), strict=True):
+                    ids, at, own = e.ids, 0, []
+                    for k, x in enumerate(ids):
+                        if x == line[0]:
+                            own.append(ids[at:k])
+                            at = k + 1
+                    own.append(ids[at:])
+                    if len(own) == len(run):
+                        found.update(zip(run, map(raw, own), strict=True))
+                rest = [p for p in part if p not in found]
+                found.update(zip(rest, (raw(e.ids) for e in t.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+                yield from map(found.__getitem__, part)
 
         _tokenizers[path] = Pieces(encode)
     return _tokenizers[path]
@@ -269,11 +295,7 @@ def tokenise(text_list: list[str], cache: Pieces) -> list[bytes]:
     cut = [split(t) for t in text_list]
     if len(cut) == 1:
         return [b"".join([b"".join(cache.of(cut[0][i : i + CHUNK])) for i in range(0, len(cut[0]), CHUNK)])]
-    got, at, out = cache.of([p for ps in cut for p in ps]), 0, []
-    for ps in cut:
-        out.append(b"".join(got[at : at + len(ps)]))
-        at += len(ps)
-    return out
+    return [b"".join(own) for own in cache.each(cut)]
 
 
 BLOCKS = "part int, block long, n int, crc long, payload binary, ids array<struct<doc_id: long, n: long>>"

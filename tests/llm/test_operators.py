@@ -264,6 +264,18 @@ def test_coder_round_trip():
     assert alone == together
 
 
+def test_joined_pieces_encode_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_store.VOCABULARY)
+    lib, cache, rng = Tokenizer.from_file(path), token_store._pieces(path), random.Random(8)
+    lib.encode_special_tokens = True
+    odd = ["".join(rng.choices("abc d'stre\n\t\r\xa0é½1ßſ日🎉,.<|\x1c\x1f\x85\u2028\u3000▁", k=rng.randint(0, 60))) for _ in range(3000)] + ["", "\n", "<|endoftext|>", "a" * 3000]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+    for _ in range(2):  # the second time from the cache
+        assert token_store.tokenise(odd, cache) == want
+
+
 def test_store(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
