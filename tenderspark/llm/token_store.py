@@ -5,9 +5,9 @@ ids or fewer of one part: `part` and `block` (parts in ascending order of doc_id
 ids as little-endian unsigned 32-bit integers) and `payload`.  The first block of a batch lists the batch's documents in `ids`: `doc_id`, `n`.
 Blocks know nothing of each other: each starts from the same state, so any block can be read alone.
 
-Model of a block.  Two tables hold the id that last followed the last two ids (order 2) and the last id (order 1), with a
-confidence from 0 to 3.  How much weight each prediction gets is learned: for every pair of confidences, counts of "order 2
-right", "order 1 right", "neither" are the mixing weights.  If neither is right, the order-0 model codes the id in two
+Model of a block.  A table holds the id that last followed the last id (order 1) and the last two ids (order 2), each with a
+confidence from 0 to 3.  How much weight each prediction gets is learned: for every pair of confidences, the adaptive shares of
+"order 2 right", "order 1 right", "neither" are the mixing weights.  If neither is right, the order-0 model codes the id in two
 digits, the high one by adaptive counts, the low one by adaptive counts for its high digit (digits from OWN on share).
 High digits' counts are re-summed every RENEW ids, low digits' every RENEW_LOW.  Each choice narrows a carry-propagating range coder with 48-bit state and
 16-bit words.  Blocks are coded side by side, one vector operation for all blocks of a batch at a time.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import sys
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,66 +31,92 @@ from .common import chunks, shared_dir, slim
 from .pretokens import Pieces, split
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
-BLOCK, LANES, RENEW, RENEW_LOW = 4096, 1024, 128, 1024
-SLOTS, OWN, CHUNK = 1 << 11, 8, 1 << 21
+BLOCK, LANES, RENEW, RENEW_LOW = 4096, 2048, 128, 1024
+SLOTS, OWN, CHUNK = 1 << 9, 8, 1 << 21
 #: Pieces that the library is given in one text.
 JOINED = 256
 _TOP, _WORD, _TOTAL = np.uint64(1 << 32), np.uint64(16), 1 << 16
+#: Counts of a digit grow by HIT (they stay below 2**16 in a block); each choice has a share of LEAST at least; shares move by 1/2**RATE.
+HIT, LEAST, RATE = 15, 32, 5
+_SPAN = _TOTAL - 3 * LEAST
 _MASK = np.uint64((1 << 48) - 1)
 
 
 class _Model:
-    """State of all lanes.  Ids below 2**16; both sides drive it in the same order."""
+    """State of all lanes.  Ids below 2**16; both sides drive it in the same order.
+
+    Arrays of 2 * lanes hold something for order 1, then for order 2 (or for the first limit of a choice, then for the second).
+    """
 
     def __init__(self, lanes: int):
-        self.rows = np.arange(lanes)
-        self.base = self.rows * SLOTS
-        self.p1, self.p2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        self.c1, self.c2 = np.zeros(lanes * SLOTS, np.int8), np.zeros(lanes * SLOTS, np.int8)
-        self.mix = np.tile(np.array([1, 1, 2], np.int64), (lanes * 16, 1))
-        self.high = np.ones((lanes, 256), np.int32)
-        self.low = np.ones((lanes, OWN + 1, 256), np.int32)
-        self.a, self.b, self.step = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), 0
-        self.high_at, self.low_at = self._sums(self.high), self._sums(self.low)
-
-    @staticmethod
-    def _sums(counts: np.ndarray) -> np.ndarray:
-        """Running sums from 0 to 2**16; each digit has a share of at least one."""
-        c = np.cumsum(counts, -1, dtype=np.int32)
-        out = np.zeros((*counts.shape[:-1], 257), np.int32)
-        out[..., 1:] = (c * ((_TOTAL - 256) / c[..., -1:].astype(np.float64))).astype(np.int32) + np.arange(1, 257, dtype=np.int32)
-        out[..., 256] = _TOTAL
-        return out
+        self.n, self.rows = lanes, np.arange(lanes)
+        self.base, self.slot = np.arange(2 * lanes) * SLOTS, np.zeros(2 * lanes, np.int64)
+        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # id * 4 + confidence
+        self.limit_at = np.zeros(2 * lanes, np.int64)
+        self.limits = np.repeat(np.array([_SPAN // 4, _SPAN // 2], np.int32), lanes * 16)
+        self.counts = np.ones((lanes, OWN + 2, 256), np.uint16)  # of high digits, then of low ones for each high one
+        self.last = np.zeros((lanes, OWN + 2, 256), np.uint16)  # last value of each digit's share
+        self.tops = np.zeros((lanes, OWN + 2, 16), np.uint16)  # every 16th of them
+        self.a, self.b, self.step = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), 0
+        self._renew(slice(None))
+
+    def _renew(self, which: slice) -> None:
+        """Shares of 2**16; each digit has at least one."""
+        c = np.cumsum(self.counts[:, which], -1, dtype=np.int32)
+        ends = (c * ((_TOTAL - 256) / c[..., -1:].astype(np.float64))).astype(np.int32) + np.arange(256, dtype=np.int32)
+        ends[..., 255] = _TOTAL - 1
+        self.last[:, which] = ends
+        self.tops[:, which] = ends[..., 15::16]
 
     def look(self) -> None:
-        self.s1 = self.base + (self.a & (SLOTS - 1))
-        self.s2 = self.base + (((self.a * 40503 + self.b * 60493) >> 3) & (SLOTS - 1))
-        self.g1, self.g2 = self.p1[self.s1], self.p2[self.s2]
-        self.f1, self.f2 = self.c1[self.s1], self.c2[self.s2]
-        self.ctx = self.rows * 16 + self.f2 * 4 + self.f1
-        w = self.mix[self.ctx]
-        total = w[:, 0] + w[:, 1] + w[:, 2]
-        self.e1 = 1 + w[:, 0] * (_TOTAL - 3) // total
-        self.e2 = self.e1 + 1 + w[:, 1] * (_TOTAL - 3) // total
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        w = self.mix
-        w[self.ctx, kind] += 24
-        full = self.ctx[w[self.ctx, kind] > 2000]
-        w[full] = (w[full] + 1) >> 1
-        for slot, guess, sure, p, c in ((self.s1, self.g1, self.f1, self.p1, self.c1), (self.s2, self.g2, self.f2, self.p2, self.c2)):
-            right = guess == ids
-            p[slot] = np.where(right | (sure > 0), guess, ids)
-            c[slot] = np.where(right, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0))
-        new = kind == 2
-        r, x = self.rows[new], ids[new]
-        self.high[r, x >> 8] += 16
-        self.low[r, np.minimum(x >> 8, OWN), x & 255] += 16
-        self.a, self.b, self.step = ids, self.a, self.step + 1
-        if self.step % RENEW == 0:
-            self.high_at = self._sums(self.high)
+        n, at = self.n, self.slot
+        at[:n] = self.a & np.uint32(SLOTS - 1)
+        at[n:] = ((self.a * np.uint32(40503) + self.b * np.uint32(60493)) >> np.uint32(3)) & np.uint32(SLOTS - 1)
+        at += self.base
+        self.held = self.table.take(at)
+        self.guess, self.sure = self.held >> 2, self.held & 3
+        self.g1, self.g2 = self.guess[:n], self.guess[n:]
+        self.limit_at[:n] = self.rows * 16 + (self.sure[n:] * 4 + self.sure[:n])
+        self.limit_at[n:] = self.limit_at[:n] + n * 16
+        self.limit = self.limits.take(self.limit_at)
+        self.e1, self.e2 = self.limit[:n] + LEAST, self.limit[n:] + 2 * LEAST
+
+    def share(self, row: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = row * 256 + digit
+        flat = self.last.reshape(-1)
+        end = flat.take(at).astype(np.int64) + 1
+        start = (flat.take(np.maximum(at - 1, 0)).astype(np.int64) + 1) * (digit > 0)
+        return start, end - start
+
+    def find(self, row: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The digit whose share holds v: shares that end before it are counted, by sixteens, then within them."""
+        v = v.astype(np.uint16)[:, None]
+        sixteen = _true(self.tops.reshape(-1, 16).take(row, 0) < v)
+        return sixteen * 16 + _true(self.last.reshape(-1, 16).take(row * 16 + sixteen, 0) < v)
+
+    def learn(self, ids: np.ndarray, kind: np.ndarray, new: np.ndarray) -> None:
+        """`new`: lanes of kind 2 that still run."""
+        n = self.n
+        ids = ids.astype(np.int32)
+        two = np.concatenate((ids, ids))
+        self.table[self.slot] = np.where(self.guess == two, self.held + (self.sure < 3), np.where(self.sure > 0, self.held - 1, two << 2))
+        up = np.concatenate((kind == 0, kind < 2))
+        self.limits[self.limit_at] = self.limit + ((up * np.int32(_SPAN) - self.limit) >> RATE)
+        x, row, flat = ids[new], new * (OWN + 2), self.counts.reshape(-1)
+        hi = x >> 8
+        flat[row * 256 + hi] += np.uint16(HIT)
+        flat[(row + 1 + np.minimum(hi, OWN)) * 256 + (x & 255)] += np.uint16(HIT)
+        self.a, self.b, self.step = ids.astype(np.uint32), self.a, self.step + 1
         if self.step % RENEW_LOW == 0:
-            self.low_at = self._sums(self.low)
+            self._renew(slice(None))
+        elif self.step % RENEW == 0:
+            self._renew(slice(0, 1))
+
+
+def _true(found: np.ndarray) -> np.ndarray:
+    """How many of each row's 16 are true."""
+    halves = np.bitwise_count(found.view(np.uint64))
+    return (halves[:, 0] + halves[:, 1]).astype(np.int64)
 
 
 class _Out:
@@ -97,26 +124,27 @@ class _Out:
         self.words, self.at, self.rows = np.zeros((lanes, 3 * n + 8), np.uint16), np.zeros(lanes, np.int64), np.arange(lanes)
         self.lowest, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
 
-    def put(self, start: np.ndarray, size: np.ndarray, rows: np.ndarray | None = None) -> None:
-        """Narrow the lanes (all, or `rows`) to `size` of 2**16 parts from `start` on."""
-        low, rng = (self.lowest, self.range) if rows is None else (self.lowest[rows], self.range[rows])
-        lanes = self.rows if rows is None else rows
-        r = rng >> _WORD
-        low = low + r * start.astype(np.uint64)
-        rng = r * size.astype(np.uint64)
-        if (over := np.flatnonzero(low > _MASK)).size:
-            low[over] &= _MASK
-            self._carry(lanes[over])
-        if (short := np.flatnonzero(rng < _TOP)).size:
-            k, x = lanes[short], low[short]
-            self.words[k, self.at[k]] = (x >> np.uint64(32)).astype(np.uint16)
-            self.at[k] += 1
-            low[short] = (x << _WORD) & _MASK
-            rng[short] <<= _WORD
-        if rows is None:
+    def put(self, shares: list[tuple[np.ndarray, np.ndarray]], lanes: np.ndarray) -> None:
+        """Narrow `lanes` to each share in turn: start and size, of 2**16 parts."""
+        whole = len(lanes) == len(self.rows)
+        low, rng = (self.lowest, self.range) if whole else (self.lowest[lanes], self.range[lanes])
+        for start, size in shares:
+            r = rng >> _WORD
+            low = low + r * start.astype(np.uint64)
+            rng = r * size.astype(np.uint64)
+            if (over := np.flatnonzero(low > _MASK)).size:
+                low[over] &= _MASK
+                self._carry(lanes[over])
+            if (short := np.flatnonzero(rng < _TOP)).size:
+                k, x = lanes[short], low[short]
+                self.words[k, self.at[k]] = (x >> np.uint64(32)).astype(np.uint16)
+                self.at[k] += 1
+                low[short] = (x << _WORD) & _MASK
+                rng[short] <<= _WORD
+        if whole:
             self.lowest, self.range = low, rng
         else:
-            self.lowest[rows], self.range[rows] = low, rng
+            self.lowest[lanes], self.range[lanes] = low, rng
 
     def _carry(self, lanes: np.ndarray) -> None:
         at = self.at[lanes] - 1
@@ -132,10 +160,17 @@ class _Out:
         return [self.words[k, :n].astype("<u2").tobytes() for k, n in enumerate(self.at.tolist())]
 
 
+def _running(sizes: list[int]) -> np.ndarray:
+    """How many lanes still run at each step; sizes descend."""
+    return np.searchsorted(-np.array(sizes), -np.arange(sizes[0]), side="left")
+
+
 def pack(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payloads of blocks of ids.  Longer blocks come first within a batch, so that lanes that have ended are the last."""
+    """Payloads of blocks of at most BLOCK ids.  Longer blocks come first within a batch, so that lanes that have ended are the last."""
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
+    if blocks and len(blocks[order[0]]) > BLOCK:
+        raise ValueError(f"blocks hold {BLOCK} ids at most")
     for i in range(0, len(order), LANES):
         part = order[i : i + LANES]
         most = len(blocks[part[0]])
@@ -144,28 +179,24 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
             ids[: len(blocks[p]), k] = blocks[p]
         if ids.size and (ids.min() < 0 or ids.max() >= _TOTAL):
             raise ValueError("ids must be in 0 to 65535")
+        ids = ids.astype(np.int32)
         m, o = _Model(len(part)), _Out(len(part), most)
-        live = np.searchsorted(-np.array([len(blocks[p]) for p in part]), -np.arange(most), side="left")
+        live = _running([len(blocks[p]) for p in part])
         for t in range(most):
-            x = ids[t]
+            x, on = ids[t], live[t]
             m.look()
             kind = np.where(m.g2 == x, 0, np.where(m.g1 == x, 1, 2))
-            start = np.where(kind == 0, 0, np.where(kind == 1, m.e1, m.e2))
-            size = np.where(kind == 0, m.e1, np.where(kind == 1, m.e2 - m.e1, _TOTAL - m.e2))
-            on = live[t]
-            if on == len(part):
-                o.put(start, size)
-            else:
-                o.put(start[:on], size[:on], m.rows[:on])
+            edges = np.zeros((4, m.n), np.int32)
+            edges[1], edges[2], edges[3] = m.e1, m.e2, _TOTAL
+            at = kind * m.n + m.rows
+            start, end = edges.reshape(-1).take(at), edges.reshape(-1).take(at + m.n)
+            o.put([(start[:on], (end - start)[:on])], m.rows[:on])
             new = np.flatnonzero(kind[:on] == 2)
             if new.size:
-                hi, lo = x[new] >> 8, x[new] & 255
-                a = m.high_at[new, hi]
-                o.put(a, m.high_at[new, hi + 1] - a, new)
-                own = np.minimum(hi, OWN)
-                a = m.low_at[new, own, lo]
-                o.put(a, m.low_at[new, own, lo + 1] - a, new)
-            m.learn(x, kind)
+                row, y = new * (OWN + 2), x[new]
+                hi = y >> 8
+                o.put([m.share(row, hi), m.share(row + 1 + np.minimum(hi, OWN), y & 255)], new)
+            m.learn(x, kind, new)
         for p, payload in zip(part, o.ends(), strict=True):
             out[p] = payload
     return out
@@ -174,67 +205,64 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
 class _In:
     def __init__(self, payloads: list[bytes]):
         n = max(map(len, payloads)) // 2 + 4
-        self.words, self.rows = np.zeros((len(payloads), n), np.uint64), np.arange(len(payloads))
+        self.words, self.rows = np.zeros((len(payloads), n), np.uint16), np.arange(len(payloads))
         for k, p in enumerate(payloads):
             self.words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-        self.code = (self.words[:, 0] << np.uint64(32)) | (self.words[:, 1] << _WORD) | self.words[:, 2]
-        self.at, self.range, self.last = np.full(len(payloads), 3), np.full(len(payloads), _MASK), n - 1
+        w = self.words[:, :3].astype(np.uint64)
+        self.code = (w[:, 0] << np.uint64(32)) | (w[:, 1] << _WORD) | w[:, 2]
+        self.at, self.range, self.end = np.full(len(payloads), 3), np.full(len(payloads), _MASK), n - 1
 
-    def peek(self, rows: np.ndarray) -> np.ndarray:
-        self.r = self.range[rows] >> _WORD
-        return np.minimum(self.code[rows] // self.r, np.uint64(_TOTAL - 1)).astype(np.int64)
+    def peek(self, code: np.ndarray, rng: np.ndarray) -> np.ndarray:
+        """Which of 2**16 parts the code lies in.  Doubles are exact enough: numbers have 48 bits, the part 16."""
+        self.r = rng >> _WORD
+        return np.minimum((code.astype(np.float64) / self.r.astype(np.float64)).astype(np.int64), _TOTAL - 1)
 
-    def take(self, start: np.ndarray, size: np.ndarray, rows: np.ndarray) -> None:
-        code = self.code[rows] - self.r * start.astype(np.uint64)
+    def take(self, code: np.ndarray, start: np.ndarray, size: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = code - self.r * start.astype(np.uint64)
         rng = self.r * size.astype(np.uint64)
         if (short := np.flatnonzero(rng < _TOP)).size:
-            k = rows[short]
-            code[short] = (code[short] << _WORD) | self.words[k, np.minimum(self.at[k], self.last)]
+            k = lanes[short]
+            code[short] = (code[short] << _WORD) | self.words[k, np.minimum(self.at[k], self.end)]
             self.at[k] += 1
             rng[short] <<= _WORD
-        self.code[rows], self.range[rows] = code, rng
-
-
-def _find(table: np.ndarray, rows: tuple, x: np.ndarray) -> np.ndarray:
-    """The digit whose share of the 257 sums in table[rows] holds x."""
-    at = np.zeros(len(x), np.int64)
-    for step in (128, 64, 32, 16, 8, 4, 2, 1):
-        at += step * (table[(*rows, at + step)] <= x)
-    return at
+        return code, rng
 
 
 def unpack(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(payloads)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(payloads)
     order = sorted(range(len(payloads)), key=lambda k: -sizes[k])
     for i in range(0, len(order), LANES):
         part = order[i : i + LANES]
         most = sizes[part[0]]
         m, src = _Model(len(part)), _In([payloads[p] for p in part])
-        ids = np.zeros((most, len(part)), np.int64)
-        live = np.searchsorted(-np.array([sizes[p] for p in part]), -np.arange(most), side="left")
+        ids = np.zeros((most, len(part)), np.int32)
+        live = _running([sizes[p] for p in part])
         for t in range(most):
             m.look()
-            on = m.rows[: live[t]]
-            e1, e2 = m.e1[: len(on)], m.e2[: len(on)]
-            v = src.peek(on)
-            k = (v >= e1).astype(np.int64) + (v >= e2)
-            src.take(np.where(k == 0, 0, np.where(k == 1, e1, e2)), np.where(k == 0, e1, np.where(k == 1, e2 - e1, _TOTAL - e2)), on)
-            x = np.zeros(len(part), np.int64)
-            x[: len(on)] = np.where(k == 0, m.g2[: len(on)], m.g1[: len(on)])
-            new = on[k == 2]
+            on = live[t]
+            e1, e2 = m.e1[:on], m.e2[:on]
+            v = src.peek(src.code[:on], src.range[:on])
+            kind = (v >= e1).astype(np.int64) + (v >= e2)
+            edges = np.zeros((4, on), np.int32)
+            edges[1], edges[2], edges[3] = e1, e2, _TOTAL
+            at = kind * on + m.rows[:on]
+            start, end = edges.reshape(-1).take(at), edges.reshape(-1).take(at + on)
+            src.code[:on], src.range[:on] = src.take(src.code[:on], start, end - start, m.rows[:on])
+            x = np.zeros(m.n, np.int32)
+            x[:on] = np.where(kind == 0, m.g2[:on], m.g1[:on])
+            new = np.flatnonzero(kind == 2)
             if new.size:
-                v = src.peek(new)
-                hi = _find(m.high_at, (new,), v)
-                a = m.high_at[new, hi]
-                src.take(a, m.high_at[new, hi + 1] - a, new)
-                own, v = np.minimum(hi, OWN), src.peek(new)
-                lo = _find(m.low_at, (new, own), v)
-                a = m.low_at[new, own, lo]
-                src.take(a, m.low_at[new, own, lo + 1] - a, new)
+                row, code, rng = new * (OWN + 2), src.code[new], src.range[new]
+                hi = m.find(row, src.peek(code, rng))
+                code, rng = src.take(code, *m.share(row, hi), new)
+                row = row + 1 + np.minimum(hi, OWN)
+                lo = m.find(row, src.peek(code, rng))
+                src.code[new], src.range[new] = src.take(code, *m.share(row, lo), new)
                 x[new] = hi << 8 | lo
-            kind = np.where(m.g2 == x, 0, np.where(m.g1 == x, 1, 2))
             ids[t] = x
-            m.learn(x, kind)
+            if on < m.n:
+                kind = np.append(kind, np.full(m.n - on, 2))
+            m.learn(x, kind, new)
         for k, p in enumerate(part):
             out[p] = ids[: sizes[p], k].copy()
     return out
@@ -366,22 +394,27 @@ def read(spark: SparkSession, where: str) -> DataFrame:
             yield r, data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, queue, held, out = None, 0, [], b"", []
-        want: list[tuple] = []
+        part, first, queue, out = None, 0, [], []
+        want: deque[tuple] = deque()
+        got = crc = 0
 
         def flush(full: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal part, first, held, want, queue, out
+            nonlocal part, first, got, crc, queue, out
             for r, data in decoded(queue):
                 if r[0] != part:
-                    part, first, held, want = r[0], 0, b"", []
-                want += [(d["doc_id"], d["n"]) for d in r[5]]
-                held += data
-                at = k = 0
-                while k < len(want) and at + 4 * want[k][1] <= len(held):
-                    doc_id, n = want[k]
-                    out.append((part, doc_id, first, n, zlib.crc32(held[at : at + 4 * n])))
-                    first, at, k = first + n, at + 4 * n, k + 1
-                held, want = held[at:], want[k:]
+                    part, first, got, crc = r[0], 0, 0, 0
+                    want.clear()
+                want.extend((d["doc_id"], d["n"]) for d in r[5])
+                at, data = 0, memoryview(data)
+                while want:
+                    doc_id, n = want[0]
+                    end = min(len(data), at + 4 * (n - got))
+                    crc, got, at = zlib.crc32(data[at:end], crc), got + (end - at) // 4, end
+                    if got < n:
+                        break
+                    out.append((part, doc_id, first, n, crc))
+                    want.popleft()
+                    first, got, crc = first + n, 0, 0
             queue = []
             if out and (full or len(out) > 5000):
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
