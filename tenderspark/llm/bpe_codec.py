@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import chunks, slim
+from .common import arrow_map, chunks, slim
 from .pretokens import Pieces, split
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -141,7 +141,7 @@ def roundtrip(docs: DataFrame, path: str | None = None) -> DataFrame:
             a, b, c = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return slim(docs, "doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
+    return arrow_map(slim(docs, "doc_id", "text"), run, docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = [[i for p in codec.ids(split(t or "")) for i in p] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return slim(docs, "doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
+    return arrow_map(slim(docs, "doc_id", "text"), run, docs.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -167,4 +167,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             out = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", F.col("ids")).mapInArrow(run, encoded.select("doc_id").schema.add("text", "string"))
+    return arrow_map(encoded.select("doc_id", F.col("ids")), run, encoded.select("doc_id").schema.add("text", "string"))

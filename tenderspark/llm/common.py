@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,20 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to Python, and the setting's own default.
+BATCH, _UNSET = 4 << 20, "67108864b"
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow in batches of about BATCH bytes (a longer row stands alone), unless the session sets its own size.
+
+    The buffers of a batch stand outside the heap, several times over, for each core of an executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) == _UNSET:
+        df.sparkSession.conf.set(name, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, memoryview]:
     """Offsets and bytes of a string or binary column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

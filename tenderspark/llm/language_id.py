@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, slim
+from .common import arrow_map, buffers, chunks, slim
 
 #: Bounds of the training sample: bytes of each language, bytes of all, bytes of a text, and how many languages at most.
 SAMPLE_BYTES, TOTAL_BYTES, TEXT_BYTES, LANGUAGES = 400_000, 4_000_000, 65_536, 64
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, usable: Column, keep: list[str], names: tuple[str,
             cols = [batch.column(k) for k in range(len(keep))] + [pa.array(lang, pa.string()), pa.array(best), pa.array(rate, mask=np.isnan(rate))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
 
-    return rows.mapInArrow(score, schema)
+    return arrow_map(rows, score, schema)
 
 
 def in_training(doc_id: Column) -> Column:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import buffers, slim
+from .common import arrow_map, buffers, slim
 
 #: Phrases and labels of the base.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -215,4 +215,4 @@ def scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], spans], names=[x.split()[0] for x in SCHEMA.split(", spans")[0].split(", ")] + ["spans"])
 
-    return slim(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+    return arrow_map(slim(docs, "doc_id", "text"), run, SCHEMA)

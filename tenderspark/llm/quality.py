@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slim, texts
+from .common import arrow_map, slim, texts
 
 #: Bounds of the sample: rated texts, and bytes of one of them.
 SAMPLE, TEXT_BYTES = 4000, 65_536
@@ -128,4 +128,4 @@ def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(1)), pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(p[:, 1] >= SELECT)], names=["doc_id", "expected_grade", "p_low", "p_top", "kept"])
 
     schema = docs.select("doc_id").schema.add("expected_grade", "double").add("p_low", "double").add("p_top", "double").add("kept", "boolean")
-    return slim(docs, "doc_id", "text").mapInArrow(run, schema)
+    return arrow_map(slim(docs, "doc_id", "text"), run, schema)

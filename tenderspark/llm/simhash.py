@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slim, stored, texts
+from .common import arrow_map, cut, slim, stored, texts
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
     rows = slim(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("th"))
-    return rows.mapInArrow(run, docs.select("doc_id").schema.add("th", "long").add("fp", "long"))
+    return arrow_map(rows, run, docs.select("doc_id").schema.add("th", "long").add("fp", "long"))
 
 
 def _keys(fps: DataFrame) -> DataFrame:

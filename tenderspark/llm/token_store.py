@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shared_dir, slim
+from .common import arrow_map, chunks, shared_dir, slim
 from .pretokens import Pieces, split
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -374,7 +374,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, parts: int | Non
 
     rows = slim(docs, "doc_id", "text")
     spread = rows.repartitionByRange(*([parts] if parts else []), F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"))
-    spread.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS).write.parquet(where)
+    arrow_map(spread.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, BLOCKS).write.parquet(where)
 
 
 def read(spark: SparkSession, where: str) -> DataFrame:
