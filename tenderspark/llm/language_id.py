@@ -70,25 +70,27 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
     seen = np.zeros(256, bool)
     for lang in langs:
         keep = np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(t), bool)] for t in samples[lang]])
-        b = np.frombuffer(b"".join(pad + t for t in samples[lang]), np.uint8).astype(np.int64)
+        b = np.frombuffer(b"".join(pad + t for t in samples[lang]), np.uint8).astype(np.int32)
         at = np.flatnonzero(keep)
-        seen[b[at]] = True
-        ctx, rows = np.zeros(len(at), np.int64), []
+        byte = b[at]
+        seen[byte] = True
+        ctx, rows = np.zeros(len(at), np.int32), []
         for k in range(ORDER + 1):
             if k:
                 ctx = ctx + (b[at - k] << (8 * (k - 1)))
-            rows.append((ctx, b[at]))
+            rows.append((ctx, byte))
         keyed.append(rows)
     width = int(seen.sum()) + 1
     classes = np.full(256, width - 1, np.int32)
     classes[seen] = np.arange(width - 1)
-    known = [np.zeros(1, np.int64)]
+    known = [np.zeros(1, np.int32)]
     for k in range(1, ORDER + 1):
         values, n = np.unique(np.concatenate([rows[k][0] for rows in keyed]), return_counts=True)
         known.append(values[n >= 2])
     first = np.cumsum([0, *map(len, known)])
     cost = np.zeros((len(langs), first[-1], width), np.float32)
-    for i, rows in enumerate(keyed):
+    for i in range(len(langs)):
+        rows, keyed[i] = keyed[i], []
         tail = before = None
         for k in range(ORDER + 1):
             ctx, byte = rows[k]
