@@ -39,9 +39,16 @@ class Model:
     cost: np.ndarray
 
     def bits(self, parts: list[bytes]) -> np.ndarray:
-        """Bits of each text (rows) for each language (columns)."""
+        """Bits of each text (rows) for each language (columns).  A long text goes slice by slice, each after the bytes before it."""
         pad = b"\n" * ORDER
-        buf = np.frombuffer(pad + pad.join(parts), np.uint8)
+        if len(parts) == 1 and len(parts[0]) > CHUNK:
+            text = parts[0]
+            return sum(self._bits([text[i : i + CHUNK]], text[i - ORDER : i] if i else pad) for i in range(0, len(text), CHUNK))
+        return self._bits(parts, pad)
+
+    def _bits(self, parts: list[bytes], lead: bytes) -> np.ndarray:
+        pad = b"\n" * ORDER
+        buf = np.frombuffer(lead + pad.join(parts), np.uint8)
         lens = np.fromiter(map(len, parts), np.int64, len(parts))
         b = buf.astype(np.int32)
         node = self.nodes2[(b[1:-1] << 8) + b[2:]] if len(b) > 2 else np.zeros(0, np.int32)
