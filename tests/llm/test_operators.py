@@ -186,6 +186,23 @@ def test_pivot_recall():
         assert ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= 2).mean() >= least
 
 
+def test_pivots_in_dense_groups(spark):
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = lambda n, c: unit(np.sqrt(c) * unit(rng.normal(size=(1, 64))) + np.sqrt(1 - c) * unit(rng.normal(size=(n, 64))))
+    third = np.concatenate([group(1000, 0.93), unit(rng.normal(size=(2000, 64)))])
+    four = np.concatenate([*(group(250, 0.91) for _ in range(4)), unit(rng.normal(size=(2000, 64)))])
+    cone = unit(np.sqrt(0.5) * unit(rng.normal(size=(1, 64))) + np.sqrt(0.5) * unit(rng.normal(size=(600, 64))))
+    near = np.concatenate([cone, unit(cone + 0.42 * unit(rng.normal(size=cone.shape)))])
+    for v in (third, four, group(1200, 0.92), near):
+        v = rng.permutation(v)
+        link = v @ v.T >= 0.9
+        np.fill_diagonal(link, False)
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in pivot_dedup.near_duplicates(df).collect()}
+        assert all(got[i] <= n for i, n in enumerate(link.sum(1).tolist())) and sum(got.values()) >= 0.95 * link.sum() > 0
+
+
 def test_mixing(docs, none):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = defaultdict(int)
