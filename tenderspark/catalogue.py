@@ -208,6 +208,10 @@ def _entries() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
  CASE WHEN a.cage_code IS NOT NULL AND n.cage_code IS NOT NULL THEN 'AWARD_AND_NETWORK' WHEN a.cage_code IS NOT NULL THEN 'AWARD_BACKED' ELSE 'NETWORK_ONLY' END AS profile_source, coalesce(network_flow_total, 0) AS network_flow_total, coalesce(network_contract_count, 0) AS network_contract_count, coalesce(network_last_active_year, 0) AS network_last_active_year
  FROM (SELECT cage_code, {money('total_spend')} AS total_lifetime_spend, {big('SUM(contract_count)')} AS total_contracts, max(year) AS last_active_year, array_to_string(list_sort(list(DISTINCT naics_code || ' - ' || naics_description))[1:5], ', ') AS top_naics_codes, array_to_string(list_sort(list(DISTINCT platform_family))[1:5], ', ') AS top_platforms FROM s WHERE cage_code < '00060' GROUP BY 1) a
  FULL JOIN (SELECT cage_code, {money('v')} AS network_flow_total, COUNT(DISTINCT contract_id) AS network_contract_count, max(year) AS network_last_active_year FROM (SELECT prime_cage AS cage_code, contract_id, year, subaward_value AS v FROM e UNION ALL SELECT sub_cage, contract_id, year, subaward_value FROM e) WHERE cage_code <> '00000' GROUP BY 1) n ON a.cage_code = n.cage_code""", TX, S, ROLLED, EDGES, "e AS (SELECT * FROM edges WHERE prime_cage >= '00040' AND sub_cage >= '00040')")),
+        "profiles": (lambda t: M.profiles(t.s, t.edges).drop("vendor_name").fillna(0, ["last_active_year", "network_last_active_year"]), w(f"""SELECT coalesce(a.cage_code, n.cage_code) AS cage_code, coalesce(total_lifetime_spend, 0) AS total_lifetime_spend, coalesce(total_contracts, 0) AS total_contracts, coalesce(last_active_year, 0) AS last_active_year, top_naics_codes, top_platforms,
+ CASE WHEN a.cage_code IS NOT NULL AND n.cage_code IS NOT NULL THEN 'AWARD_AND_NETWORK' WHEN a.cage_code IS NOT NULL THEN 'AWARD_BACKED' ELSE 'NETWORK_ONLY' END AS profile_source, coalesce(network_flow_total, 0) AS network_flow_total, coalesce(network_contract_count, 0) AS network_contract_count, coalesce(network_last_active_year, 0) AS network_last_active_year
+ FROM (SELECT cage_code, {money('total_spend')} AS total_lifetime_spend, {big('SUM(contract_count)')} AS total_contracts, max(year) AS last_active_year, array_to_string(list_sort(list(DISTINCT naics_code || ' - ' || naics_description))[1:5], ', ') AS top_naics_codes, array_to_string(list_sort(list(DISTINCT platform_family))[1:5], ', ') AS top_platforms FROM s GROUP BY 1) a
+ FULL JOIN (SELECT cage_code, {money('v')} AS network_flow_total, COUNT(DISTINCT contract_id) AS network_contract_count, max(year) AS network_last_active_year FROM (SELECT prime_cage AS cage_code, contract_id, year, subaward_value AS v FROM edges UNION ALL SELECT sub_cage, contract_id, year, subaward_value FROM edges) WHERE cage_code <> '00000' GROUP BY 1) n ON a.cage_code = n.cage_code""", TX, S, ROLLED, EDGES)),
         "profile_pick_name": (lambda t: M.pick_name(t.tx.select("clean_parent", "vendor_name", "year", "spend_amount"), "clean_parent", "spend_amount"), w("SELECT clean_parent, vendor_name FROM (SELECT *, row_number() OVER (PARTITION BY clean_parent ORDER BY year DESC, spend_amount DESC, vendor_name DESC) AS rn FROM tx) WHERE rn = 1", TX)),
         "company_kpis_year": (lambda t: Q.company_kpis(M.kpis(t.s), CAGE, YEARS), w(f"SELECT {_SPEND}, {_CONTRACTS}, max(year) AS last_year FROM s WHERE {OPEN_CAGE} AND year IN {YEAR_LIST}", TX, S)),
         "kpis_mart": (lambda t: M.kpis(t.s), w(f"SELECT cage_code, year, {_SPEND}, {big('SUM(contract_count)')} AS contract_count FROM s GROUP BY 1, 2", TX, S)),

@@ -151,6 +151,33 @@ def test_sql(spark, name):
     assert sorted(map(repr, (tuple(r[c] for c in names) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def agrees_with_sql(spark, name, sf):
+    data = f"/root/testdata/{sf}"
+    db = duckdb.connect()
+    for f in os.listdir(data):
+        db.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{data}/{f}'")
+    got = catalogue.queries()[name](spark, data)
+    want = db.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    rows = [tuple(r[c] for c in names) for r in got.collect()]
+    assert sorted(names) == sorted(got.columns) and sorted(map(repr, rows)) == sorted(map(repr, want.fetchall()))
+    return [dict(zip(names, r, strict=True)) for r in rows]
+
+
+def test_profile_sides(spark):
+    s = spark.createDataFrame([("1", "A", 2020, 5.0, 2), ("1", "A", 2019, 1.0, 1), ("2", "B", 2018, 7.0, 4)], "cage_code string, vendor_name string, year int, total_spend double, contract_count long").withColumns({"naics_code": F.lit("1"), "naics_description": F.lit("x"), "platform_family": F.lit("p")})
+    edges = spark.createDataFrame([("1", "A", "9", "M", "c", 2021, 3.0), ("1", "A", "00000", "Z", "d", 2022, 4.0)], "prime_cage string, prime_name string, sub_cage string, sub_name string, contract_id string, year int, subaward_value double")
+    got = {(r.cage_code, r.vendor_name, r.profile_source, r.total_lifetime_spend, r.total_contracts, r.last_active_year, r.network_flow_total, r.network_contract_count, r.network_last_active_year) for r in M.profiles(s, edges).collect()}
+    assert got == {("1", "A", "AWARD_AND_NETWORK", 6.0, 3, 2020, 7.0, 2, 2022), ("2", "B", "AWARD_BACKED", 7.0, 4, 2018, 0.0, 0, None), ("9", "M", "NETWORK_ONLY", 0.0, 0, None, 3.0, 1, 2021)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_profiles_hold_all_suppliers(spark):
+    got = agrees_with_sql(spark, "profiles", "sf0.01")
+    sold = {r[0] for r in catalogue.Tables(spark, "/root/testdata/sf0.01").s.select("cage_code").distinct().collect()}
+    assert max(sold) > "00060" and {r["cage_code"] for r in got if r["total_contracts"]} == sold
+
+
 def test_entry_without_the_training_data_operators():
     import subprocess
     import sys
