@@ -162,6 +162,7 @@ def _entries() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
         "filter_options_parents": (lambda t: Q.top_parents(t.s, f_years), w(f"SELECT clean_parent, {_SPEND} FROM s WHERE year IN {YEAR_LIST} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50", TX, S)),
         "options_years": (lambda t: Q.options(t.s, "year"), w("SELECT DISTINCT year FROM s", TX, S)),
         "trend_yearly_gapfilled": (lambda t: Q.trend_yearly(t.s.where("year <> 1998"), f_plat), w(_gap("g"), TX, S, f"g AS (SELECT year, {money('total_spend')} AS amount FROM s WHERE year <> 1998 AND platform_family = '{PLATFORM}' GROUP BY 1)")),
+        "trend_yearly": (lambda t: Q.trend_yearly(t.s, f_plat), w(_gap("g"), TX, S, f"g AS (SELECT year, {money('total_spend')} AS amount FROM s WHERE platform_family = '{PLATFORM}' GROUP BY 1)")),
         "trend_monthly_fiscal": (lambda t: Q.trend_monthly(t.s, f_years), w(f"SELECT month, {_SPEND}, CAST(CASE WHEN month >= 10 THEN month - 9 ELSE month + 3 END AS INTEGER) AS place FROM s WHERE year IN {YEAR_LIST} GROUP BY month", TX, S)),
         "subsidiaries": (lambda t: Q.subsidiaries(t.s, t.geo, Filters(parent=PARENT)), w(f"SELECT s.cage_code, s.vendor_name, {_SPEND}, {_CONTRACTS}, coalesce(min(geo.city), 'N/A') AS city, coalesce(min(geo.state), 'N/A') AS state FROM s LEFT JOIN geo USING (cage_code) WHERE clean_parent = '{PARENT}' GROUP BY 1, 2 ORDER BY 3 DESC, 1 LIMIT 200", TX, S, GEO)),
         "distributions_platform": (lambda t: Q.distribution(t.s, "platform_family", f_years), _dist("platform_family", f"year IN {YEAR_LIST}")),
@@ -231,6 +232,7 @@ def _entries() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
         "nsn_supplier_lookup": (lambda t: M.nsn_supplier_lookup(t.tx), w("SELECT * FROM lookup", TX, LOOKUP)),
         "nsn_suppliers": (lambda t: Q.nsn_suppliers(M.nsn_supplier_lookup(t.tx), t.reference, NIIN), w(f"SELECT cage, max(vendor) AS vendor, COUNT(DISTINCT contract_id) AS contracts, max(last_sold) AS last_sold, {money('total_revenue')} AS revenue FROM lookup WHERE niin = '{NIIN}' GROUP BY 1", TX, LOOKUP)),
         "nsn_supplier_reference_union": (lambda t: Q.supplier_union(M.nsn_supplier_lookup(t.tx).where("year = 1998"), t.reference, NIIN), w(f"SELECT cage, {money('total_revenue')} AS revenue, 'SALES' AS source FROM lookup WHERE niin = '{NIIN}' AND year = 1998 GROUP BY 1 UNION ALL SELECT DISTINCT cage, 0.0::DOUBLE, 'REFERENCE' FROM lookup WHERE niin = '{NIIN}' AND cage NOT IN (SELECT cage FROM lookup WHERE niin = '{NIIN}' AND year = 1998)", TX, LOOKUP)),
+        "nsn_supplier_union": (lambda t: Q.supplier_union(M.nsn_supplier_lookup(t.tx), t.reference, NIIN), w(f"SELECT cage, {money('total_revenue')} AS revenue, 'SALES' AS source FROM lookup WHERE niin = '{NIIN}' GROUP BY 1", TX, LOOKUP)),
         "nsn_platforms": (lambda t: Q.nsn_platforms(M.nsn_summary(t.tx), NIIN), w(f"SELECT platform_family, {money('spend_amount')} AS spend, {big('SUM(contracts)')} AS contracts FROM nsn WHERE niin = '{NIIN}' GROUP BY 1", TX, NSN)),
         "nsn_history_gapfilled": (lambda t: Q.nsn_history(M.nsn_summary(t.tx), NIIN), w(_gap("g"), TX, NSN, f"g AS (SELECT year, {money('spend_amount')} AS amount FROM nsn WHERE niin = '{NIIN}' GROUP BY 1)")),
         "nsn_contracts_page": (lambda t: Q.nsn_contracts(t.tx, NIIN, 10, 5), w(f"SELECT contract_id, action_date, line_no, vendor_name AS vendor, platform_family AS platform, spend_amount FROM tx WHERE niin = '{NIIN}' ORDER BY action_date DESC, contract_id, line_no, spend_amount DESC, vendor LIMIT 10 OFFSET 5", TX)),
@@ -266,6 +268,7 @@ SELECT c_custkey, vendor_name, cage_code, sub_agency, market_segment, platform_f
 SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN '' WHEN length('C' || c_custkey) < 5 THEN lpad('C' || c_custkey, 5, '0') ELSE 'C' || c_custkey END AS frame, CASE WHEN c_custkey % 5 < 2 THEN NULL ELSE lpad('C' || c_custkey, 5, '0') END AS padded,
  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE upper(c_mktsegment) END AS agency FROM customer"""),
         "hitlist": (lambda t: M.hitlist(t.geo, t.s.where("year = 1998")).select("cage_code", "vendor_name", "total_spend"), w(f"SELECT geo.cage_code, geo.vendor_name, coalesce({money('total_spend')}, 0) AS total_spend FROM geo LEFT JOIN s ON s.cage_code = geo.cage_code AND year = 1998 GROUP BY 1, 2", TX, S, GEO)),
+        "hitlist_lifetime": (lambda t: M.hitlist(t.geo, t.s).select("cage_code", "vendor_name", "total_spend"), w(f"SELECT geo.cage_code, geo.vendor_name, coalesce({money('total_spend')}, 0) AS total_spend FROM geo LEFT JOIN s ON s.cage_code = geo.cage_code GROUP BY 1, 2 ORDER BY 3 DESC, 2", TX, S, GEO)),
         "spend_tiers": (lambda t: M.spend_tiers(t.geo, t.s, ["ST_1", "ST_2"]), w(f"""SELECT tier, n, n * 100.0::DOUBLE / sum(n) OVER () AS pct_rows, value, value * 100.0::DOUBLE / CAST(sum(CAST(value AS DECIMAL(18,4))) OVER () AS DOUBLE) AS pct_value FROM (
  SELECT CASE WHEN spend > -1 AND spend <= 0 THEN 'Zero' WHEN spend > 0 AND spend <= 1e5 THEN '<100k' WHEN spend > 1e5 AND spend <= 1e6 THEN '100k-1M' WHEN spend > 1e6 AND spend <= 1e12 THEN '>1M' END AS tier, count(*) AS n, {money('spend')} AS value
  FROM (SELECT cage_code, {money('total_spend')} AS spend FROM s GROUP BY 1) JOIN geo USING (cage_code) WHERE state NOT IN ('ST_1', 'ST_2') GROUP BY 1)""", TX, S, GEO)),

@@ -178,6 +178,29 @@ def test_profiles_hold_all_suppliers(spark):
     assert max(sold) > "00060" and {r["cage_code"] for r in got if r["total_contracts"]} == sold
 
 
+@needs_data
+@pytest.mark.parametrize("name", ["hitlist_lifetime", "trend_yearly", "nsn_supplier_union"])
+def test_all_years(spark, name):
+    got = agrees_with_sql(spark, name, "sf0.001")
+    tx = catalogue.Tables(spark, DATA).tx
+    if name == "hitlist_lifetime":
+        assert abs(sum(r["total_spend"] for r in got) - tx.agg(F.sum("spend_amount")).first()[0]) < 1
+    if name == "trend_yearly":
+        assert next(r["amount"] for r in got if r["year"] == 1998) > 0
+    if name == "nsn_supplier_union":
+        assert {r["cage"] for r in got if r["source"] == "SALES"} == {r[0] for r in tx.where(F.col("niin") == catalogue.NIIN).select("vendor_cage").collect()}
+
+
+def test_zero_fill_gap_and_reference_only(spark):
+    geo = spark.createDataFrame([("1", "A"), ("2", "B"), ("3", "C")], "cage_code string, vendor_name string")
+    s = spark.createDataFrame([("1", 2018, 5.0), ("1", 2021, 1.0), ("2", 2021, 9.0)], "cage_code string, year int, total_spend double")
+    assert [(r.cage_code, r.total_spend) for r in M.hitlist(geo, s).collect()] == [("2", 9.0), ("1", 6.0), ("3", 0.0)]
+    assert sorted(tuple(r) for r in Q.trend_yearly(s, Filters()).select("year", "amount").collect()) == [(2018, 5.0), (2019, 0.0), (2020, 0.0), (2021, 10.0)]
+    sold = spark.createDataFrame([("000000001", "A", 1.0), ("000000001", "A", 2.0)], "niin string, cage string, total_revenue double")
+    listed = spark.createDataFrame([("000000001", "A"), ("000000001", "B")], "niin string, cage string")
+    assert {(r.cage, r.revenue, r.source) for r in Q.supplier_union(sold, listed, "1").collect()} == {("A", 3.0, "SALES"), ("B", 0.0, "REFERENCE")}
+
+
 def test_entry_without_the_training_data_operators():
     import subprocess
     import sys
