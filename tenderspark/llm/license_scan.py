@@ -138,7 +138,9 @@ class Scanner:
             found = part.split()
             ids = np.fromiter((-1 if (x := get(w)) is None else x for w in found), np.int32, len(found))
             known = np.flatnonzero(ids >= 0)
-            if len(known) and known[0]:
+            if len(found) and (not len(known) or known[0]):  # a match that the last chunk left open ends there
+                if n >= LONG:
+                    runs.append((total - 1, v, n))
                 v = n = 0
             before = -1
             for i in known.tolist():
@@ -154,11 +156,10 @@ class Scanner:
                 for k, size in self.ending.get(v, ()):
                     if n >= size:
                         places.append((total + i - size + 1, k))
-            if len(known) == 0 or known[-1] != len(found) - 1:
-                if n >= LONG and before >= 0:
+            if len(known) and known[-1] != len(found) - 1:
+                if n >= LONG:
                     runs.append((total + before, v, n))
-                if len(found):
-                    v = n = 0
+                v = n = 0
             total += len(found)
         if n >= LONG:
             runs.append((total - 1, v, n))

@@ -269,6 +269,18 @@ def test_license_spans():
     assert "bsd" in labels and score == 1.0 and ("bsd", 3, 2 + len(license_scan.words(license_scan.NOTICES["bsd"].encode()))) in spans
 
 
+def test_license_spans_in_chunks(monkeypatch):
+    scanner, rng = license_scan.Scanner(), random.Random(9)
+    notices = list(license_scan.NOTICES.values())
+    for _ in range(60):
+        text = " ".join(f"{' '.join(rng.choices(['zzz', 'qqq'], k=rng.randint(0, 9)))} {rng.choice(notices)}" for _ in range(2)) + " zzz qqq zzz"
+        monkeypatch.setattr(license_scan, "CHUNK", 1 << 22)
+        whole = scanner.scan(text.encode())
+        for size in rng.choices(range(20, len(text)), k=20):
+            monkeypatch.setattr(license_scan, "CHUNK", size)
+            assert scanner.scan(text.encode()) == whole
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     for high in (1, 2, 300, 65536):
