@@ -27,11 +27,12 @@ DEPTH, DEEPER = 32, 4
 def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its index, ids and scores of its k best of the block, best first.  `own`: the query's own row.
 
-    Integer vectors; products are exact: in floats while they stay below 2**24, doubles below 2**53, else 64-bit integers.
+    Integer vectors; products are exact: in floats while they stay below 2**24, doubles below 2**53, 64-bit integers below
+    2**63, else Python's.  A score among the k best beyond 64 bits is an error.
     """
     n, d = vectors.shape
     most = int(np.abs(vectors).max(initial=0)) * int(np.abs(queries).max(initial=0)) * max(1, d)
-    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**63 else object
     v, q = vectors.astype(kind), queries.astype(kind)
     order = np.argsort(v, axis=0, kind="stable").T.astype(np.int32)  # by dimension, ascending
     lists = np.take_along_axis(v, order.T, 0)  # depth, dimension
@@ -57,7 +58,8 @@ def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarr
             other = rows[found] != own[i]
             if np.count_nonzero(other) >= k:
                 kth = np.partition(scores[other], -k)[-k]
-                if float(x[up] @ lists[n - depth, up]) + float(x[down] @ lists[depth - 1, down]) < kth:
+                high, low = lists[n - depth, up], lists[depth - 1, down]
+                if (sum(x[up] * high) + sum(x[down] * low) if kind is object else float(x[up] @ high) + float(x[down] @ low)) < kth:
                     break
             done, depth = depth, min(DEEPER * depth, n)
         keep = rows[found] != own[i]
@@ -66,13 +68,14 @@ def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarr
             kth = np.partition(scores, -k)[-k]
             near = scores >= kth
             found, scores = found[near], scores[near]
-        best = np.lexsort((ids[found], -scores))[:k]
+        best = sorted(range(len(found)), key=lambda j: (-scores[j], ids[found[j]]))[:k] if kind is object else np.lexsort((ids[found], -scores))[:k]
         yield i, ids[found[best]], scores[best].astype(np.int64)
 
 
 def _task(key: tuple, table: pa.Table, k: int) -> pa.Table:
     size = len(table["v"][0].as_py()) // 8
-    v = np.frombuffer(b"".join(table["v"].to_pylist()), np.int64).reshape(-1, size)
+    v = np.frombuffer(b"".join(table["v"].to_pylist())).reshape(-1, size)
+    v = v.astype(np.int64) if np.abs(v).max() < 2**62 else np.vectorize(int, otypes=[object])(v)
     ids, rows, ask = table["vec_id"].to_numpy(), table["row"].to_numpy(), table["ask"].to_numpy(zero_copy_only=False).astype(bool)
     out = [(rows[ask][i], ids[ask][i], a, b) for i, a, b in search(v[ask], rows[ask], ids[~ask], rows[~ask], v[~ask], k)] if ask.any() and not ask.all() else []
     n = [len(a) for _, _, a, _ in out]
@@ -86,7 +89,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k best of all other rows.
 
     Rows without an id, and vectors that are null, empty or hold null or non-finite components, take no part; a vector
-    that is shorter than others counts 0 in what it lacks.  Components are floor(SCALE * x), kept within 31 bits.  Rows that
+    that is shorter than others counts 0 in what it lacks.  Components are floor(SCALE * x).  Rows that
     repeat an id are vectors of their own: each asks for itself, and each is a candidate for the other.
     """
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
@@ -103,7 +106,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             v = np.zeros((n, d))
             lens = np.diff(at)
             v[np.repeat(np.arange(n), lens), np.arange(at[0], at[-1]) - np.repeat(at[:-1], lens)] = flat[at[0] : at[-1]]
-            whole = np.clip(np.floor(SCALE * v), -(2**31), 2**31 - 1).astype(np.int64)
+            whole = np.floor(SCALE * v)  # whole numbers that doubles hold exactly
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in whole], pa.binary())], names=["vec_id", "row", "v"])
 
     whole = rows.mapInArrow(quantise, "vec_id long, row long, v binary")

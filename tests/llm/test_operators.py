@@ -151,6 +151,22 @@ def test_topk_stops_early_and_exact():
         assert ids.tolist() == best.tolist() and scores.tolist() == s[best].tolist()
 
 
+def test_topk_wide_components(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-1000, 1000, (80, 4)).astype(float)
+    v[:, 0] = 2.0**25 + rng.integers(0, 4000, 80) / 64
+    v[[0, 20], 0], v[60], v[70, 0] = 0, [0, 2.0**30, 3, -4], -(2.0**29)
+    q = [[int(np.floor(64 * x)) for x in r] for r in v]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in threshold_topk.top_k(spark.createDataFrame([(i, r) for i, r in enumerate(v.tolist())], "vec_id long, embedding array<double>")).collect())
+    want = []
+    for a in range(0, 80, 20):
+        best = sorted((-sum(x * y for x, y in zip(q[a], q[j], strict=True)), j) for j in range(80) if j != a)[:20]
+        want += [(a, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want) and max(s for *_, s in got) > 2**62
+    with pytest.raises(OverflowError):
+        list(threshold_topk.search(np.array([[2**40]], object), np.array([0]), np.array([7]), np.array([1]), np.array([[2**40]], object)))
+
+
 def test_pivots(spark, monkeypatch):
     monkeypatch.setattr(pivot_dedup, "CHUNK", 8)
     df = spark.createDataFrame(vectors(), VECTORS).repartition(2)
