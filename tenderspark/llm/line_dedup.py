@@ -1,15 +1,19 @@
 """Line dedup by a suffix array over line ids, built by distributed prefix doubling, with built-in functions only.
 
-Documents stand in order of (doc_id, hash of the text), null ids last; their lines that are not blank make up the
-sequence.  Each suffix (the lines from one place to its document's end) is ranked by its first line, then by its first 2, 4
-and 8: the rank of h lines and the rank of the h lines that follow give the rank of 2h.  A rank is the place of the first
-copy, so one aggregation by pair of ranks, combined before the shuffle, both ranks a round and tells every copy from the
-first; suffixes alone in their rank drop out, and what has a rank in common is an interval of common prefixes of that length.
-
-A run of lines with MIN_WORDS words or more that also stands at an earlier place is a copy, and its lines go.  Such a run is
-a union of least runs: those that reach MIN_WORDS only with their last line, or (read backwards) with their first one.
-Lines that are not blank have a word each, so a least run has at most MIN_WORDS lines, and two overlapping ranked blocks of
-2**k lines name it: doubling ends there.  What is next to no short line is settled by the first round.
+Documents stand in order of (doc_id, hash of the text), null ids last; their lines that are not blank make up the sequence,
+and a line's place in it is a number.  A suffix is what follows from a place to its document's end.
+
+Doubling.  Level k ranks the suffixes by their first 2**k lines.  The rank of 2h lines comes from the rank of h lines and the
+rank of the h lines that follow; a rank is the place of its first copy, so one aggregation, combined before the shuffle, ranks
+all suffixes and finds those that are alone in their rank.  These drop out, and doubling goes on until none is left: then the
+order of ranks is settled for all suffixes, and those that share a rank at a level are an interval with a common prefix.
+
+Intervals.  The intervals are walked down from the deepest level to single lines.  A suffix stands in the deepest interval
+known to hold an earlier place; level k deals the interval into those that agree on 2**k lines more.  Each part becomes an
+interval of its own, and of it only the first place is left behind: any other that a suffix outside could meet agrees with it
+no longer.  So no group is ever gathered, and in the end each suffix knows the longest common prefix it has with any earlier
+place: its repeated run.  Runs that the one before covers are not maximal; of the maximal ones those of MIN_WORDS words or
+more are copies, and their lines go.
 """
 
 from __future__ import annotations
@@ -17,108 +21,166 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slim, stored
+from .common import dropped, free, slim, stored
 
 MIN_WORDS = 10
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of a place that count lines within a range of documents.
+RANGE = 40
+DOC = ("n", "id", "th")
 
 
-def _doc(text: Column) -> Column:
-    return F.xxhash64(text)
+def _key(doc_id: Column, text: Column) -> list[Column]:
+    return [doc_id.isNull().alias("n"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.xxhash64(text).alias("th")]
+
+
+def _parts(text: Column) -> Column:
+    return F.split(text, "\n")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(d, th, seq, ln, words, l1, l2): each line that is not blank; seq counts those, ln all lines of the text; l1 and l2
-    are its id of 128 bits.  Rows that repeat both id and text are one document."""
+    """(n, id, th, seq, words, l1, l2): each line that is not blank; seq counts those; l1 and l2 are its id of 128 bits."""
     rows = slim(docs, "doc_id", "text").where(F.col("text").isNotNull())
-    numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("ln"), x.alias("line")))
-    kept = F.filter(numbered, lambda s: s["line"].rlike(WORD))
-    out = rows.select(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("id"), _doc(F.col("text")).alias("th")).alias("d"), F.posexplode(kept).alias("seq", "s"))
-    line = F.col("s.line")
-    return out.select(F.col("d.n").alias("n"), F.col("d.id").alias("id"), F.col("d.th").alias("th"), "seq", F.col("s.ln").alias("ln"), F.regexp_count(line, F.lit(WORD)).alias("words"), F.xxhash64(line).alias("l1"), F.xxhash64(F.lit("second"), line).alias("l2"))
-
-
-def _place() -> Column:
-    return F.struct("n", "id", "th", "seq")
-
-
-def repeated(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`lines` in a table -> (n, id, th, ln): the lines that go."""
-    first = found.groupBy("l1", "l2").agg(F.min(_place()).alias("r0"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    # kept in a table: both sides of the join are dealt anew, so that a line with very many copies can be split
-    ranked = stored(found.join(stored(first, "first"), ["l1", "l2"]).select("n", "id", "th", "seq", "ln", "words", "r0"), "rank1")
-    alone = ranked.where((F.col("words") >= min_words) & (F.col("r0") < _place())).select("n", "id", "th", "ln")
-    # longer least runs: short lines, and one line beside them at most
-    doc = Window.partitionBy("n", "id", "th").orderBy("seq")
-    short = F.col("words") < min_words
-    beside = F.coalesce(F.lag(short).over(doc), F.lit(False)) | F.coalesce(F.lead(short).over(doc), F.lit(False))
-    once = ranked.repartition("n", "id", "th").dropDuplicates(["n", "id", "th", "seq"])  # a document that is repeated counts once
-    near = stored(once.select("*", (short | beside).alias("near")).where("near").drop("near"), "near")
-    levels, h = [near], 1
-    while 2 * h <= min_words:
-        name, k = f"r{len(levels)}", f"r{len(levels) - 1}"
+    out = rows.select(*_key(F.col("doc_id"), F.col("text")), F.posexplode(F.filter(_parts(F.col("text")), lambda x: x.rlike(WORD))).alias("seq", "line"))
+    line = F.col("line")
+    return out.select(*DOC, "seq", F.regexp_count(line, F.lit(WORD)).alias("words"), F.xxhash64(line).alias("l1"), F.xxhash64(F.lit("second"), line).alias("l2"))
+
+
+def _placed(found: DataFrame, min_words: int) -> DataFrame:
+    """Repeated lines with their place, the place where the repeated lines around them end (`stop`), and how many lines from
+    here on have `min_words` words (`need`, null if the document ends before).  Rows that repeat id and text count once."""
+    copies = stored(found.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copies")
+    again = stored(found.join(copies, ["l1", "l2"]).groupBy(*DOC, "seq").agg(*[F.first(c).alias(c) for c in ("l1", "l2", "words")]), "again")
+    # ranges of documents in order; within one, lines are counted on, with a gap after each document
+    sizes = again.groupBy(*DOC).agg((F.max("seq") + 2).alias("size")).repartitionByRange(*DOC).withColumn("range", F.spark_partition_id().cast("long"))
+    before = Window.partitionBy("range").orderBy(*DOC).rowsBetween(Window.unboundedPreceding, -1)
+    base = stored(sizes.select(*DOC, (F.shiftleft("range", RANGE) + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("base")), "base")
+    rows = again.join(base, list(DOC)).select(*DOC, "seq", "words", "l1", "l2", (F.col("base") + F.col("seq")).alias("place"))
+    doc = Window.partitionBy(*DOC).orderBy("place")
+    rows = rows.withColumn("sum", F.coalesce(F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = F.coalesce(F.lead("place").over(doc) != F.col("place") + 1, F.lit(True))
+    rows = rows.withColumn("stop", F.when(ends, F.col("place") + 1))
+    rows = rows.withColumn("stop", F.min("stop").over(doc.rowsBetween(0, Window.unboundedFollowing)))
+    words = Window.partitionBy(*DOC).orderBy("sum").rangeBetween(0, min_words - 1)
+    rows = rows.withColumn("need", F.when(F.sum("words").over(words) >= min_words, F.count(F.lit(1)).over(words))).drop("sum", "words")
+    rows = stored(rows, "placed")
+    dropped(copies, again, base)
+    return rows
+
+
+def _ranked(rows: DataFrame, by: tuple[str, str], keep: tuple[str, ...], name: str) -> DataFrame:
+    """Rows that share both keys with another: `keep`, and the place of the first copy as `rank`.
+
+    The first copies are kept in a table, so that both sides of the join are dealt anew and a hot key can be split."""
+    first = stored(rows.groupBy(*by).agg(F.min("place").alias("rank"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "first")
+    out = stored(rows.join(first, list(by)).select("place", *keep, "rank"), name)
+    dropped(first)
+    return out
+
+
+def ranks(placed: DataFrame) -> list[DataFrame]:
+    """Level k: (place, stop, rank) of each suffix whose first 2**k lines stand at another place too; the last level is empty."""
+    levels = [_ranked(placed.select("place", "stop", "l1", "l2"), ("l1", "l2"), ("stop",), "rank0")]
+    h = 1
+    while not levels[-1].isEmpty():
         last = levels[-1]
-        follows = F.when(F.lead("seq", h).over(doc) == F.col("seq") + h, F.lead(k).over(doc)) if h == 1 else None
-        if follows is None:  # places in between may have dropped out: look by place, not by row
-            follows = F.first(k).over(Window.partitionBy("n", "id", "th").orderBy("seq").rangeBetween(h, h))
-        pairs = last.select("n", "id", "th", "seq", F.col(k).alias("a"), follows.alias("b")).where("b IS NOT NULL")
-        pairs = stored(pairs, "pairs")
-        rank = pairs.groupBy("a", "b").agg(F.min(_place()).alias(name), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-        levels.append(stored(pairs.join(stored(rank, "ranks"), ["a", "b"]).select("n", "id", "th", "seq", name), name))
+        follows = last.select((F.col("place") - h).alias("place"), F.col("rank").alias("b"))
+        pairs = stored(last.where(F.col("place") + 2 * h <= F.col("stop")).withColumnRenamed("rank", "a").join(follows, "place"), "pairs")
+        levels.append(_ranked(pairs, ("a", "b"), ("stop",), f"rank{len(levels)}"))
+        dropped(pairs)
         h *= 2
-    whole = near
-    for k, level in enumerate(levels[1:], 1):
-        whole = whole.join(level, ["n", "id", "th", "seq"], "left")
-    # for every place the least run that starts there, and the one that ends there
-    runs = []
-    for step in (1, -1):
-        at = lambda c, j, step=step: (F.lead(c, j) if step > 0 else F.lag(c, j)).over(doc) if j else F.col(c)
-        total, size = F.col("words"), F.lit(None).cast("int")
-        cases: Column | None = None
-        for n in range(2, min_words + 1):
-            before = total
-            total = total + at("words", n - 1)
-            hit = (before < min_words) & (total >= min_words) & (at("seq", n - 1) == F.col("seq") + step * (n - 1))
-            k = n.bit_length() - 1
-            apart = n - (1 << k)
-            # places of the two blocks' starts, seen from this end of the run
-            a, b = (0, apart) if step > 0 else (n - 1, (1 << k) - 1)
-            name = F.struct(F.lit(n).alias("size"), at(f"r{k}", a).alias("a"), at(f"r{k}", b).alias("b"))
-            cases = F.when(hit, name) if cases is None else cases.when(hit, name)
-        start = F.col("seq") if step > 0 else F.col("seq") - F.col("run.size") + 1
-        runs.append(whole.select("n", "id", "th", "seq", "ln", cases.alias("run")).where("run.a IS NOT NULL AND run.b IS NOT NULL").select("n", "id", "th", start.alias("seq"), "run"))
-    if not runs:
-        return alone.distinct()
-    found_runs = stored(runs[0].unionByName(runs[1]).distinct(), "runs")
-    first = found_runs.groupBy("run").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    late = found_runs.join(stored(first, "firsts"), "run").where(F.col("first") < _place())
-    covered = late.select("n", "id", "th", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("run.size") - 1)).alias("seq")).distinct()
-    return alone.unionByName(covered.join(near.select("n", "id", "th", "seq", "ln"), ["n", "id", "th", "seq"]).select("n", "id", "th", "ln")).distinct()
-
-
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of `docs` with the text left, and __lines and __gone: numbers of lines before, and of lines deleted.
+    return levels
+
+
+def prefixes(levels: list[DataFrame]) -> DataFrame:
+    """(place, common): lines that the suffix has in common with an earlier place, for all that have one in common."""
+    done, state = [], None
+    for k in range(len(levels) - 2, -1, -1):
+        h, level = 1 << k, levels[k]
+        entering = level.join(levels[k + 1].where("rank < place").select("place"), "place", "left_anti") if k < len(levels) - 2 else level
+        entering = entering.select("place", "stop", F.col("rank").alias("first"), F.lit(h).alias("common"))
+        if state is not None:
+            at = level.select(F.col("place").alias("at"), "rank")
+            asked = stored(state.withColumn("at", F.col("place") + F.col("common")).join(at, "at", "left").drop("at"), "asked")
+            dropped(state)
+            part = asked.where("rank IS NOT NULL").groupBy("first", "common", "rank").agg(F.min("place").alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            part = stored(part, "part")
+            deeper = F.struct(F.col("own").alias("first"), (F.col("common") + h).alias("common"))
+            here = F.struct("first", "common")
+            stands = F.when(F.col("own").isNull(), F.array(here)).when(F.col("own") == F.col("place"), F.array(deeper, here)).otherwise(F.array(deeper))
+            moved = asked.join(part, ["first", "common", "rank"], "left").select("place", "stop", F.explode(stands).alias("s")).select("place", "stop", "s.first", "s.common")
+            entering = moved.unionByName(entering)
+        # a suffix that reaches the end of the repeated lines has its answer; a first place there can meet no one any more
+        now = stored(entering, "intervals")
+        if state is not None:
+            dropped(asked, part)
+        over = (F.col("place") + F.col("common") == F.col("stop")) if k else F.lit(True)
+        done.append((now, over))
+        state = stored(now.where(~over), "state") if k else None
+    if not done:
+        return levels[0].select("place", F.lit(0).alias("common"))
+    out = None
+    for now, over in done:
+        own = now.where(over & (F.col("first") < F.col("place"))).select("place", "common")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def runs(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """`lines` in a table -> (n, id, th, seq, size): the maximal runs of `min_words` words or more that also stand at an
+    earlier place, each as its first line's number among those that are not blank and its number of lines."""
+    placed = _placed(found, min_words)
+    levels = ranks(placed)
+    common = prefixes(levels)
+    doc = Window.partitionBy(*DOC).orderBy("place")
+    rows = placed.select(*DOC, "seq", "place", "need").join(common, "place")
+    covered = (F.lag("place").over(doc) == F.col("place") - 1) & (F.lag("common").over(doc) > F.col("common"))
+    maximal = rows.withColumn("covered", F.coalesce(covered, F.lit(False))).where("NOT covered AND common >= need")
+    return maximal.select(*DOC, "seq", F.col("common").alias("size"))
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """`runs` -> (n, id, th, spans): of each document the stretches of lines that runs cover, as {a, b}, b after the last."""
+    doc = Window.partitionBy(*DOC).orderBy("seq")
+    ends = found.withColumn("end", F.col("seq") + F.col("size"))
+    reach = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.coalesce(F.col("seq") > F.col("reach"), F.lit(True)).cast("int")).over(doc)
+    whole = ends.withColumn("reach", reach).withColumn("island", island).groupBy(*DOC, "island").agg(F.min("seq").alias("a"), F.max("end").alias("b"))
+    return whole.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All columns of `docs` with the text left, and under `names` (which must be free) the numbers of lines before and of
+    lines deleted.
 
     A null text stays null (0 lines); an empty one is one blank line and stays; blank lines are never deleted, unless every
-    other line of their text is.  Rows that repeat id and text are one document and come out alike.
+    other line of their text is.  Rows that repeat id and text are one document and come out alike.  No rows in, no rows out.
     """
     found = stored(lines(docs), "lines")
-    gone = repeated(found, min_words).groupBy("n", "id", "th").agg(F.collect_set("ln").alias("__drop"))
-    gone = gone.select(F.col("n").alias("__n"), F.col("id").alias("__id"), F.col("th").alias("__th"), "__drop")
-    keyed = docs.withColumns({"__k": F.col("doc_id").isNull(), "__i": F.coalesce("doc_id", F.lit(0)), "__t": _doc(F.col("text"))})
-    out = keyed.join(gone, (F.col("__k") == F.col("__n")) & (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__th")), "left")
-    parts = F.split("text", "\n")
-    left = F.filter(parts, lambda x, i: ~F.array_contains(F.col("__drop"), i))
+    gone = stored(spans(runs(found, min_words)), "spans")
+    helpers = free([*docs.columns, *names], "n", "id", "th", "spans")
+    gone = gone.select(*[F.col(c).alias(x) for c, x in zip((*DOC, "spans"), helpers, strict=True)])
+    n, i, th, cut = helpers
+    here = _key(F.col("doc_id"), F.col("text"))
+    out = docs.join(gone, (here[0] == F.col(n)) & (here[1] == F.col(i)) & (here[2] == F.col(th)), "left")
+    parts = _parts(F.col("text"))
+    every = F.sequence(F.lit(0), F.size(parts) - 1)
+    filled = F.filter(every, lambda k: F.get(parts, k).rlike(WORD))
+    drop = F.flatten(F.transform(cut, lambda s: F.slice(filled, s["a"] + 1, s["b"] - s["a"])))
+    left = F.transform(F.array_except(every, drop), lambda k: F.get(parts, k))
     bare = ~F.exists(left, lambda x: x.rlike(WORD))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).when(bare, F.lit("")).otherwise(F.array_join(left, "\n"))
+    text = F.when(F.col(cut).isNull(), F.col("text")).when(bare, F.lit("")).otherwise(F.array_join(left, "\n"))
     cols = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols, F.coalesce(F.size(parts), F.lit(0)).alias("__lines"), F.coalesce(F.size("__drop"), F.lit(0)).alias("__gone"))
+    removed = F.coalesce(F.aggregate(cut, F.lit(0), lambda t, s: t + s["b"] - s["a"]), F.lit(0))
+    return out.select(*cols, F.coalesce(F.size(parts), F.lit(0)).alias(names[0]), removed.alias(names[1]))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Documents without the later copies of runs; those that lose all their lines go."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    out = dedup(docs).where((F.col("__gone") == 0) | (F.col("text") != ""))
-    if "n_chars" in docs.columns:
-        cols = [F.when(F.col("__gone") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    """Documents without the later copies of runs; those that lose all their lines go.
+
+    A null or empty text stays as it is; repeated rows come out alike; no rows in, none out.  `n_chars`, if there, follows
+    the text where lines were deleted."""
+    before, gone = free(docs.columns, "n_lines", "n_removed")
+    out = dedup(docs, names=(before, gone)).where((F.col(gone) == 0) | (F.col("text") != ""))
+    chars = F.when(F.col(gone) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")).alias("n_chars") if "n_chars" in docs.columns else None
+    return out.select(*[chars if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])

@@ -51,8 +51,8 @@ def simhashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__gone").cast("long").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    out = line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -432,7 +432,7 @@ def test_lines(spark, docs, none, least):
 
     out = line_dedup.dedup(docs, least)
     key = lambda a, t, n: (a is None, a or 0, t is None, t or "", n)
-    assert sorted(key(r.doc_id, r.text, r["__gone"]) for r in out.collect()) == sorted(key(a, *left(a, b)) for a, b, *_ in rows())
+    assert sorted(key(r.doc_id, r.text, r.n_removed) for r in out.collect()) == sorted(key(a, *left(a, b)) for a, b, *_ in rows())
     assert line_dedup.dedup(none, least).count() == 0
 
 
@@ -440,7 +440,7 @@ def test_lines_repeated_rows(spark):
     short = "cd ef gh\nij kl mn op\nq r s t"
     rows_ = [(1, f"ab\n{short}\nu"), (2, f"zz\n{short}\nyy"), (2, f"zz\n{short}\nyy"), (2, f"zz\n{short}\nyy")]
     got = line_dedup.dedup(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
-    assert sorted((r.doc_id, r.text, r["__gone"]) for r in got) == [(1, rows_[0][1], 0)] + [(2, "zz\nyy", 3)] * 3
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got) == [(1, rows_[0][1], 0)] + [(2, "zz\nyy", 3)] * 3
 
 
 def test_lines_stage(docs, none):
