@@ -18,6 +18,8 @@ more are copies, and their lines go.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +151,23 @@ def spans(found: DataFrame) -> DataFrame:
     return whole.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often a lambda in it asks for it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _left(text: Column, cut: Column) -> Column:
+    """The text without the lines that `cut` covers, in time proportional to its length."""
+
+    def without(parts: Column) -> Column:
+        filled = F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
+        drop = _let(filled, lambda at: F.flatten(F.transform(cut, lambda s: F.slice(at, s["a"] + 1, s["b"] - s["a"]))))
+        kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop), lambda k: F.get(parts, k))
+        return _let(kept, lambda own: F.when(F.exists(own, lambda x: x.rlike(WORD)), F.array_join(own, "\n")).otherwise(F.lit("")))
+
+    return _let(_parts(text), without)
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All columns of `docs` with the text left, and under `names` (which must be free) the numbers of lines before and of
     lines deleted.
@@ -163,16 +182,10 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] =
     n, i, th, cut = helpers
     here = _key(F.col("doc_id"), F.col("text"))
     out = docs.join(gone, (here[0] == F.col(n)) & (here[1] == F.col(i)) & (here[2] == F.col(th)), "left")
-    parts = _parts(F.col("text"))
-    every = F.sequence(F.lit(0), F.size(parts) - 1)
-    filled = F.filter(every, lambda k: F.get(parts, k).rlike(WORD))
-    drop = F.flatten(F.transform(cut, lambda s: F.slice(filled, s["a"] + 1, s["b"] - s["a"])))
-    left = F.transform(F.array_except(every, drop), lambda k: F.get(parts, k))
-    bare = ~F.exists(left, lambda x: x.rlike(WORD))
-    text = F.when(F.col(cut).isNull(), F.col("text")).when(bare, F.lit("")).otherwise(F.array_join(left, "\n"))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(_left(F.col("text"), F.col(cut)))
     cols = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     removed = F.coalesce(F.aggregate(cut, F.lit(0), lambda t, s: t + s["b"] - s["a"]), F.lit(0))
-    return out.select(*cols, F.coalesce(F.size(parts), F.lit(0)).alias(names[0]), removed.alias(names[1]))
+    return out.select(*cols, F.coalesce(F.size(_parts(F.col("text"))), F.lit(0)).alias(names[0]), removed.alias(names[1]))
 
 
 def stage(docs: DataFrame) -> DataFrame:

@@ -419,7 +419,7 @@ line_order: dict = {}
 
 
 @pytest.mark.parametrize("least", [10, 3, 7])
-def test_lines(spark, docs, none, least):
+def test_lines(spark, docs, least):
     for r in docs.selectExpr("doc_id IS NULL AS n", "coalesce(doc_id, 0) AS i", "text", "xxhash64(text) AS h").collect():
         line_order[(r.n, r.i, r.text)] = r.h
     gone = removed([(a, b) for a, b, *_ in rows()], least)
@@ -433,7 +433,6 @@ def test_lines(spark, docs, none, least):
     out = line_dedup.dedup(docs, least)
     key = lambda a, t, n: (a is None, a or 0, t is None, t or "", n)
     assert sorted(key(r.doc_id, r.text, r.n_removed) for r in out.collect()) == sorted(key(a, *left(a, b)) for a, b, *_ in rows())
-    assert line_dedup.dedup(none, least).count() == 0
 
 
 def test_lines_repeated_rows(spark):
