@@ -19,6 +19,7 @@ more are copies, and their lines go.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,26 +71,34 @@ def _placed(found: DataFrame, min_words: int) -> DataFrame:
     return rows
 
 
-def _ranked(rows: DataFrame, by: tuple[str, str], keep: tuple[str, ...], name: str) -> DataFrame:
-    """Rows that share both keys with another: `keep`, and the place of the first copy as `rank`.
+def _anew(*names: str) -> list[Column]:
+    """The same values as new columns: both sides of a join by them are dealt anew, so that a hot key can be split."""
+    return [F.col(c).bitwiseXOR(F.lit(0)).alias(f"{c}_") for c in names]
 
-    The first copies are kept in a table, so that both sides of the join are dealt anew and a hot key can be split."""
-    first = stored(rows.groupBy(*by).agg(F.min("place").alias("rank"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "first")
-    out = stored(rows.join(first, list(by)).select("place", *keep, "rank"), name)
-    dropped(first)
-    return out
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """`right` is an aggregate by `keys`."""
+    others = [c for c in right.columns if c not in keys]
+    again = right.select(*_anew(*keys), *others)
+    on = [F.col(k) == F.col(f"{k}_") for k in keys]
+    return left.join(again, on, how).drop(*[f"{k}_" for k in keys])
+
+
+def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(place, stop, rank) of the rows that share the keys `by` with another; rank is the place of the first copy."""
+    first = rows.groupBy(*by).agg(F.min("place").alias("rank"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    return stored(_join(rows, first, by, "inner").select("place", "stop", "rank"), name)
 
 
 def ranks(placed: DataFrame) -> list[DataFrame]:
     """Level k: (place, stop, rank) of each suffix whose first 2**k lines stand at another place too; the last level is empty."""
-    levels = [_ranked(placed.select("place", "stop", "l1", "l2"), ("l1", "l2"), ("stop",), "rank0")]
+    levels = [_ranked(placed.select("place", "stop", "l1", "l2"), ["l1", "l2"], "rank0")]
     h = 1
     while not levels[-1].isEmpty():
         last = levels[-1]
         follows = last.select((F.col("place") - h).alias("place"), F.col("rank").alias("b"))
-        pairs = stored(last.where(F.col("place") + 2 * h <= F.col("stop")).withColumnRenamed("rank", "a").join(follows, "place"), "pairs")
-        levels.append(_ranked(pairs, ("a", "b"), ("stop",), f"rank{len(levels)}"))
-        dropped(pairs)
+        pairs = last.where(F.col("place") + 2 * h <= F.col("stop")).withColumnRenamed("rank", "a").join(follows, "place")
+        levels.append(_ranked(pairs, ["a", "b"], f"rank{len(levels)}"))
         h *= 2
     return levels
 
@@ -100,32 +109,24 @@ def prefixes(levels: list[DataFrame]) -> DataFrame:
     for k in range(len(levels) - 2, -1, -1):
         h, level = 1 << k, levels[k]
         entering = level.join(levels[k + 1].where("rank < place").select("place"), "place", "left_anti") if k < len(levels) - 2 else level
-        entering = entering.select("place", "stop", F.col("rank").alias("first"), F.lit(h).alias("common"))
+        now = entering.select("place", "stop", F.col("rank").alias("first"), F.lit(h).cast("long").alias("common"))
         if state is not None:
             at = level.select(F.col("place").alias("at"), "rank")
-            asked = stored(state.withColumn("at", F.col("place") + F.col("common")).join(at, "at", "left").drop("at"), "asked")
-            dropped(state)
+            asked = state.withColumn("at", F.col("place") + F.col("common")).join(at, "at", "left").drop("at")
             part = asked.where("rank IS NOT NULL").groupBy("first", "common", "rank").agg(F.min("place").alias("own"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-            part = stored(part, "part")
             deeper = F.struct(F.col("own").alias("first"), (F.col("common") + h).alias("common"))
             here = F.struct("first", "common")
             stands = F.when(F.col("own").isNull(), F.array(here)).when(F.col("own") == F.col("place"), F.array(deeper, here)).otherwise(F.array(deeper))
-            moved = asked.join(part, ["first", "common", "rank"], "left").select("place", "stop", F.explode(stands).alias("s")).select("place", "stop", "s.first", "s.common")
-            entering = moved.unionByName(entering)
+            moved = _join(asked, part, ["first", "common", "rank"], "left").select("place", "stop", F.explode(stands).alias("s")).select("place", "stop", "s.first", "s.common")
+            now = moved.unionByName(now)
         # a suffix that reaches the end of the repeated lines has its answer; a first place there can meet no one any more
-        now = stored(entering, "intervals")
-        if state is not None:
-            dropped(asked, part)
+        now = stored(now, "intervals")
         over = (F.col("place") + F.col("common") == F.col("stop")) if k else F.lit(True)
-        done.append((now, over))
-        state = stored(now.where(~over), "state") if k else None
+        done.append(now.where(over & (F.col("first") < F.col("place"))).select("place", "common"))
+        state = now.where(~over)
     if not done:
-        return levels[0].select("place", F.lit(0).alias("common"))
-    out = None
-    for now, over in done:
-        own = now.where(over & (F.col("first") < F.col("place"))).select("place", "common")
-        out = own if out is None else out.unionByName(own)
-    return out
+        return levels[0].select("place", F.lit(0).cast("long").alias("common"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def runs(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -138,7 +139,7 @@ def runs(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = placed.select(*DOC, "seq", "place", "need").join(common, "place")
     covered = (F.lag("place").over(doc) == F.col("place") - 1) & (F.lag("common").over(doc) > F.col("common"))
     maximal = rows.withColumn("covered", F.coalesce(covered, F.lit(False))).where("NOT covered AND common >= need")
-    return maximal.select(*DOC, "seq", F.col("common").alias("size"))
+    return maximal.select(*DOC, "seq", F.col("common").cast("int").alias("size"))
 
 
 def spans(found: DataFrame) -> DataFrame:
