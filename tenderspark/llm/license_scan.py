@@ -3,12 +3,13 @@
 The automaton of all templates is built once (its size is bounded by the templates).  A text streams through it word by
 word; state and length are its matching statistics: the longest run of words ending here that stands in some template.
 Runs of LONG words or more are chained by template, in order of both text and template, into covered spans; a template
-covered to LEAST or more gives its label.  The phrases of the base are templates themselves: one stands where the
+covered to LEAST or more gives its label, unless a longer template covers that stretch and more.  The phrases of the base are templates themselves: one stands where the
 state's link path reaches the phrase's own state at its full length.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, buffers, slim
+from .license_texts import TEXTS
 
 #: Phrases and labels of the base.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -106,7 +108,8 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES):
+    def __init__(self, base: dict[str, str] = BASE, notices: dict[str, str] | None = None):
+        notices = {**NOTICES, **TEXTS} if notices is None else notices
         phrases = {p: words(p.encode()) for p in base}
         self.labels = [*base.values(), *notices]
         self.nbase = len(base)
@@ -167,44 +170,59 @@ class Scanner:
         base = {self.labels[k] for _, k in places}
         starts = [p for p, _ in places]
         score = 1.0 if places else max((s[3] for s in spans), default=0.0)
-        own = {s[0] for s in spans if s[3] >= LEAST}
-        return total, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), score, [s[:3] for s in spans if s[3] >= LEAST]
+        own = self._outer([s for s in spans if s[3] >= LEAST])
+        return total, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s[0] for s in own})), score, own
 
     def _chain(self, runs: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Matches in order of text and template, gaps of at most the template's size, joined to spans by template."""
         sam, out = self.sam, []
         open_: dict[int, list[list[int]]] = {}  # template -> [text first, text end, template end, words covered]
+        over: dict[int, list[list[int]]] = {}  # chains that lie too far back to be joined any more
         for end, v, n in runs:
             for k, ends in sam.ends[v].items():
                 if k < self.nbase:
                     continue
-                chains = open_.setdefault(k, [])
+                far = end - n - sam.sizes[k]
+                chains = [c for c in open_.get(k, ()) if c[1] >= far]
+                over.setdefault(k, []).extend(c for c in open_.get(k, ()) if c[1] < far)
                 for e in ends:
-                    fit = [c for c in chains if end - n + 1 > c[1] and e - n >= c[2] and end - n - c[1] <= sam.sizes[k]]
+                    fit = [c for c in chains if end - n + 1 > c[1] and e - n >= c[2]]
                     best = max(fit, key=lambda c: c[3], default=None)
                     chains.append([best[0], end, e, best[3] + n] if best else [end - n + 1, end, e, n])
-                if len(chains) > 64:  # what lies further back than the template is long can't be joined any more
-                    near = [c for c in chains if end - c[1] <= 2 * sam.sizes[k]]
-                    out += self._best(k, [c for c in chains if end - c[1] > 2 * sam.sizes[k]])
-                    open_[k] = near
+                open_[k] = chains
         for k, chains in open_.items():
-            out += self._best(k, chains)
+            out += self._best(k, over[k] + chains)
         return out
 
     def _best(self, k: int, chains: list[list[int]]) -> list[tuple[str, int, int, float]]:
-        """The chains that no better one overlaps."""
+        """The chains that no better one overlaps: by words covered, then by place."""
+        firsts: list[int] = []
+        lasts: list[int] = []
         out: list[tuple[str, int, int, float]] = []
-        for a, b, _, n in sorted(chains, key=lambda c: (-c[3], c[0])):
-            if all(b < x[1] or a > x[2] for x in out):
+        for a, b, _, n in sorted(chains, key=lambda c: (-c[3], c[0], c[1])):
+            at = bisect_left(lasts, a)  # those kept so far stand in order and apart
+            if at == len(firsts) or firsts[at] > b:
+                firsts.insert(at, a)
+                lasts.insert(at, b)
                 out.append((self.labels[k], a, b, min(1.0, n / self.sam.sizes[k])))
         return out
 
+    @staticmethod
+    def _outer(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int]]:
+        """Spans in order of place, without those that lie within a longer one."""
+        out: list[tuple[str, int, int]] = []
+        for label, a, b, _ in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+            if not out or b > out[-1][2] or (a, b) == out[-1][1:]:
+                out.append((label, a, b))
+        return out
+
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, last: long>>"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, last: long>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row of SCHEMA for each row of `docs`; null texts count as empty, repeated rows stay, no rows in, none out."""
+    """doc_id (of its own type) and SCHEMA for each row of `docs`; null texts count as empty, repeated rows stay, no rows in, none out."""
+    names = ["doc_id", *[x.split()[0] for x in SCHEMA.split(", spans")[0].split(", ")], "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
@@ -214,6 +232,6 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             spans = pa.array([[{"label": a, "first": b, "last": c} for a, b, c in s] for s in cols[7]], pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())])))
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], spans], names=[x.split()[0] for x in SCHEMA.split(", spans")[0].split(", ")] + ["spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], spans], names=names)
 
-    return arrow_map(slim(docs, "doc_id", "text"), run, SCHEMA)
+    return arrow_map(slim(docs, "doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
