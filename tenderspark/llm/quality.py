@@ -65,33 +65,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.cuts, -500, 500)))
 
 
+@dataclass
+class Data:
+    """Sampled texts as one sparse matrix (places that few texts share left out), their shares and grades."""
+
+    who: np.ndarray
+    at: np.ndarray
+    val: np.ndarray
+    dense: np.ndarray
+    grades: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple], grades: np.ndarray) -> Data:
+        who = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        at, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        ok = np.bincount(at, minlength=1 << BITS)[at] >= FEW
+        return cls(who[ok], at[ok], val[ok], np.stack([r[2] for r in rows]), grades)
+
+
+def loss(p: np.ndarray, data: Data, shrink: float = SHRINK) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with shrinkage, and its gradient.  `p`: weights, shares, first cut, log of the cuts' distance."""
+    n, size, grades = len(data.grades), 1 << BITS, data.grades
+    w, d, cuts = p[:size], p[size : size + 3], np.array([p[-2], p[-2] + np.exp(p[-1])])
+    score = np.bincount(data.who, data.val * w[data.at], n) + data.dense @ d
+    tail = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -30, 30)))
+    edge = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
+    slope, r = edge * (1 - edge), np.arange(n)
+    prob = np.maximum(edge[r, grades] - edge[r, grades + 1], 1e-9)
+    gs = -(slope[r, grades] - slope[r, grades + 1]) / prob / n  # by score
+    g = np.empty_like(p)
+    g[:size] = np.bincount(data.at, data.val * gs[data.who], size) + shrink * w / n
+    g[size : size + 3] = data.dense.T @ gs + 0.1 * d / n
+    gc = np.array([(((grades == k) * 1.0 - (grades == k - 1)) * slope[:, k] / prob).sum() for k in (1, 2)]) / n  # by cut
+    g[-2], g[-1] = gc.sum(), gc[1] * np.exp(p[-1])
+    return float(-np.log(prob).sum() / n + shrink * (w @ w) / 2 / n + 0.1 * (d @ d) / 2 / n), g
+
+
 def fit(rows: list[tuple], grades: np.ndarray, steps: int = STEPS, shrink: float = SHRINK) -> Model:
-    """Adam on the mean negative log likelihood, the cuts kept in order by their logarithmic distances."""
-    n, size = len(rows), 1 << BITS
-    who = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    at, val = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    seen = np.bincount(at, minlength=size)
-    ok = seen[at] >= FEW
-    who, at, val, dense = who[ok], at[ok], val[ok], np.stack([r[2] for r in rows])
+    """Adam on the loss, the cuts kept in order by their logarithmic distance."""
+    size, data = 1 << BITS, Data.of(rows, grades)
     p = np.zeros(size + 3 + GRADES - 1)
-    share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES)[:-1]) / n, 0.01, 0.99)
+    share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES)[:-1]) / len(rows), 0.01, 0.99)
     p[-2] = np.log(share[0] / (1 - share[0]))
     p[-1] = np.log(max(0.1, np.log(share[1] / (1 - share[1])) - p[-2]))
     m1, m2 = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
-        w, d, cuts = p[:size], p[size : size + 3], np.array([p[-2], p[-2] + np.exp(p[-1])])
-        score = np.bincount(who, val * w[at], n) + dense @ d
-        tail = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -30, 30)))
-        edge = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
-        slope = edge * (1 - edge)
-        r = np.arange(n)
-        prob = np.maximum(edge[r, grades] - edge[r, grades + 1], 1e-9)
-        gs = -(slope[r, grades] - slope[r, grades + 1]) / prob / n  # by score
-        g = np.empty_like(p)
-        g[:size] = np.bincount(at, val * gs[who], size) + shrink * w / n
-        g[size : size + 3] = dense.T @ gs + 0.1 * d / n
-        gc = np.array([(((grades == k) * 1.0 - (grades == k - 1)) * slope[:, k] / prob).sum() for k in (1, 2)]) / n  # by cut
-        g[-2], g[-1] = gc.sum(), gc[1] * np.exp(p[-1])
+        _, g = loss(p, data, shrink)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         p = p - 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         p[:size] = np.sign(p[:size]) * np.maximum(0, np.abs(p[:size]) - 0.1 * SPARSE)  # words that chance explains go to 0
@@ -100,13 +119,14 @@ def fit(rows: list[tuple], grades: np.ndarray, steps: int = STEPS, shrink: float
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray]:
     """At most SAMPLE rated texts, those of least hash; rows without id, rating or text, and texts over TEXT_BYTES, are none."""
-    rated = slim(labels, "doc_id", "quality", "toxic").dropna().dropDuplicates(["doc_id"])
+    # an id that is rated twice has its least rating, one with several texts the text of least hash: reruns agree
+    rated = slim(labels, "doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("r")).select("doc_id", "r.*")
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     fit_in = slim(docs, "doc_id", "text").where((F.octet_length("text") <= TEXT_BYTES) & (F.octet_length("text") > 0))
     grade = F.greatest(F.lit(0), F.least(F.lit(GRADES - 1), F.col("quality") + 1 - F.col("toxic"))).cast("int")
     # broadcast: SAMPLE rows at most
-    got = fit_in.join(F.broadcast(rated), "doc_id").select("doc_id", "text", grade.alias("grade"))
-    rows = sorted(got.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    got = fit_in.join(F.broadcast(rated), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first(grade).alias("grade"))
+    rows = sorted(got.select("doc_id", "t.text", "grade").collect(), key=lambda r: r["doc_id"])
     return [r["text"].encode() for r in rows], np.array([r["grade"] for r in rows], np.int64)
 
 
