@@ -59,6 +59,12 @@ def dropped(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over as many tasks as a shuffle has: for a small table whose rows are about to become many."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def free(taken: Iterable[str], *names: str) -> list[str]:
     """Names for helper columns that clash with none of `taken`, in any case."""
     held = {t.lower() for t in taken}

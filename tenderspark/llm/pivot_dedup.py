@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import arrow_map, stored
 from .components import components
 
 #: Pivots in all (the sample's bound), nearest ones that describe a vector, least cosine of a link, rows of a chunk.
@@ -138,7 +138,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
             for i in range(0, len(out), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 50_000], strict=True), kinds, strict=True)], names=["list", "id", "weight", "near", "unit"])
 
-    posted = classes.select("id", "weight", "v").mapInArrow(index, "list long, id long, weight long, near binary, unit binary")
+    posted = arrow_map(classes.select("id", "weight", "v"), index, "list long, id long, weight long, near binary, unit binary")
     sizes = stored(posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK), "lists")
     dealt = posted.join(sizes, "list", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / CHUNK).cast("int"), F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -180,7 +180,7 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
                 yield from flush(False)
         yield from flush(True)
 
-    found = stored(dealt.mapInArrow(compare, "id long, links long, other long"), "links")
+    found = stored(arrow_map(dealt, compare, "id long, links long, other long"), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("links = 0").select(F.col("id").alias("a"), F.col("other").alias("b")))
     slim = classes.select("same", "id", "least", "weight")

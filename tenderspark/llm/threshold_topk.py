@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import arrow_map, stored
 
 K, SCALE = 20, 64.0
 BLOCK, BATCH = 8192, 1024
@@ -24,8 +24,9 @@ BLOCK, BATCH = 8192, 1024
 DEPTH, DEEPER = 32, 4
 
 
-def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its index, ids and scores of its k best of the block, best first.  `own`: the query's own row.
+def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """For each query its index, ids and scores of its k best of the block, best first, and how many vectors turned up before
+    the bound ended it.  `own`: the query's own row.
 
     Integer vectors; products are exact: in floats while they stay below 2**24, doubles below 2**53, 64-bit integers below
     2**63, else Python's.  A score among the k best beyond 64 bits is an error.
@@ -62,14 +63,14 @@ def search(queries: np.ndarray, own: np.ndarray, ids: np.ndarray, rows: np.ndarr
                 if (sum(x[up] * high) + sum(x[down] * low) if kind is object else float(x[up] @ high) + float(x[down] @ low)) < kth:
                     break
             done, depth = depth, min(DEEPER * depth, n)
-        keep = rows[found] != own[i]
+        read, keep = len(found), rows[found] != own[i]
         found, scores = found[keep], scores[keep]
         if len(found) > k:
             kth = np.partition(scores, -k)[-k]
             near = scores >= kth
             found, scores = found[near], scores[near]
         best = sorted(range(len(found)), key=lambda j: (-scores[j], ids[found[j]]))[:k] if kind is object else np.lexsort((ids[found], -scores))[:k]
-        yield i, ids[found[best]], scores[best].astype(np.int64)
+        yield i, ids[found[best]], scores[best].astype(np.int64), read
 
 
 def _task(key: tuple, table: pa.Table, k: int) -> pa.Table:
@@ -77,7 +78,7 @@ def _task(key: tuple, table: pa.Table, k: int) -> pa.Table:
     v = np.frombuffer(b"".join(table["v"].to_pylist())).reshape(-1, size)
     v = v.astype(np.int64) if np.abs(v).max() < 2**62 else np.vectorize(int, otypes=[object])(v)
     ids, rows, ask = table["vec_id"].to_numpy(), table["row"].to_numpy(), table["ask"].to_numpy(zero_copy_only=False).astype(bool)
-    out = [(rows[ask][i], ids[ask][i], a, b) for i, a, b in search(v[ask], rows[ask], ids[~ask], rows[~ask], v[~ask], k)] if ask.any() and not ask.all() else []
+    out = [(rows[ask][i], ids[ask][i], a, b) for i, a, b, _ in search(v[ask], rows[ask], ids[~ask], rows[~ask], v[~ask], k)] if ask.any() and not ask.all() else []
     n = [len(a) for _, _, a, _ in out]
     return pa.table({
         "row": np.repeat(np.array([x[0] for x in out], np.int64), n), "query_id": np.repeat(np.array([x[1] for x in out], np.int64), n),
@@ -109,7 +110,7 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
             whole = np.floor(SCALE * v)  # whole numbers that doubles hold exactly
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.tobytes() for x in whole], pa.binary())], names=["vec_id", "row", "v"])
 
-    whole = rows.mapInArrow(quantise, "vec_id long, row long, v binary")
+    whole = arrow_map(rows, quantise, "vec_id long, row long, v binary")
     each = F.sequence(F.lit(0), F.lit(batches - 1))
     candidates = whole.select(F.lit(False).alias("ask"), "vec_id", "row", "v", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), F.explode(each).alias("batch"))
     asked = whole.where(F.col("vec_id") % every == 0)
