@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, buffers, chunks, slim
+from .common import arrow_map, buffers, chunks, free, slim, stored
 
-#: Bounds of the training sample: bytes of each language, bytes of all, bytes of a text, and how many languages at most.
-SAMPLE_BYTES, TOTAL_BYTES, TEXT_BYTES, LANGUAGES = 400_000, 4_000_000, 65_536, 64
+#: Bounds of the training sample: bytes of each language, bytes of all, bytes of a text.  All languages share them.
+SAMPLE_BYTES, TOTAL_BYTES, TEXT_BYTES = 400_000, 4_000_000, 65_536
+#: Bound of the model's table of costs: contexts that the sample holds least often are left out until it fits.
+MODEL_BYTES = 64 << 20
 ORDER, CHUNK = 3, 1 << 20
 UNKNOWN = "und"
 
@@ -68,7 +70,9 @@ class Model:
 
 
 def train(samples: dict[str, list[bytes]]) -> Model | None:
-    """Context trees of each language.  Contexts that the whole sample holds once only are left out, but for the empty one."""
+    """Context trees of each language.  Contexts that the whole sample holds once only, and the rarest of those that would
+    make the table larger than MODEL_BYTES, are left out, but for the empty one.  A context is at least as frequent as those
+    that it ends, so what is left is closed under taking shorter contexts."""
     langs = sorted(k for k, v in samples.items() if any(v))
     if not langs:
         return None
@@ -90,10 +94,11 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
     width = int(seen.sum()) + 1
     classes = np.full(256, width - 1, np.int32)
     classes[seen] = np.arange(width - 1)
-    known = [np.zeros(1, np.int32)]
-    for k in range(1, ORDER + 1):
-        values, n = np.unique(np.concatenate([rows[k][0] for rows in keyed]), return_counts=True)
-        known.append(values[n >= 2])
+    found = [np.unique(np.concatenate([rows[k][0] for rows in keyed]), return_counts=True) for k in range(1, ORDER + 1)]
+    often = np.sort(np.concatenate([n for _, n in found]))[::-1]
+    most = max(0, MODEL_BYTES // (4 * width * len(langs)) - 1)
+    least = max(2, int(often[most]) + 1 if most < len(often) else 0)
+    known = [np.zeros(1, np.int32), *(values[n >= least] for values, n in found)]
     first = np.cumsum([0, *map(len, known)])
     cost = np.zeros((len(langs), first[-1], width), np.float32)
     for i in range(len(langs)):
@@ -133,22 +138,27 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
 
 
 def sample(docs: DataFrame, usable: Column) -> dict[str, list[bytes]]:
-    """A bounded sample of whole labelled texts: at most SAMPLE_BYTES of each of the LANGUAGES most frequent languages."""
-    rows = slim(docs, "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("n", F.octet_length("text")).where((F.col("n") > 0) & (F.col("n") <= TEXT_BYTES))
-    sizes = rows.groupBy("lang").agg(F.sum("n").alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
+    """A bounded sample of labelled texts: of each language SAMPLE_BYTES at most, and its part of TOTAL_BYTES.  Copies of a text
+    count once.  A text that is longer than the bound gives a stretch of it, from a place that its hash tells."""
+    rows = slim(docs, "text", "lang").where(usable & F.col("lang").isNotNull() & (F.length("text") > 0))
+    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"), "text")
+    sizes = stored(rows.groupBy("lang", "h").agg(F.first("n").alias("n")).groupBy("lang").agg(F.sum(F.least("n", F.lit(TEXT_BYTES))).alias("bytes")), "languages")
+    count = sizes.count()
+    if not count:
         return {}
-    each = min(SAMPLE_BYTES, TOTAL_BYTES // len(sizes))
-    wanted = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * each / r["bytes"]))) for r in sizes], F.lit(0.0))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    each = max(64, min(SAMPLE_BYTES, TOTAL_BYTES // count))
+    piece = min(TEXT_BYTES, each) // 4  # characters, of 4 bytes at most
+    draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     # all copies of a text are drawn together: one of them comes to the driver
-    got = rows.where(draw < wanted).select("lang", "text", F.xxhash64("text").alias("h")).dropDuplicates(["lang", "h"])
+    wanted = rows.join(sizes, "lang").where(draw < F.lit(1.2 * each) / F.col("bytes"))
+    start = F.pmod(F.xxhash64("h"), F.length("text") - piece + 1).cast("int") + 1
+    part = F.when(F.col("n") <= min(TEXT_BYTES, each), F.col("text")).otherwise(F.substr("text", start, F.lit(piece)))
+    got = wanted.select("lang", part.alias("text"), "h").dropDuplicates(["lang", "h"])
     out: dict[str, list[bytes]] = {}
     used: dict[str, int] = {}
     for r in sorted(got.toLocalIterator(), key=lambda r: (r["lang"], r["h"], r["text"])):
         t = r["text"].encode()
-        if used.get(r["lang"], 0) + len(t) <= max(each, TEXT_BYTES):
+        if used.get(r["lang"], 0) + len(t) <= each:
             used[r["lang"]] = used.get(r["lang"], 0) + len(t)
             out.setdefault(r["lang"], []).append(t)
     return out
@@ -162,7 +172,8 @@ def predict(docs: DataFrame, usable: Column, keep: list[str], names: tuple[str,
     model = train(sample(docs, usable))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the sample's bounds
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    whole, letter = free(keep, "text", "letters")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(whole), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias(letter))
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +210,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """Documents in some language: those that are `und`, or that no language codes in fewer than 8 bits a byte, go."""
+    """Documents in some language: those that are `und`, or that no language codes in fewer than 8 bits a byte, go.
+
+    So null texts, and texts without a letter, go; repeated rows stay or go together; no rows in, none out; without any
+    labelled text all go."""
     keep = docs.columns
-    found = predict(docs, in_training(F.col("doc_id")), keep, ("__lang", "__score", "__rate"))
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__rate") < 8)).select(*[F.col(f"`{c}`") for c in keep])
+    lang, score, rate = free(keep, "lang_pred", "score", "bits_per_byte")
+    found = predict(docs, in_training(F.col("doc_id")), keep, (lang, score, rate))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(rate) < 8)).select(*[F.col(f"`{c}`") for c in keep])
