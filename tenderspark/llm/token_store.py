@@ -15,6 +15,8 @@ High digits' counts are re-summed every RENEW ids, low digits' every RENEW_LOW.
 
 from __future__ import annotations
 
+import json
+import re
 import sys
 import zlib
 from array import array
@@ -26,8 +28,9 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_map, chunks, shared_dir, slim
+from .common import arrow_map, chunks, scratch, slim
 from .pretokens import Pieces, split
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
@@ -280,7 +283,6 @@ def _pieces(path: str) -> Pieces:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
 
         def raw(ids: list[int]) -> bytes:
             out = array("I", ids)
@@ -318,30 +320,55 @@ def _pieces(path: str) -> Pieces:
     return _tokenizers[path]
 
 
-def tokenise(text_list: list[str], cache: Pieces) -> list[bytes]:
+class Added:
+    """Tokens that stand beside the merges: wherever a text holds one's string, the library cuts there and gives its id."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            found = json.load(f).get("added_tokens") or []
+        if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in found):
+            raise ValueError(f"{path}: an added token with conditions of its own")
+        self.ids = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in found}
+        self.any = re.compile("|".join(map(re.escape, sorted(self.ids, key=len, reverse=True)))) if found else None
+
+    def parts(self, text: str) -> list[str] | None:
+        """Text and tokens in turn; None without a token."""
+        return re.split(f"({self.any.pattern})", text) if self.any and self.any.search(text) else None
+
+
+def tokenise(text_list: list[str], cache: Pieces, added: Added) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
+    parts = [added.parts(t) for t in text_list]
+    if any(parts):
+        flat = [x for t, own in zip(text_list, parts, strict=True) for x in (own[::2] if own else [t])]
+        coded, out = iter(tokenise(flat, cache, added)), []
+        for own in parts:
+            out.append(b"".join(added.ids[x] if k % 2 else next(coded) for k, x in enumerate(own)) if own else next(coded))
+        return out
     cut = [split(t) for t in text_list]
     if len(cut) == 1:
         return [b"".join([b"".join(cache.of(cut[0][i : i + CHUNK])) for i in range(0, len(cut[0]), CHUNK)])]
     return [b"".join(own) for own in cache.each(cut)]
 
 
-BLOCKS = "part int, block long, n int, crc long, payload binary, ids array<struct<doc_id: long, n: long>>"
+BLOCKS = "part int, block long, n int, crc long, payload binary, ids array<struct<doc_id: {}, n: long>>"
 
 
 def write(docs: DataFrame, where: str, path: str | None = None, parts: int | None = None) -> None:
     """Encode every text (null: empty), append END, write blocks under `where`; rows without an id come last."""
     path = path or public_tokenizers.path(VOCABULARY)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, block, cache = TaskContext.get().partitionId(), 0, _pieces(path)
+        added, id_type = Added(path), pa.int64()
         held, size, own = [], 0, []
 
         def blocks(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, block, own
+            nonlocal held, size, block, own  # id_type too is that of the last batch
             flat = np.frombuffer(b"".join(held), "<u4")
             n = len(flat) if last else len(flat) // BLOCK * BLOCK
             cut = [flat[i : min(i + BLOCK, n)] for i in range(0, n, BLOCK)]
@@ -354,16 +381,16 @@ def write(docs: DataFrame, where: str, path: str | None = None, parts: int | Non
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(cut), pa.int32()), pa.array(range(block, block + len(cut)), pa.int64()), pa.array([len(c) for c in cut], pa.int32()),
                      pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()), pa.array(rows, pa.binary()),
-                     pa.array([[{"doc_id": a, "n": b} for a, b in d] for d in docs_], pa.list_(pa.struct([("doc_id", pa.int64()), ("n", pa.int64())])))],
+                     pa.array([[{"doc_id": a, "n": b} for a, b in d] for d in docs_], pa.list_(pa.struct([("doc_id", id_type), ("n", pa.int64())])))],
                     names=["part", "block", "n", "crc", "payload", "ids"],
                 )
                 block, own = block + len(cut), []
 
         for batch in batches:
-            column = batch.column(1)
+            column, id_type = batch.column(1), batch.column(0).type
             doc_ids = batch.column(0).to_pylist()
             for i, j in chunks(column, CHUNK):
-                for k, ids in zip(range(i, j), tokenise([t or "" for t in column.slice(i, j - i).to_pylist()], cache), strict=True):
+                for k, ids in zip(range(i, j), tokenise([t or "" for t in column.slice(i, j - i).to_pylist()], cache, added), strict=True):
                     held.append(ids + end)
                     n = len(ids) // 4 + 1
                     own.append((doc_ids[k], n))
@@ -374,7 +401,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, parts: int | Non
 
     rows = slim(docs, "doc_id", "text")
     spread = rows.repartitionByRange(*([parts] if parts else []), F.asc_nulls_last("doc_id")).sortWithinPartitions(F.asc_nulls_last("doc_id"))
-    arrow_map(spread.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, BLOCKS).write.parquet(where)
+    arrow_map(spread, run, BLOCKS.format(kind)).write.parquet(where)
 
 
 def read(spark: SparkSession, where: str) -> DataFrame:
@@ -382,8 +409,9 @@ def read(spark: SparkSession, where: str) -> DataFrame:
 
     Blocks of a part go through one task in order; parts are as many as the writer dealt.
     """
-    rows = spark.read.schema(BLOCKS).parquet(where)
-    schema = "part int, doc_id long, first long, n_tokens long, ids_crc32 long"
+    rows = spark.read.parquet(where)
+    kind = rows.schema["ids"].dataType.elementType["doc_id"].dataType
+    schema = f"part int, doc_id {kind.simpleString()}, first long, n_tokens long, ids_crc32 long"
 
     def decoded(rows: list[tuple]) -> Iterator[tuple]:
         got = unpack([r[4] for r in rows], [r[2] for r in rows])
@@ -417,7 +445,7 @@ def read(spark: SparkSession, where: str) -> DataFrame:
                     first, got, crc = first + n, 0, 0
             queue = []
             if out and (full or len(out) > 5000):
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int32(), to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "doc_id", "first", "n_tokens", "ids_crc32"])
                 out = []
 
@@ -437,14 +465,12 @@ def store_and_read(docs: DataFrame, where: str | None = None) -> DataFrame:
 
     Rows that repeat an id follow each other; a row without an id stands last.  An empty table gives no rows.
     """
-    import uuid
-
     spark = docs.sparkSession
-    where = where or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    where = where or scratch(spark, "tokens")
     write(docs, where)
     found = read(spark, where)
     # one row a part, of which there are as many as the writer's partitions
-    sums = [(r["part"], r["n"]) for r in spark.read.schema(BLOCKS).parquet(where).groupBy("part").agg(F.sum("n").alias("n")).collect()]
+    sums = [(r["part"], r["n"]) for r in spark.read.parquet(where).groupBy("part").agg(F.sum("n").alias("n")).collect()]
     before, rows = 0, []
     for part, n in sorted(sums):
         rows.append((part, before))
