@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, slim, stored, texts
+from .common import arrow_map, cut, dealt, free, slim, stored, texts
 from .components import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -100,7 +100,7 @@ def _forest(key: tuple, table: pa.Table) -> pa.Table:
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) between different fingerprints that differ in at most BITS bits, or a spanning forest of them."""
-    keys = _keys(fps)
+    keys = _keys(dealt(fps))  # a slim table comes in few splits, and each row becomes 66
     n = keys.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("side").alias("ones"))
     shared = stored(n.where("n > 1 AND (slot % 33 = 32 OR (ones > 0 AND ones < n))").select("slot", "part", "n"), "keys")
     hits = stored(keys.join(shared, ["slot", "part"]), "hits")
@@ -136,10 +136,12 @@ def hexed(fp: str = "fp"):
 def stage(docs: DataFrame) -> DataFrame:
     """One row of each group stays: the one of least id (null last), then of least text hash; of equal rows, one.
 
-    Groups are those of `groups`, so most near copies of a similarity of 0.8 to 0.9 stay (figures in the README)."""
+    Groups are those of `groups`, so most near copies of a similarity of 0.8 to 0.9 stay (figures in the README).  Null texts
+    count as empty and are one group with texts without words.  No rows in, no rows out."""
     first = groups(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), "th")).alias("m"))
-    keep = first.select(F.col("m.i").alias("__id"), F.col("m.th").alias("__keep"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn("__th", F.xxhash64("text"))
-    whole = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__keep")), "left_semi")
-    return whole.dropDuplicates(["doc_id", "__th"]).select(*cols)
+    key = free(docs.columns, "n", "id", "th")
+    keep = first.select(*[c.alias(x) for c, x in zip((F.col("m.n"), F.coalesce("m.i", F.lit(0)), F.col("m.th")), key, strict=True)])
+    here = (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text"))
+    # repeated rows are dropped before the texts are dealt, and the join takes them as they were dealt
+    rows = docs.withColumns(dict(zip(key, here, strict=True))).dropDuplicates(key)
+    return rows.join(keep, key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
