@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slim, stored
+from .common import free, slim, stored
 
 WEIGHTS, BUDGET, CAP = (3, 1, 2), 1.5, 2
 #: Bits of the hash, and bits that each pass resolves.
@@ -101,11 +101,14 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as many times as it is taken.  Only the sources' thresholds meet the texts."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    """The mix itself: each document as many times as it is taken.  Only the sources' thresholds meet the texts.
+
+    Null and empty texts have no words and are taken as their hash falls; repeated rows are taken together; a null source is a
+    source; no rows in, no rows out."""
+    k, none, times, theta, edge, copy = free(docs.columns, "k", "none", "times", "theta", "edge", "copy")
     lean = _keyed(slim(docs, "doc_id", "text", "source").select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id")).alias("h"))).drop("source")
-    marks = thresholds(stored(lean, "sizes")).select(*[F.col(c).alias(f"__{c}") for c in ("k", "none", "times", "theta", "edge")])
+    marks = thresholds(stored(lean, "sizes")).select(*[F.col(c).alias(x) for c, x in zip(("k", "none", "times", "theta", "edge"), (k, none, times, theta, edge), strict=True)])
     h = hash_of(F.col("doc_id"))
-    found = docs.join(marks, (F.coalesce("source", F.lit("")) == F.col("__k")) & (F.col("source").isNull() == F.col("__none")))
-    more = (h < F.col("__theta")) | ((h == F.col("__theta")) & F.col("__edge"))
-    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times") + more.cast("int")))).select(*cols)
+    found = docs.join(marks, (F.coalesce("source", F.lit("")) == F.col(k)) & (F.col("source").isNull() == F.col(none)))
+    more = (h < F.col(theta)) | ((h == F.col(theta)) & F.col(edge))
+    return found.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times) + more.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
