@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 # Words that stand for null, by place of use.  They differ on purpose.
@@ -16,6 +16,25 @@ TEXT_NULLS = ("NAN", "NONE", "")
 OPTIONAL_NULLS = ("", "NAN", "NONE", "NULL", "NAT")
 # Names of one vendor, and the one they become.
 VENDOR_ALIASES, VENDOR_NAME = ("THE BOEING", "BOEING", "BOEING CO"), "THE BOEING COMPANY"
+# Endings that company names lose, one after the other, each once.
+COMPANY_ENDINGS = (" CORPORATION", " COMPANY", " INC.", " INC", " LLC", " CORP.", " CORP", " LTD.", " LTD", ",")
+# Design and standards authorities by cage.
+AUTHORITIES = {
+    "19207": "US ARMY TACOM - DESIGN ACTIVITY",
+    "81349": "MILITARY STANDARDS / PROMULGATING ACTIVITY",
+    "80205": "NATIONAL AEROSPACE STANDARDS (NAS)",
+    "96906": "MILITARY STANDARDS (MS)",
+    "57685": "NAVAL AIR SYSTEMS COMMAND",
+    "81348": "FEDERAL SPECIFICATIONS",
+    "88044": "AERONAUTICAL STANDARDS GROUP",
+    "9009H": "WSK PZL-KALISZ S.A. (POLAND)",
+    "100CB": "ARITEX CADING S.A. (SPAIN)",
+    "A486G": "PATRIA AVIATION OY (FINLAND)",
+    "K1037": "HANWHA AEROSPACE (SOUTH KOREA)",
+    "D0019": "RHEINMETALL LANDSYSTEME (GERMANY)",
+}
+# Shapes of a stock number or an item number, as typed.
+PART_SHAPE = r"^\d{4}-?\d{2}-?\d{3}-?\d{4}$|^\d{9}$|^\d{13}$"
 
 
 def strip(c: Column) -> Column:
@@ -29,6 +48,53 @@ def null_words(c: Column, words: Sequence[str]) -> Column:
     return F.when(~u.isin(*words), u)
 
 
+def optional(c: Column) -> Column:
+    """Trimmed; null where nothing but a word for null is left."""
+    t = F.trim(c)
+    return F.when(~F.upper(t).isin(*OPTIONAL_NULLS), t)
+
+
+def without_nan_words(c: Column) -> Column:
+    """A list in a string without its NAN entries, and without commas at either end."""
+    for pattern in (r"\bNAN\b,?", ",+$", "^,+"):
+        c = F.regexp_replace(c, pattern, "")
+    return c
+
+
+def company(c: Column) -> Column:
+    """Upper-cased, without the endings of legal forms."""
+    c = F.upper(c)
+    for end in COMPANY_ENDINGS:
+        c = F.when(c.endswith(end), F.left(c, F.length(c) - len(end))).otherwise(c)
+    return F.trim(c)
+
+
+def code_of(label: Column) -> Column:
+    """`1620 - GEAR` -> `1620`."""
+    return F.trim(F.split_part(label, F.lit(" - "), F.lit(1)))
+
+
+def unescaped(c: Column) -> Column:
+    """The five named entities of XML, and numbered quotes; ampersands last, so that nothing is read twice."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
+
+
+def half_even(c: Column) -> Column:
+    """Double to int as SQL engines that round to even do (a plain cast cuts)."""
+    return F.bround(c, 0).cast("int")
+
+
+def vendor_label(name: Column, cage: Column, known: Column) -> Column:
+    """The name if there is one, else the authority's, else the one known by cage, else one made of the cage."""
+    own = F.when(~F.upper(F.trim(name)).isin(*TEXT_NULLS), name)
+    named = F.lit(None).cast("string")
+    for code, authority in AUTHORITIES.items():
+        named = F.when(cage == code, F.lit(authority)).otherwise(named)
+    return F.coalesce(own, named, F.nullif(known, F.lit("")), F.concat(F.lit("Unknown Manufacturer (CAGE: "), cage, F.lit(")")))
+
+
 def cage_frame(c: Column) -> Column:
     """'' for null and 'nan'; 1 to 4 characters are padded to 5; longer ones stay."""
     u = F.upper(strip(F.coalesce(c, F.lit(""))))
@@ -77,6 +143,7 @@ def vendor(c: Column) -> Column:
 
 
 def no_year_suffix(c: Column) -> Column:
+    # Fixed value: the ending that tells a year.
     return F.regexp_replace(c, r"\s*\(\d{4}\)\s*$", "")
 
 
@@ -131,6 +198,16 @@ def money_label(c: Column) -> Column:
     )
 
 
+def short_money(c: Column) -> Column:
+    """Billions and millions with a digit, else whole thousands; '' for nothing."""
+    big = F.when(c >= 1e9, F.format_string("$%,.1fB", c / 1e9)).when(c >= 1e6, F.format_string("$%,.1fM", c / 1e6))
+    return F.when(c > 0, big.otherwise(F.format_string("$%,.0fK", c / 1e3))).otherwise(F.lit(""))
+
+
+def millions(c: Column) -> Column:
+    return F.format_string("$%.1fM", c / 1e6)
+
+
 def spend_tier(c: Column) -> Column:
     """Right-closed: (-1, 0], (0, 1e5], (1e5, 1e6], (1e6, 1e12]; null outside."""
     return (
@@ -144,6 +221,19 @@ def top_list(values: Column, k: int = 5, sep: str = ", ") -> Column:
     return F.array_join(F.slice(F.array_sort(F.collect_set(values)), 1, k), sep)
 
 
+def top_lists(df, key: str, values: dict[str, Column], k: int = 5, sep: str = ", "):
+    """For each key the first k distinct values of each expression, joined.
+
+    Distinct before they are ranked, and at most k of a key's values leave a partition, so no key is ever gathered whole."""
+    out = df.select(key).distinct()
+    order = Window.partitionBy(key).orderBy("v")
+    for name, value in values.items():
+        first = df.select(key, value.alias("v")).where("v IS NOT NULL").distinct().withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+        lists = first.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "v"))), lambda s: s["v"]), sep).alias(name))
+        out = out.join(lists, key, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out
+
+
 # -- trends: 'year:amount|year:amount' -------------------------------------------------------------------------------
 
 

@@ -43,6 +43,24 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 TIE = ("action_date", "line_no", "supp", "part", "price")
 
 
+def management_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the catalogue knows of each part, taken from the part's own columns."""
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        _pad("p_partkey", 9).alias("niin"), F.col("p_name").alias("item_name"), F.concat(F.lit("D"), size % 5).alias("demil_code"), (size % 3).cast("string").alias("shelf_life_code"),
+        F.col("p_type").alias("mgmt_control_code"), F.when(size % 2 == 0, "EA").otherwise("PG").alias("unit_of_issue"), F.upper("p_brand").alias("source_of_supply"),
+        F.col("p_retailprice").alias("govt_estimated_price"), F.substring("p_type", 1, 1).alias("acquisition_advice_code"))
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that a supplier lists: each part stands with one supplier that may or may not have sold it."""
+    suppliers = max(1, table(spark, sf_dir, "supplier").count())  # from the footers
+    cage = F.lpad((F.col("p_partkey") * 7 % suppliers).cast("string"), 5, "0")
+    return table(spark, sf_dir, "part").select(
+        _pad("p_partkey", 9).alias("niin"), F.concat((F.lit(1000) + F.col("p_size")).cast("string"), _pad("p_partkey", 9)).alias("nsn"), cage.alias("cage"),
+        F.concat(F.lit("P"), F.col("p_partkey")).alias("part_number"), F.col("p_name").alias("description"))
+
+
 def vendor_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_nationkey").cast("double")
     return table(spark, sf_dir, "supplier").select(_pad("s_suppkey", 5).alias("cage_code"), F.upper("s_name").alias("vendor_name"), (key * 3.0 - 36).alias("latitude"), (key * 7.0 - 84).alias("longitude"), F.concat(F.lit("CITY_"), F.col("s_nationkey")).alias("city"), F.concat(F.lit("ST_"), F.col("s_nationkey")).alias("state"))
@@ -55,6 +73,6 @@ def solicitations(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, n = F.col("o_orderkey"), max(1, documents.count())  # the count comes from the footers
     rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.join(docs, key % n == F.col("doc_id"), "left").select(
-        key.cast("string").alias("id"), F.concat(F.lit("SOL-"), key).alias("sol_num"), "title", F.col("c_mktsegment").alias("agency"), F.date_add(F.to_date("o_orderdate"), 60).cast("string").alias("deadline"),
+        key.cast("string").alias("id"), F.concat(F.when(key % 4 == 0, "SPE-").otherwise("SOL-"), key).alias("sol_num"), "title", F.col("c_mktsegment").alias("agency"), F.date_add(F.to_date("o_orderdate"), 60).cast("string").alias("deadline"),
         F.col("o_orderpriority").alias("set_aside_type"), F.lpad((key % 50 + 1).cast("string"), 6, "0").alias("naics"), F.lpad((key % 50 + 1).cast("string"), 4, "0").alias("psc"), "description",
-        F.when(key % 2 == 0, "DIBBS").otherwise("SAM").alias("source_system"), F.concat(F.lit("ST_"), key % 7).alias("state"))
+        F.when(key % 10 == 0, "DLA").when(key % 2 == 0, "DIBBS").otherwise("SAM").alias("source_system"), F.concat(F.lit("ST_"), key % 7).alias("state"))

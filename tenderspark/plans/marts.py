@@ -46,45 +46,54 @@ def contracts_rolled(tx: DataFrame) -> DataFrame:
     return out.select("contract_id", "last_action_date", "start_date", "total_spend", *[F.col(f"l.{c}").alias(c) for c in last], "year")
 
 
-def contract_context(tx: DataFrame) -> DataFrame:
-    last = F.max_by(F.struct("platform_family", "psc", "market_segment"), F.struct(*TIE))
-    return tx.groupBy("contract_id").agg(last.alias("l")).select("contract_id", "l.*")
+def contract_sides(tx: DataFrame) -> DataFrame:
+    """Of each contract the supplier of its first line (`p`) and what its latest action was for (`l`), in one aggregation."""
+    prime = F.min_by(F.struct("vendor_name", "vendor_cage", "clean_parent", "supp"), F.struct("line_no", "supp", "part", "price", "action_date"))
+    latest = F.max_by(F.struct("platform_family", "psc", "market_segment"), F.struct(*TIE))
+    return tx.groupBy("contract_id").agg(prime.alias("p"), latest.alias("l"))
 
 
 def network(tx: DataFrame) -> DataFrame:
     """Edges from the first line's supplier to the suppliers of a contract's other lines."""
-    first = tx.groupBy("contract_id").agg(F.min_by(F.struct("vendor_name", "vendor_cage", "clean_parent", "supp"), F.struct("line_no", "supp", "part", "price", "action_date")).alias("p"))
-    context = contract_context(tx).withColumnsRenamed({"platform_family": "_pf", "psc": "_psc", "market_segment": "_ms"})
-    lines = tx.join(first, "contract_id").where(F.col("supp") != F.col("p.supp")).join(context, "contract_id", "left")
+    lines = tx.join(contract_sides(tx), "contract_id").where(F.col("supp") != F.col("p.supp"))
     return lines.select(
-        F.col("p.vendor_name").alias("prime_name"), F.col("vendor_name").alias("sub_name"), F.coalesce("p.clean_parent", F.lit("UNKNOWN")).alias("prime_gold_parent"), F.coalesce("clean_parent", F.lit("UNKNOWN")).alias("sub_gold_parent"),
-        F.col("p.vendor_cage").alias("prime_cage"), F.col("vendor_cage").alias("sub_cage"), "contract_id", "line_no", "description", "action_date", "year", F.col("spend_amount").alias("subaward_value"),
-        F.col("city").alias("sub_city"), F.col("state").alias("sub_state"), F.coalesce("_pf", F.lit("UNMAPPED")).alias("platform_family"), F.col("_psc").alias("psc"), F.col("_ms").alias("market_segment"))
+        F.col("p.vendor_name").alias("prime_name"), F.col("vendor_name").alias("sub_name"),
+        F.coalesce("p.clean_parent", F.lit("UNKNOWN")).alias("prime_gold_parent"), F.coalesce("clean_parent", F.lit("UNKNOWN")).alias("sub_gold_parent"),
+        F.col("p.vendor_cage").alias("prime_cage"), F.col("vendor_cage").alias("sub_cage"), "contract_id", "line_no", "description", "action_date", "year",
+        F.col("spend_amount").alias("subaward_value"), F.col("city").alias("sub_city"), F.col("state").alias("sub_state"),
+        F.coalesce("l.platform_family", F.lit("UNMAPPED")).alias("platform_family"), F.col("l.psc").alias("psc"), F.col("l.market_segment").alias("market_segment"))
 
 
 def pick_name(rows: DataFrame, cage: str = "cage_code", spend: str = "total_spend") -> DataFrame:
-    """The latest name of each cage: year, spend, name, all descending."""
-    order = Window.partitionBy(cage).orderBy(F.desc_nulls_last("year"), F.desc_nulls_last(spend), F.desc_nulls_last("vendor_name"))
-    named = rows.withColumn("vendor_name", N.no_year_suffix(F.col("vendor_name")))
-    return named.withColumn("rn", F.row_number().over(order)).where("rn = 1").select(cage, "vendor_name")
+    """The latest name of each cage that is not blank: by year, spend, name, all descending.  One aggregate, combined before
+    the shuffle, so a cage with very many rows is no task of its own."""
+    name = F.nullif(F.trim(N.no_year_suffix(F.col("vendor_name"))), F.lit(""))
+    named = rows.select(cage, name.alias("vendor_name"), "year", spend).where("vendor_name IS NOT NULL")
+    # nulls come last in descending order, as they are least here
+    return named.groupBy(cage).agg(F.max_by("vendor_name", F.struct("year", spend, "vendor_name")).alias("vendor_name"))
+
+
+def _real_cages(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.coalesce("cage_code", F.lit("")).isin(*N.PROFILE_CAGE_NULLS))
 
 
 def profiles(s: DataFrame, edges: DataFrame) -> DataFrame:
     """Award side and network side by cage, full outer; the source tells which sides there are."""
-    naics = F.concat_ws(" - ", "naics_code", "naics_description")
-    award = s.groupBy("cage_code").agg(
-        N.total(F.col("total_spend")).alias("total_lifetime_spend"), F.sum("contract_count").alias("total_contracts"), F.max("year").alias("last_active_year"),
-        N.top_list(naics).alias("top_naics_codes"), N.top_list(F.col("platform_family")).alias("top_platforms"))
-    award = award.join(pick_name(s), "cage_code", "left")
-    prime = edges.select(F.col("prime_cage").alias("cage_code"), F.col("prime_name").alias("vendor_name"), "contract_id", "year", "subaward_value")
-    sub = edges.select(F.col("sub_cage").alias("cage_code"), F.col("sub_name").alias("vendor_name"), "contract_id", "year", "subaward_value")
-    both = prime.unionByName(sub).where(~F.coalesce("cage_code", F.lit("")).isin(*N.PROFILE_CAGE_NULLS))
+    rows = _real_cages(s)
+    award = rows.groupBy("cage_code").agg(N.total(F.col("total_spend")).alias("total_lifetime_spend"), F.sum("contract_count").alias("total_contracts"), F.max("year").alias("last_active_year"))
+    naics = F.concat("naics_code", F.lit(" - "), F.coalesce("naics_description", F.lit("Unknown")))
+    award = award.join(N.top_lists(rows, "cage_code", {"top_naics_codes": naics, "top_platforms": F.col("platform_family")}), "cage_code", "left")
+    award = award.join(pick_name(rows), "cage_code", "left")
+    sides = F.explode(F.array(*[F.struct(F.col(f"{x}_cage").alias("cage_code"), F.col(f"{x}_name").alias("vendor_name")) for x in ("prime", "sub")]))
+    both = _real_cages(edges.select("contract_id", "year", "subaward_value", sides.alias("side")).select("side.*", "contract_id", "year", "subaward_value"))
     flow = both.groupBy("cage_code").agg(N.total(F.col("subaward_value")).alias("network_flow_total"), F.countDistinct("contract_id").alias("network_contract_count"), F.max("year").alias("network_last_active_year"))
     flow = flow.join(pick_name(both, spend="subaward_value").withColumnRenamed("vendor_name", "network_name"), "cage_code", "left")
-    source = F.when(F.col("total_contracts").isNotNull() & F.col("network_contract_count").isNotNull(), "AWARD_AND_NETWORK").when(F.col("total_contracts").isNotNull(), "AWARD_BACKED").otherwise("NETWORK_ONLY")
+    awarded, linked = F.col("total_contracts").isNotNull(), F.col("network_contract_count").isNotNull()
+    source = F.when(awarded & linked, "AWARD_AND_NETWORK").when(awarded, "AWARD_BACKED").otherwise("NETWORK_ONLY")
     return award.join(flow, "cage_code", "full_outer").select(
-        "cage_code", F.coalesce("vendor_name", "network_name").alias("vendor_name"), F.coalesce("total_lifetime_spend", F.lit(0.0)).alias("total_lifetime_spend"), F.coalesce("total_contracts", F.lit(0)).alias("total_contracts"), "last_active_year",
-        "top_naics_codes", "top_platforms", source.alias("profile_source"), F.coalesce("network_flow_total", F.lit(0.0)).alias("network_flow_total"), F.coalesce("network_contract_count", F.lit(0)).alias("network_contract_count"), "network_last_active_year")
+        "cage_code", F.coalesce("vendor_name", "network_name").alias("vendor_name"), F.coalesce("total_lifetime_spend", F.lit(0.0)).alias("total_lifetime_spend"),
+        F.coalesce("total_contracts", F.lit(0)).alias("total_contracts"), "last_active_year", "top_naics_codes", "top_platforms", source.alias("profile_source"),
+        F.coalesce("network_flow_total", F.lit(0.0)).alias("network_flow_total"), F.coalesce("network_contract_count", F.lit(0)).alias("network_contract_count"), "network_last_active_year")
 
 
 def risk(sidecar: DataFrame, rolled: DataFrame) -> DataFrame:
@@ -117,21 +126,36 @@ def part_platforms(tx: DataFrame) -> DataFrame:
     return by.groupBy("niin").agg(F.max_by("platform_family", F.struct("s", "platform_family")).alias("platform_family"))
 
 
-def catalogue_parts(tx_parts: DataFrame) -> DataFrame:
+#: Management data of a part, as the catalogue names it.
+MANAGEMENT = ("demil_code", "shelf_life_code", "mgmt_control_code", "unit_of_issue", "source_of_supply", "govt_estimated_price", "acquisition_advice_code")
+
+
+def management(flis: DataFrame) -> DataFrame:
     """Management data, one row a niin (the source may repeat one)."""
-    return tx_parts.groupBy("niin").agg(*[F.max(c).alias(c) for c in tx_parts.columns if c != "niin"])
+    return flis.where(F.col("niin").isNotNull()).groupBy("niin").agg(*[F.max(c).alias(c) for c in flis.columns if c != "niin"])
+
+
+def catalogue_rows(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Product rows, and those that suppliers list but nobody has bought yet."""
+    unsold = listed.join(rows.select("niin", "cage").distinct(), ["niin", "cage"], "left_anti")
+    nothing = {"total_revenue": F.lit(0.0), "total_units_sold": F.lit(0.0), "last_sold_date": F.lit(None).cast("string"), "annual_revenue_trend": F.lit(""), "avg_unit_price": F.lit(None).cast("double")}
+    return rows.unionByName(unsold.withColumns(nothing).withColumn("fsc_code", N.fsc(F.col("nsn"))))
 
 
 def products(rows: DataFrame, platforms: DataFrame, flis: DataFrame) -> DataFrame:
-    return rows.where("total_revenue > 0").join(catalogue_parts(flis), "niin", "left").join(platforms, "niin", "left")
+    return rows.where("total_revenue > 0").join(management(flis), "niin", "left").join(platforms, "niin", "left")
 
 
 def nsn_profile_lookup(rows: DataFrame, flis: DataFrame) -> DataFrame:
+    """One row a part: texts of the row of most revenue that has them, sums, weighted price, merged trend, management data."""
     sold = rows.where("total_revenue > 0")
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    most = lambda c: F.max_by(text(c), F.when(text(c).isNotNull(), F.struct("total_revenue", "cage")))
     base = sold.groupBy("niin").agg(
-        F.max_by("nsn", F.struct("total_revenue", "cage")).alias("nsn"), F.max_by("description", F.struct("total_revenue", "cage")).alias("item_name"), F.min("fsc_code").alias("fsc_code"), N.total(F.col("total_revenue")).alias("total_revenue"),
+        most("nsn").alias("nsn"), most("description").alias("item_name"), most("fsc_code").alias("fsc_code"), N.total(F.col("total_revenue")).alias("total_revenue"),
         F.sum(F.col("total_units_sold").cast("decimal(18,4)")).cast("double").alias("total_units_sold"), N.weighted_price(F.col("avg_unit_price"), F.col("total_units_sold")).alias("market_price"), F.max("last_sold_date").alias("last_sold_date"))
-    return base.join(merged_trends(sold, "niin"), "niin", "left").join(catalogue_parts(flis), "niin", "left")
+    out = base.join(merged_trends(sold, "niin"), "niin", "left").join(management(flis), "niin", "left")
+    return out.withColumns({"annual_revenue_trend": F.coalesce("annual_revenue_trend", F.lit("")), "govt_estimated_price": F.coalesce("govt_estimated_price", F.lit(0.0))})
 
 
 def merged_trends(rows: DataFrame, key: str) -> DataFrame:
@@ -146,15 +170,19 @@ def nsn_supplier_lookup(tx: DataFrame) -> DataFrame:
     return tx.where(F.col("niin").isNotNull() & F.col("vendor_cage").isNotNull()).groupBy(*keys).agg(F.max("vendor_name").alias("vendor"), F.max("action_date").alias("last_sold"), N.total(F.col("spend_amount")).alias("total_revenue")).withColumnRenamed("vendor_cage", "cage")
 
 
-def nsn_cage_reference(rows: DataFrame, tx: DataFrame, platforms: DataFrame) -> DataFrame:
-    """Products with or without revenue, and what was observed of their niin."""
-    seen = tx.groupBy("niin").agg(N.total(F.col("spend_amount")).alias("observed_spend"), F.countDistinct("contract_id").alias("observed_contract_count"), F.count(F.lit(1)).alias("observed_row_count"), F.min("year").alias("first_observed_year"), F.max("year").alias("last_observed_year"), F.max("action_date").alias("last_observed_date"))
+def nsn_cage_reference(rows: DataFrame, tx: DataFrame, platforms: DataFrame, flis: DataFrame) -> DataFrame:
+    """Products with or without revenue, their management data, and what was observed of their niin."""
+    seen = tx.groupBy("niin").agg(
+        N.total(F.col("spend_amount")).alias("observed_spend"), F.countDistinct("contract_id").alias("observed_contract_count"), F.count(F.lit(1)).alias("observed_row_count"),
+        F.min("year").alias("first_observed_year"), F.max("year").alias("last_observed_year"), F.max("action_date").alias("last_observed_date"))
     has = F.coalesce(F.col("total_revenue"), F.lit(0.0)) > 0
-    out = rows.join(seen, "niin", "left").join(platforms, "niin", "left")
+    out = rows.join(management(flis), "niin", "left").join(seen, "niin", "left").join(platforms, "niin", "left")
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    text = F.upper(F.concat_ws(" ", *map(blank, ("nsn", "cage", "part_number", "description"))))
     return out.select(
-        "niin", "nsn", "fsc_code", "cage", "description", "part_number", "total_revenue", "observed_spend", "observed_contract_count", "observed_row_count", "first_observed_year", "last_observed_year", "last_observed_date",
-        has.alias("has_observed_revenue"), F.when(has, "REVENUE_LINKED").otherwise("REFERENCE_ONLY").alias("revenue_status"), "platform_family", F.upper(F.concat_ws(" ", blank("nsn"), blank("cage"), blank("part_number"), blank("description"))).alias("search_text"))
+        "niin", "nsn", "fsc_code", "cage", "description", "part_number", "total_revenue", *MANAGEMENT,
+        "observed_spend", "observed_contract_count", "observed_row_count", "first_observed_year", "last_observed_year", "last_observed_date",
+        has.alias("has_observed_revenue"), F.when(has, "REVENUE_LINKED").otherwise("REFERENCE_ONLY").alias("revenue_status"), "platform_family", text.alias("search_text"))
 
 
 def platform_bom(codes: DataFrame, uses: DataFrame) -> DataFrame:

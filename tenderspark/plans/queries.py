@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators.filters import Filters, after, contains, domain_match, equals, every, page, safe_int, safe_years
+from ..operators.filters import Filters, after, any_contains, contains, domain_match, equals, every, page, safe_int, safe_years, sanitize, since
 from .marts import merged_trends
 
 _SPEND, _COUNT = "total_spend", "contract_count"
@@ -63,15 +65,17 @@ def top_vendors(s: DataFrame, f: Filters, k: int = 50, by: str = "clean_parent")
 
 
 def distribution(s: DataFrame, column: str, f: Filters, most: int = 10, shown: int = 4) -> DataFrame:
-    """First groups by spend, and Other: what is left of the grand total, groups without a label included."""
+    """First groups by spend, and Other: what is left of the grand total, groups without a label included.
+
+    The first groups fit in one row, so one pass over the groups serves the groups, their sum and the total."""
     by = s.where(f.column()).groupBy(F.col(column).alias("label")).agg(_spend(name="value"))
-    first = by.orderBy(F.desc("value"), F.asc_nulls_last("label")).limit(most).where("label IS NOT NULL")
-    first = first.orderBy(F.desc("value"), "label").limit(shown)
+    first = by.orderBy(F.desc("value"), F.asc_nulls_last("label")).limit(most).where("label IS NOT NULL").orderBy(F.desc("value"), "label").limit(shown)
     total = by.agg(F.coalesce(_spend("value", "total"), F.lit(0.0)).alias("total"))
-    used = first.agg(F.coalesce(_spend("value", "used"), F.lit(0.0)).alias("used"))
     # one row each
-    other = total.crossJoin(used).select(F.lit("Other").alias("label"), F.greatest(F.lit(0.0), N.money(F.col("total")) - N.money(F.col("used"))).cast("double").alias("value")).where("value > 0")
-    return first.unionByName(other).crossJoin(total).where("total > 0").select("label", "value", F.round(F.col("value") * 100 / F.col("total"), 1).alias("pct"))
+    rows = first.agg(F.collect_list(F.struct("label", "value")).alias("g"), F.coalesce(_spend("value", "used"), F.lit(0.0)).alias("used")).crossJoin(total).where("total > 0")
+    left = F.greatest(F.lit(0.0), N.money(F.col("total")) - N.money(F.col("used"))).cast("double")
+    every_ = F.concat("g", F.filter(F.array(F.struct(F.lit("Other").alias("label"), left.alias("value"))), lambda x: x["value"] > 0))
+    return rows.select(F.inline(every_), "total").select("label", "value", F.round(F.col("value") * 100 / F.col("total"), 1).alias("pct"))
 
 
 def map_points(s: DataFrame, geo: DataFrame, f: Filters, before: int = 150_000, shown: int = 50_000) -> DataFrame:
@@ -95,12 +99,30 @@ def open_opportunities(opps: DataFrame, as_of: str, agency: str | None = None, t
     return rows.orderBy(F.asc_nulls_last("deadline"), "id").limit(k).crossJoin(total).select("id", "sol_num", "agency", "deadline", "total")
 
 
-def legacy_distribution(s: DataFrame, column: str, f: Filters, shown: int = 5) -> DataFrame:
-    """Shares of the labelled, positive groups only."""
-    by = s.where(f.column()).groupBy(F.col(column).alias("label")).agg(_spend(name="value")).where("value > 0 AND trim(label) NOT IN ('', '0')")
-    rank = by.withColumn("rn", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("value"), "label")))
-    label = F.when(F.col("rn") <= shown, F.col("label")).otherwise("Other")
-    return rank.groupBy(label.alias("label")).agg(_spend("value", "value"))
+def legacy_distribution(s: DataFrame, column: str, f: Filters | Column, shown: int = 5) -> DataFrame:
+    """Shares of the labelled, positive groups only: the first ones, and what is left of their total."""
+    by = s.where(f if isinstance(f, Column) else f.column()).groupBy(F.col(column).alias("label")).agg(_spend(name="value")).where("value > 0 AND trim(label) NOT IN ('', '0')")
+    first = by.orderBy(F.desc("value"), "label").limit(shown)
+    total = by.agg(_spend("value", "total"))
+    rows = first.agg(F.collect_list(F.struct("label", "value")).alias("g"), _spend("value", "used")).crossJoin(total)
+    left = (N.money(F.col("total")) - N.money(F.col("used"))).cast("double")
+    every_ = F.concat("g", F.filter(F.array(F.struct(F.lit("Other").alias("label"), left.alias("value"))), lambda x: x["value"] > 0))
+    return rows.select(F.inline(every_), "total").select("label", "value", F.round(F.col("value") * 100 / F.col("total"), 1).alias("pct"))
+
+
+def legacy_kpis(s: DataFrame, where: Column) -> DataFrame:
+    return s.where(where).agg((F.coalesce(_spend(), F.lit(0.0)) / 1e9).alias("total_spend_b"), F.coalesce(_contracts(), F.lit(0)).alias("total_contracts"))
+
+
+def legacy_trend(s: DataFrame, where: Column, mode: str = "yearly") -> DataFrame:
+    """Billions by year, or by month; gaps stay gaps."""
+    label = "year" if mode == "yearly" else "month"
+    return s.where(where).groupBy(F.col(label).alias("label")).agg((_spend() / 1e9).alias("spend")).orderBy("label")
+
+
+def legacy_top_vendors(s: DataFrame, where: Column, k: int = 50) -> DataFrame:
+    by = s.where(where).groupBy(F.col("vendor_name").alias("vendor")).agg(_spend(), _contracts())
+    return by.orderBy(F.desc(_SPEND), "vendor").limit(k).select("vendor", (F.col(_SPEND) / 1e6).alias("spend_m"), "contracts")
 
 
 def legacy_map(s: DataFrame, geo: DataFrame, f: Filters, least: float = 1e6, k: int = 50_000) -> DataFrame:
@@ -125,17 +147,16 @@ def vendor_groups(s: DataFrame, k: int = 50) -> DataFrame:
 AWARD_ORDER = ("total_spend", "last_action_date", "contract_id")
 
 
-def award_search(rolled: DataFrame, q: str | None = None, filters: Sequence[Column] = (), seek: Sequence | None = None, limit: int = 50, as_of: str | None = None) -> DataFrame:
+def award_search(rolled: DataFrame, q: str | None = None, filters: Sequence[Column] = (), seek: Sequence | None = None, limit: int = 50, as_of: str | None = None, least: float = 1e6) -> DataFrame:
     """Pages by spend, date, id, all descending; one row more than asked tells that there are more.  Without any filter:
-    1e6 and more, and active within 730 days."""
+    `least` and more, and active within 730 days."""
     parts = list(filters)
     if q:
-        hit = [contains(F.col(c), q) for c in ("contract_id", "vendor_name", "description", "psc")]
-        parts.append(hit[0] | hit[1] | hit[2] | hit[3])
+        parts.append(any_contains(q, "contract_id", "vendor_name", "description", "psc"))
     if not parts:
-        parts.append(F.col("total_spend") >= 1e6)
+        parts.append(F.col("total_spend") >= least)
         if as_of:
-            parts.append(F.col("last_action_date").try_cast("date") >= F.date_sub(F.lit(as_of).cast("date"), 730))
+            parts.append(since("last_action_date", as_of, 730))
     if seek:
         parts.append(after(AWARD_ORDER, seek))
     rows = rolled.where(every(parts)).select(*AWARD_ORDER, "vendor_name", "sub_agency")
@@ -153,8 +174,7 @@ def award_history(tx: DataFrame, contract_id: str, k: int = 200) -> DataFrame:
 
 
 def recent_wins(tx: DataFrame, as_of: str, least: float, days: int = 180, k: int = 50) -> DataFrame:
-    since = F.date_sub(F.lit(as_of).cast("date"), days)
-    rows = tx.where((F.col("action_date").try_cast("date") >= since) & (F.col("spend_amount") > least))
+    rows = tx.where(since("action_date", as_of, days) & (F.col("spend_amount") > least))
     return page(rows.select("contract_id", "action_date", "line_no", "vendor_name", "part_number", "spend_amount"), [F.desc("action_date"), F.desc("spend_amount"), F.col("contract_id"), F.col("line_no"), F.col("part_number")], k)
 
 
@@ -187,32 +207,62 @@ def platform_totals(s: DataFrame, platform: str) -> DataFrame:
     return rows.agg(_spend(), _contracts(), F.countDistinct("vendor_name").alias("vendors"), F.mode("sub_agency", True).alias("usual_agency"))
 
 
-def platform_parts(products: DataFrame, bom: DataFrame, platform: str, years: Sequence[int] = (), least: float = 0, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Parts of a platform by niin: the first row's attributes in order of amount, sums, merged trend."""
-    rows = products.drop("platform_family").join(bom.where(F.col("platform_family") == platform).select("niin"), "niin").where(F.col("total_revenue") > 0)
+def platform_parts(products: DataFrame, bom: DataFrame, platform: str, years: Sequence[int] = (), least: float = 0, limit: int = 100, offset: int = 0, zero: bool = True, names: DataFrame | None = None) -> DataFrame:
+    """Parts of a platform by niin: the first row's attributes in order of amount, sums, merged trend, the top vendor's name.
+
+    `least` counts only without years; `zero`: rows without revenue too."""
+    rows = products.drop("platform_family").join(bom.where(F.col("platform_family") == sanitize(platform)).select("niin"), "niin")
     wanted = safe_years(years)
-    rows = rows.withColumn("amount", N.trend_sum(F.col("annual_revenue_trend"), wanted) if wanted else F.col("total_revenue"))
-    rows = rows if wanted else rows.where(F.col("amount") >= least)
+    rows = rows.where("total_revenue > 0") if not zero else rows
+    rows = rows.where(F.coalesce("total_revenue", F.lit(0.0)) >= least) if least > 0 and not wanted else rows
+    rows = rows.withColumn("amount", N.trend_sum(F.col("annual_revenue_trend"), wanted) if wanted else F.coalesce("total_revenue", F.lit(0.0)))
     order = F.struct(-F.col("amount"), F.col("cage"), F.col("part_number"))
-    by = rows.groupBy("niin").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("nsn", "description", "fsc_code", "cage")], _spend("amount", "amount"), F.max("last_sold_date").alias("last_sold_date"))
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("nsn", "description", "fsc_code", "cage")]
+    by = rows.groupBy("niin").agg(*first, _spend("amount", "amount"), F.sum(F.col("total_units_sold").cast("decimal(18,4)")).cast("long").alias("total_units_sold"), F.max("last_sold_date").alias("last_sold_date"))
     top = page(by, [F.desc("amount"), F.col("niin")], limit, offset)
-    return top.join(merged_trends(rows.join(top.select("niin"), "niin", "left_semi"), "niin"), "niin", "left")
+    out = top.join(merged_trends(rows.join(top.select("niin"), "niin", "left_semi"), "niin"), "niin", "left")
+    out = out.withColumn("annual_revenue_trend", F.coalesce("annual_revenue_trend", F.lit("")))
+    if names is None:
+        return out
+    return out.join(names.select(F.col("cage_code").alias("cage"), F.col("vendor_name").alias("top_vendor_name")).dropDuplicates(["cage"]), "cage", "left").fillna("", ["top_vendor_name"])
+
+
+def platform_awards(tx: DataFrame, platform: str, agency: str | None = None, years: Sequence[int] = (), threshold: float = 0.5, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Actions of a platform, latest first; `threshold` is in millions, 0 for none."""
+    parts = [F.col("platform_family") == sanitize(platform)]
+    parts += [(F.col("sub_agency") == sanitize(agency)) | (F.col("parent_agency") == sanitize(agency))] * bool(agency)
+    parts += [F.col("year").isin(safe_years(years))] * bool(years) + [F.col("spend_amount") >= threshold * 1e6] * (threshold > 0)
+    return awards_page(tx, parts, safe_int(limit, 50, 1, 500), offset, by_date=True)
 
 
 def bom_count(bom: DataFrame, platform: str) -> DataFrame:
     return bom.where(F.col("platform_family") == platform).agg(F.countDistinct("niin").alias("n"))
 
 
-def subcontracts(edges: DataFrame, psc_names: DataFrame, platform: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    rows = edges.where(F.col("platform_family") == platform).groupBy("sub_name", "sub_cage", "prime_name", "prime_cage").agg(
-        F.max("psc").alias("psc"), N.top_list(F.col("description"), 3).alias("descriptions"), F.count(F.lit(1)).alias("n"), _spend("subaward_value", "value"), F.max("action_date").alias("last_date"))
-    top = page(rows, [F.desc("value"), F.col("sub_cage"), F.col("prime_cage")], limit, offset)
-    named = top.join(psc_names, top["psc"] == psc_names["psc_code"], "left")
-    return named.select("sub_name", "sub_cage", "prime_name", "prime_cage", F.concat(F.coalesce("psc", F.lit("N/A")), F.lit(" - "), F.coalesce("psc_description", F.lit("Unknown"))).alias("psc_label"), "descriptions", "n", "value", "last_date")
+def subcontracts(edges: DataFrame, psc_names: DataFrame, platform: str, limit: int = 50, offset: int = 0, psc: str | None = None, prime: str | None = None, sub: str | None = None) -> DataFrame:
+    """Flows of a platform by sub and prime.  Descriptions are listed for the page's groups alone."""
+    keys = ["sub_name", "sub_cage", "prime_name", "prime_cage"]
+    rows = _subcontracts(edges, platform, psc, prime, sub)
+    by = rows.groupBy(*keys).agg(F.max("psc").alias("psc"), F.count(F.lit(1)).alias("n"), _spend("subaward_value", "value"), F.max("action_date").alias("last_date"))
+    top = page(by, [F.desc("value"), F.col("sub_cage"), F.col("prime_cage"), F.col("sub_name"), F.col("prime_name")], limit, offset)
+    key = F.struct(*keys)
+    own = rows.join(top.select(*keys), keys, "left_semi").select(key.alias("key"), "description")
+    lists = N.top_lists(own, "key", {"descriptions": F.col("description")}, 3)
+    named = top.withColumn("key", key).join(lists, "key", "left").join(psc_names, top["psc"] == psc_names["psc_code"], "left")
+    label = F.concat(F.coalesce("psc", F.lit("N/A")), F.lit(" - "), F.coalesce("psc_description", F.lit("Unknown")))
+    return named.select(*keys, label.alias("psc_label"), "descriptions", "n", "value", "last_date")
+
+
+def _subcontracts(edges: DataFrame, platform: str, psc: str | None = None, prime: str | None = None, sub: str | None = None) -> DataFrame:
+    """`psc` may be a label (`1620 - GEAR`): its code counts."""
+    parts = [F.col("platform_family") == platform]
+    parts += [F.col("psc") == (psc or "").split(" - ")[0].strip()] * bool(psc)
+    parts += [contains(F.col("prime_name"), prime or "")] * bool(prime) + [contains(F.col("sub_name"), sub or "")] * bool(sub)
+    return edges.where(every(parts))
 
 
-def subcontract_lines(edges: DataFrame, platform: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    rows = edges.where(F.col("platform_family") == platform).select("contract_id", "line_no", "prime_cage", "sub_cage", "description", "action_date", "subaward_value")
+def subcontract_lines(edges: DataFrame, platform: str, limit: int = 50, offset: int = 0, psc: str | None = None, prime: str | None = None, sub: str | None = None) -> DataFrame:
+    rows = _subcontracts(edges, platform, psc, prime, sub).select("contract_id", "line_no", "prime_cage", "sub_cage", "description", "action_date", "subaward_value")
     return page(rows, [F.desc("subaward_value"), F.col("contract_id"), F.col("line_no"), F.col("sub_cage"), F.col("action_date"), F.col("description")], limit, offset)
 
 
@@ -248,18 +298,30 @@ def company_network(edges: DataFrame, name: str, cage: str | None = None, side:
     return by.orderBy(F.desc("total"), "cage", "name").limit(k)
 
 
-def company_parts(products: DataFrame, cage: str, years: Sequence[int] = (), rollup: bool = False, platform: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    parts = [F.col("cage") == cage] + [F.col("platform_family") == platform] * bool(platform)
+def company_parts(products: DataFrame, cage: str, years: Sequence[int] = (), rollup: bool = False, platform: str | None = None, fsc: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    parts = [F.col("cage") == cage] + [F.col("platform_family") == platform] * bool(platform) + [F.col("fsc_code") == fsc] * bool(fsc)
     wanted = safe_years(years)
     rows = products.where(every(parts)).withColumn("amount", N.trend_sum(F.col("annual_revenue_trend"), wanted) if wanted else F.col("total_revenue"))
     if not rollup:
         return page(rows.select("niin", "cage", "part_number", "description", "amount", "last_sold_date"), [F.desc("amount"), F.col("niin"), F.col("part_number")], limit, offset)
-    key = N.niin_input(F.col("niin"))
-    rows = rows.withColumn("niin_key", key)
+    rows = rows.withColumn("niin_key", N.niin_input(F.col("niin")))
     u, pu = F.sum(F.col("total_units_sold").cast("decimal(18,4)")).cast("double"), F.sum((F.col("avg_unit_price") * F.col("total_units_sold")).cast("decimal(24,4)")).cast("double")
-    by = rows.groupBy("niin_key").agg(_spend("amount", "amount"), F.max("last_sold_date").alias("last_sold_date"), F.round(F.when(u > 0, pu / u).otherwise(F.avg("avg_unit_price")), 4).alias("price"), N.top_list(F.col("part_number"), 1000, ",").alias("part_numbers"), F.countDistinct("part_number").alias("part_count"))
+    by = rows.groupBy("niin_key").agg(_spend("amount", "amount"), F.max("last_sold_date").alias("last_sold_date"), F.round(F.when(u > 0, pu / u).otherwise(F.avg("avg_unit_price")), 4).alias("price"), F.countDistinct("part_number").alias("part_count"))
     top = page(by, [F.desc("amount"), F.col("niin_key")], limit, offset)
-    return top.join(merged_trends(rows, "niin_key"), "niin_key", "left")
+    own = rows.join(top.select("niin_key"), "niin_key", "left_semi")
+    # all part numbers of the page's parts, each once, in order of the rows that name them first
+    named = own.where(F.trim("part_number") != "").groupBy("niin_key", "part_number").agg(F.min(F.struct(-F.col("amount"), F.col("part_number"))).alias("o"))
+    numbers = named.groupBy("niin_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["part_number"]), ",").alias("part_numbers"))
+    out = top.join(numbers, "niin_key", "left").join(merged_trends(own, "niin_key"), "niin_key", "left")
+    return out.withColumn("part_numbers", F.coalesce("part_numbers", F.lit("")))
+
+
+def company_awards(tx: DataFrame, cage: str | None = None, name: str | None = None, years: Sequence[int] = (), agency: str | None = None, least: float = 0, limit: int = 50, offset: int = 0) -> DataFrame:
+    """By cage, else by a part of the name; largest first."""
+    parts = [F.col("vendor_cage") == sanitize(cage)] if cage else [contains(F.col("vendor_name"), sanitize(name))]
+    parts += [F.col("year").isin(safe_years(years))] * bool(years) + [F.col("spend_amount") >= least * 1e6] * (least > 0)
+    parts += [contains(F.col("sub_agency"), agency or "") | contains(F.col("parent_agency"), agency or "")] * bool(agency)
+    return awards_page(tx, parts, limit, offset)
 
 
 def company_parts_count(products: DataFrame, cage: str) -> DataFrame:
@@ -296,13 +358,30 @@ def naics_titles(profiles: DataFrame, titles: DataFrame) -> DataFrame:
 # -- parts ------------------------------------------------------------------------------------------------------------
 
 
-def nsn_suppliers(lookup: DataFrame, reference: DataFrame, niin: str) -> DataFrame:
-    """Suppliers by sales; those of the catalogue only where nothing was sold."""
+def reference_suppliers(reference: DataFrame, niin: str) -> DataFrame:
+    """Suppliers that the catalogue lists for a part: their part numbers and sources, each once."""
+    rows = reference.where((F.col("niin") == N.niin_input(F.lit(niin))) & (F.trim("cage") != ""))
+    rows = rows.select(F.upper(F.trim("cage")).alias("cage"), F.nullif(F.trim("part_number"), F.lit("")).alias("part_number"), "revenue_status").where(~F.col("cage").isin(*N.CAGE_NULLS))
+    lists = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
+    # one part of one supplier: what is listed is bounded by the catalogue's rows for it
+    out = rows.groupBy("cage").agg(lists("part_number").alias("part_numbers"), lists("revenue_status").alias("source"))
+    return out.withColumn("part_numbers", F.coalesce(F.nullif("part_numbers", F.lit("")), F.lit("\u2014")))
+
+
+def nsn_suppliers(lookup: DataFrame, reference: DataFrame, niin: str, names: DataFrame | None = None, where: Sequence[Column] = ()) -> DataFrame:
+    """Suppliers by sales; those of the catalogue only where nothing was sold.  Names by `N.vendor_label`."""
     key = N.niin_input(F.lit(niin))
-    sold = lookup.where(F.col("niin") == key).groupBy("cage").agg(F.max("vendor").alias("vendor"), F.countDistinct("contract_id").alias("contracts"), F.max("last_sold").alias("last_sold"), _spend("total_revenue", "revenue"))
-    listed = reference.where(F.col("niin") == key).groupBy("cage").agg(F.lit(None).cast("string").alias("vendor"), F.lit(0).cast("long").alias("contracts"), F.lit(None).cast("string").alias("last_sold"), F.lit(0.0).alias("revenue"))
+    sold = lookup.where(F.col("niin") == key).where(every(where)).groupBy("cage").agg(F.max("vendor").alias("vendor"), F.countDistinct("contract_id").alias("contracts"), F.max("last_sold").alias("last_sold"), _spend("total_revenue", "revenue"))
+    listed = reference_suppliers(reference, niin)
     any_sold = sold.agg(F.count(F.lit(1)).alias("n"))
-    return sold.unionByName(listed.crossJoin(any_sold).where("n = 0").drop("n")).orderBy(F.desc("revenue"), "cage")
+    approved = listed.crossJoin(any_sold).where("n = 0").drop("n")
+    out = sold.join(approved, "cage", "full_outer").select(
+        "cage", "vendor", F.coalesce("contracts", F.lit(0).cast("long")).alias("contracts"), "last_sold", F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
+        F.col("source").isNotNull().alias("approved"), F.coalesce("part_numbers", F.lit("\u2014")).alias("part_numbers"), "source")
+    if names is not None:
+        known = names.select(F.col("cage_code").alias("cage"), F.col("vendor_name").alias("known")).dropDuplicates(["cage"])
+        out = out.join(known, "cage", "left").withColumn("vendor", N.vendor_label(F.col("vendor"), F.col("cage"), F.col("known"))).drop("known")
+    return out.orderBy(F.desc("revenue"), F.desc("approved"), "cage")
 
 
 def supplier_union(lookup: DataFrame, reference: DataFrame, niin: str) -> DataFrame:
@@ -346,17 +425,38 @@ def reference_profile(reference: DataFrame, niin: str) -> DataFrame:
 # -- opportunities, search --------------------------------------------------------------------------------------------
 
 
-def pipeline_live(opps: DataFrame, as_of: str, agency: str | None = None, source: str | None = None, naics: str | None = None, keyword: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    parts = [F.coalesce("sol_num", "id").isNotNull()]
+#: What the numbers of one agency's solicitations start with.
+DIBBS = ("SPE", "SPM", "SPR")
+
+
+def pipeline_live(
+    opps: DataFrame, as_of: str, agency: str | None = None, source: str | None = None, naics: str | None = None, keyword: str | None = None, set_aside: str | None = None,
+    state: str | None = None, platform: str | None = None, domain: str | None = None, kind: str | None = None, limit: int = 50, offset: int = 0,
+) -> DataFrame:
+    """Open solicitations by deadline, each with how many there are in all.  `kind`: DIBBS or SAM, by the number's start."""
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    number = F.coalesce(text("sol_num"), text("id"))
+    dibbs = reduce(lambda a, b: a | b, [F.upper(number).startswith(x) for x in DIBBS])
+    parts = [number.isNotNull()] + [dibbs] * (kind == "DIBBS") + [~dibbs] * (kind == "SAM")
     if agency:
-        a = agency.upper()
-        parts.append(F.upper("agency").contains("LOGISTICS") | (F.col("source_system") == "DLA") if a in ("DLA", "LOGISTICS") else contains(F.col("agency"), agency))
-    parts += [F.col("source_system") == source] * bool(source) + [F.col("naics").startswith(naics or "")] * bool(naics)
-    if keyword:
-        parts.append(contains(F.col("title"), keyword) | contains(F.col("description"), keyword))
+        a = sanitize(agency)
+        logistics = contains(F.col("agency"), "LOGISTICS") | (F.col("source_system") == "DLA")
+        parts.append(logistics if "DLA" in a or "LOGISTICS" in a else contains(F.col("agency"), a))
+    parts += [F.col("source_system") == sanitize(source)] * bool(source) + [contains(F.col("naics"), sanitize(naics))] * bool(naics)
+    parts += [contains(F.col("set_aside_type"), sanitize(set_aside))] * bool(set_aside) + [F.col("state") == sanitize(state)] * bool(state)
+    parts += [any_contains(sanitize(keyword), "search_text", "title", "description")] * bool(keyword)
+    parts += [any_contains(sanitize(platform), "title", "description")] * bool(platform)
+    parts += [domain_match(sanitize(domain))] * bool(domain)
     left = F.datediff(F.substring("deadline", 1, 10).try_cast("date"), F.lit(as_of).cast("date"))
     rows = opps.where(every(parts)).withColumn("days_left", left).where("days_left >= 0")
-    return page(rows.select("id", "sol_num", "agency", "deadline", "days_left", "source_system"), [F.asc_nulls_last("deadline"), F.col("id")], limit, offset)
+    total = rows.agg(F.count(F.lit(1)).alias("total_matches"))
+    shown = page(rows.select("id", number.alias("sol_num"), "agency", "deadline", "days_left", "source_system"), [F.asc_nulls_last("deadline"), F.col("id")], limit, offset)
+    return shown.crossJoin(total)
+
+
+def pipeline_details(opps: DataFrame, key: str) -> DataFrame:
+    """By number or id."""
+    return opps.where((F.col("sol_num") == key) | (F.col("id") == key)).orderBy("id").limit(1)
 
 
 def solicitation(opps: DataFrame, number: str) -> DataFrame:
@@ -365,13 +465,36 @@ def solicitation(opps: DataFrame, number: str) -> DataFrame:
 
 
 def search_global(index: DataFrame, q: str, first: int = 100, k: int = 8) -> DataFrame:
-    """Hits by score, merged by entity: sums, and the best row's attributes."""
-    hit = F.col("label").ilike(f"%{q}%") | F.col("value").ilike(f"%{q}%") | F.col("cage").ilike(f"{q}%")
+    """Hits by score, merged by entity: sums, and the best row's attributes with a line that describes them.
+
+    What looks like a stock number gives a part as the first hit (place 0).  Nothing in `q` is a wildcard."""
+    text = sanitize(q)
+    hit = any_contains(text, "label", "value") | F.coalesce(F.upper("cage").startswith(text), F.lit(False))
     rows = index.where(hit).orderBy(F.desc("score"), "type", "value", "label").limit(first)
-    key = F.when(F.col("cage").isNotNull(), F.concat(F.lit("site-"), "cage")).when(F.col("type") == "PARENT", F.concat(F.lit("parent-"), "label")).otherwise(F.concat_ws("-", "type", "value"))
+    cage, folded = F.nullif("cage", F.lit("AGGREGATE")), lambda c: F.upper(F.trim(c))
+    key = (
+        F.when(F.upper("type").isin("CHILD", "VENDOR") & (cage != ""), F.concat(F.lit("site-"), folded("cage")))
+        .when(F.col("type") == "PARENT", F.concat(F.lit("parent-"), folded("label")))
+        .otherwise(F.concat(F.upper("type"), F.lit("-"), folded(F.coalesce(F.nullif("value", F.lit("")), "label"))))
+    )
     best = F.struct(-F.col("score"), F.col("type"), F.col("value"), F.col("label"))
-    by = rows.groupBy(key.alias("key")).agg(F.min_by("label", best).alias("label"), F.min_by("type", best).alias("type"), F.sum(N.money(F.col("score"))).cast("double").alias("score"))
-    return by.orderBy(F.desc("score"), "key").limit(k).withColumn("score_label", N.money_label(F.col("score")))
+    top = rows.groupBy(key.alias("key")).agg(F.min_by(F.struct("type", "label", "value", "cage", "city", "state"), best).alias("b"), F.sum(N.money(F.col("score"))).cast("double").alias("score"))
+    top = top.orderBy(F.desc("score"), "key").limit(k).select("key", "b.*", "score")
+    spend = N.short_money(F.col("score"))
+    where = F.when((F.col("city") != "") & (F.col("state") != ""), F.concat_ws(", ", "city", "state")).otherwise(F.coalesce("city", F.lit("")))
+    joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " \u2022 ")
+    line = (
+        F.when(F.col("type") == "OPPORTUNITY", F.concat(F.lit("Bid \u2022 "), F.coalesce("city", F.lit(""))))
+        .when((F.col("type") == "CHILD") & (cage != ""), joined(where, F.concat(F.lit("CAGE: "), "cage"), spend))
+        .when(F.col("type") == "PARENT", joined(F.lit("Corporate Rollup"), spend))
+        .otherwise(spend)
+    )
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "key"))  # over k rows
+    out = top.select(place.alias("place"), "key", "type", "label", "value", line.alias("sub_label"), "cage", "score")
+    if not re.match(N.PART_SHAPE, q.strip()):
+        return out
+    part = [(0, f"NSN-{q.strip()}", "NSN", f"Lookup Part: {q.strip()}", q.strip(), "Supply Chain Search", None, None)]
+    return index.sparkSession.createDataFrame(part, out.schema.simpleString()).unionByName(out)
 
 
 def vendor_typeahead(s: DataFrame, q: str, k: int = 10) -> DataFrame:
@@ -385,17 +508,30 @@ def taxonomy_typeahead(s: DataFrame, kind: str, q: str, k: int = 15) -> DataFram
     return rows.groupBy(F.col(code).alias("code")).agg(F.max(name).alias("name")).orderBy("code").limit(k)
 
 
-def topic_dedup(titles: DataFrame, generic: Sequence[str] = (), most: int = 6) -> DataFrame:
-    """(feed, pos, title) -> the first titles of each feed that share no topic with one kept before.  A fold over each
-    feed's ordered array, in built-in functions; a feed is a page of search results."""
-    words = F.regexp_extract_all("title", F.lit(r"(\b[A-Z][a-z]+\b|\b[A-Z]+\b)"), F.lit(1))
-    topics = F.array_distinct(F.filter(F.transform(words, F.upper), lambda w: (F.length(w) > 2) & ~w.isin(*generic)))
-    rows = titles.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("pos", "title", topics.alias("topics")))).alias("items"))
-    empty = F.struct(F.array().cast("array<struct<pos:bigint,title:string>>").alias("kept"), F.array().cast("array<string>").alias("seen"))
+# Words that are no topic of a headline.
+GENERIC = (
+    "US", "USA", "U.S.", "UK", "U.K.", "PENTAGON", "DOD", "DEFENSE", "MILITARY",
+    "ARMY", "NAVY", "AIR", "FORCE", "GOVERNMENT", "CONGRESS", "HOUSE", "SENATE",
+    "LOCKHEED", "MARTIN", "BOEING", "NORTHROP", "GRUMMAN", "RTX", "RAYTHEON",
+    "COMPANY", "CORP", "INC", "CEO", "CHIEF", "REPORT", "NEWS", "UPDATE", "TODAY",
+    "DEAL", "CONTRACT", "AWARD", "WINS", "AGREEMENT", "SALES", "QUARTER", "PROFIT",
+    "SAYS", "NEW", "BIG", "VISITS", "AT", "FOR", "TO", "OF", "IN", "ON", "WITH",
+)
+# Fixed value: a capitalised word, or one in capitals.
+TOPIC = r"\b[A-Z][a-z]+\b|\b[A-Z]+\b"
+
 
-    def step(acc: Column, x: Column) -> Column:
-        take = (F.size(acc["kept"]) < most) & ~F.arrays_overlap(acc["seen"], x["topics"])
-        one = F.array(F.struct(x["pos"].cast("long").alias("pos"), x["title"].alias("title")))
-        return F.when(take, F.struct(F.concat(acc["kept"], one).alias("kept"), F.array_union(acc["seen"], x["topics"]).alias("seen"))).otherwise(acc)
+def topic_dedup(titles: DataFrame, generic: Sequence[str] = GENERIC, most: int = 6) -> DataFrame:
+    """(feed, pos, title) -> the first `most` titles of each feed that share no topic with one kept before.
 
-    return rows.select("feed", F.inline(F.aggregate("items", empty, step, lambda acc: acc["kept"])))
+    A feed is a page of search results.  Each round takes the next title of every feed that is not done, so a long feed is
+    never gathered: `most` rounds, each a join of the feeds' open titles with the topics kept last."""
+    words = F.regexp_extract_all("title", F.lit(f"({TOPIC})"), F.lit(1))
+    topics = F.array_distinct(F.filter(F.transform(words, F.upper), lambda w: (F.length(w) > 2) & ~w.isin(*generic)))
+    left, kept = titles.select("feed", F.col("pos").cast("long").alias("pos"), "title", topics.alias("topics")), []
+    for _ in range(most):
+        taken = left.groupBy("feed").agg(F.min(F.struct("pos", "title", "topics")).alias("t")).select("feed", "t.*")
+        kept.append(taken.select("feed", "pos", "title"))
+        last = taken.select("feed", F.col("pos").alias("p"), F.col("topics").alias("seen"))
+        left = left.join(last, "feed").where((F.col("pos") > F.col("p")) & ~F.arrays_overlap("seen", "topics")).drop("p", "seen")
+    return reduce(DataFrame.unionByName, kept)
