@@ -163,7 +163,8 @@ def entries() -> dict[str, tuple[Callable[[Tables], DataFrame], str | None]]:
         "part_profile": (lambda t: D.part_profile(t.lookup, t.products, t.reference, NIIN).withColumn("market_price", F.round("market_price", 4)), w(f"SELECT * REPLACE (CAST(total_units_sold AS BIGINT) AS total_units_sold), total_revenue > 0 AS has_sales_history, 0 AS reference_supplier_count, 0 AS reference_part_count, 0 AS reference_rows, false AS has_reference_history FROM part_lookup WHERE niin = '{NIIN}'", TX, ROWS, FLIS, PART_LOOKUP)),
         "part_profile_years": (lambda t: D.part_profile(t.lookup, t.products, t.reference, "1000-00-000-0007", YEARS).select("niin", F.round("total_revenue", 2).alias("total_revenue"), "has_sales_history"), w(f"SELECT niin, round({SUM_TREND}, 2) AS total_revenue, {SUM_TREND} > 0 AS has_sales_history FROM part_lookup WHERE niin = '{NIIN}'", TX, ROWS, FLIS, PART_LOOKUP)),
         "nsn_reference_suppliers": (lambda t: Q.reference_suppliers(t.reference, NIIN), w(f"SELECT cage, string_agg(DISTINCT part_number, ', ' ORDER BY part_number) AS part_numbers, string_agg(DISTINCT CASE WHEN total_revenue > 0 THEN 'REVENUE_LINKED' ELSE 'REFERENCE_ONLY' END, ', ') AS source FROM listing WHERE niin = '{NIIN}' GROUP BY 1", TX, ROWS, LISTED)),
-        "nsn_suppliers_filtered": (lambda t: Q.nsn_suppliers(t.sellers, t.reference, NIIN, t.geo, [F.col("year").isin(YEARS), F.col("sub_agency") == AGENCY]).select("cage", "vendor", "contracts", "revenue"), w(f"SELECT cage, max(vendor) AS vendor, COUNT(DISTINCT contract_id) AS contracts, {money('total_revenue')} AS revenue FROM lookup WHERE niin = '{NIIN}' AND year IN {YEAR_LIST} AND sub_agency = '{AGENCY}' GROUP BY 1", TX, LOOKUP)),
+        "nsn_suppliers_filtered": (lambda t: Q.nsn_suppliers(t.sellers, t.reference, NIIN, t.geo, [F.col("year").isin(YEARS), F.col("sub_agency") == AGENCY]).select("cage", "vendor", "contracts", "revenue"), w(f"""SELECT * FROM own UNION ALL
+ SELECT DISTINCT cage, coalesce(vendor_name, 'Unknown Manufacturer (CAGE: ' || cage || ')'), 0, 0.0::DOUBLE FROM listing LEFT JOIN geo ON cage_code = cage WHERE niin = '{NIIN}' AND NOT EXISTS (SELECT 1 FROM own)""", TX, ROWS, LISTED, LOOKUP, GEO, f"own AS (SELECT cage, max(vendor) AS vendor, COUNT(DISTINCT contract_id) AS contracts, {money('total_revenue')} AS revenue FROM lookup WHERE niin = '{NIIN}' AND year IN {YEAR_LIST} AND sub_agency = '{AGENCY}' GROUP BY 1)")),
         "platform_parts_years": (lambda t: Q.platform_parts(t.products, t.bom, PLATFORM, YEARS, limit=50), w(PLATFORM_PARTS, TX, ROWS, BOM, _own_parts(f"coalesce({SUM_TREND}, 0)", "total_revenue > 0"))),
         "platform_parts_least": (lambda t: Q.platform_parts(t.products, t.bom, PLATFORM.lower(), least=60000, limit=50, names=t.geo).select("niin", "amount", "cage", "top_vendor_name"), w(f"SELECT niin, amount, cage, vendor_name AS top_vendor_name FROM ({PLATFORM_PARTS}) x JOIN geo ON geo.cage_code = x.cage", TX, ROWS, BOM, GEO, _own_parts("total_revenue", "total_revenue >= 60000"))),
         "platform_awards_threshold": (lambda t: Q.platform_awards(t.tx, PLATFORM, AGENCY, YEARS, 0.03), w(f"SELECT {award} FROM tx WHERE platform_family = '{PLATFORM}' AND (sub_agency = '{AGENCY}' OR parent_agency = '{AGENCY}') AND year IN {YEAR_LIST} AND spend_amount >= 30000 ORDER BY action_date DESC, spend_amount DESC, contract_id, line_no, part_number, vendor_cage LIMIT 50", TX)),
