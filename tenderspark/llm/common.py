@@ -42,9 +42,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write to a Parquet table in the shared folder and read it back: known size, pruned columns, no lineage."""
+#: Rows of a file that `stored` writes, where it knows how many rows there are at most.
+FILE_ROWS = 1 << 16
+
+
+def stored(df: DataFrame, name: str = "t", most: int | None = None) -> DataFrame:
+    """Write to a Parquet table in the shared folder and read it back: known size, pruned columns, no lineage.
+
+    `most`: a bound of its rows, if known; no more tasks write it than so many rows need, so that the last steps of an
+    iteration, whose tables are small, don't write a file for each partition of a shuffle."""
     path = scratch(df.sparkSession, name)
+    if most is not None:
+        df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path

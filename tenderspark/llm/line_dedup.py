@@ -52,12 +52,14 @@ def lines(docs: DataFrame) -> DataFrame:
 def _placed(found: DataFrame, min_words: int) -> DataFrame:
     """Repeated lines with their place, the place where the repeated lines around them end (`stop`), and how many lines from
     here on have `min_words` words (`need`, null if the document ends before).  Rows that repeat id and text count once."""
-    copies = stored(found.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copies")
-    again = stored(found.join(copies, ["l1", "l2"]).groupBy(*DOC, "seq").agg(*[F.first(c).alias(c) for c in ("l1", "l2", "words")]), "again")
+    most = found.count()
+    copies = stored(found.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"), "copies", most // 2)
+    again = stored(found.join(copies, ["l1", "l2"]).groupBy(*DOC, "seq").agg(*[F.first(c).alias(c) for c in ("l1", "l2", "words")]), "again", most)
+    most = again.count()
     # ranges of documents in order; within one, lines are counted on, with a gap after each document
     sizes = again.groupBy(*DOC).agg((F.max("seq") + 2).alias("size")).repartitionByRange(*DOC).withColumn("range", F.spark_partition_id().cast("long"))
     before = Window.partitionBy("range").orderBy(*DOC).rowsBetween(Window.unboundedPreceding, -1)
-    base = stored(sizes.select(*DOC, (F.shiftleft("range", RANGE) + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("base")), "base")
+    base = stored(sizes.select(*DOC, (F.shiftleft("range", RANGE) + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("base")), "base", most)
     rows = again.join(base, list(DOC)).select(*DOC, "seq", "words", "l1", "l2", (F.col("base") + F.col("seq")).alias("place"))
     doc = Window.partitionBy(*DOC).orderBy("place")
     rows = rows.withColumn("sum", F.coalesce(F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -66,7 +68,7 @@ def _placed(found: DataFrame, min_words: int) -> DataFrame:
     rows = rows.withColumn("stop", F.min("stop").over(doc.rowsBetween(0, Window.unboundedFollowing)))
     words = Window.partitionBy(*DOC).orderBy("sum").rangeBetween(0, min_words - 1)
     rows = rows.withColumn("need", F.when(F.sum("words").over(words) >= min_words, F.count(F.lit(1)).over(words))).drop("sum", "words")
-    rows = stored(rows, "placed")
+    rows = stored(rows, "placed", most)
     dropped(copies, again, base)
     return rows
 
@@ -84,28 +86,28 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataF
     return left.join(again, on, how).drop(*[f"{k}_" for k in keys])
 
 
-def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+def _ranked(rows: DataFrame, by: list[str], name: str, most: int) -> DataFrame:
     """(place, stop, rank) of the rows that share the keys `by` with another; rank is the place of the first copy."""
     first = rows.groupBy(*by).agg(F.min("place").alias("rank"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    return stored(_join(rows, first, by, "inner").select("place", "stop", "rank"), name)
+    return stored(_join(rows, first, by, "inner").select("place", "stop", "rank"), name, most)
 
 
 def ranks(placed: DataFrame) -> list[DataFrame]:
     """Level k: (place, stop, rank) of each suffix whose first 2**k lines stand at another place too; the last level is empty."""
-    levels = [_ranked(placed.select("place", "stop", "l1", "l2"), ["l1", "l2"], "rank0")]
+    levels = [_ranked(placed.select("place", "stop", "l1", "l2"), ["l1", "l2"], "rank0", placed.count())]
     h = 1
-    while not levels[-1].isEmpty():
+    while most := levels[-1].count():
         last = levels[-1]
         follows = last.select((F.col("place") - h).alias("place"), F.col("rank").alias("b"))
         pairs = last.where(F.col("place") + 2 * h <= F.col("stop")).withColumnRenamed("rank", "a").join(follows, "place")
-        levels.append(_ranked(pairs, ["a", "b"], f"rank{len(levels)}"))
+        levels.append(_ranked(pairs, ["a", "b"], f"rank{len(levels)}", most))
         h *= 2
     return levels
 
 
 def prefixes(levels: list[DataFrame]) -> DataFrame:
     """(place, common): lines that the suffix has in common with an earlier place, for all that have one in common."""
-    done, state = [], None
+    done, state, held = [], None, 0
     for k in range(len(levels) - 2, -1, -1):
         h, level = 1 << k, levels[k]
         entering = level.join(levels[k + 1].where("rank < place").select("place"), "place", "left_anti") if k < len(levels) - 2 else level
@@ -120,7 +122,8 @@ def prefixes(levels: list[DataFrame]) -> DataFrame:
             moved = _join(asked, part, ["first", "common", "rank"], "left").select("place", "stop", F.explode(stands).alias("s")).select("place", "stop", "s.first", "s.common")
             now = moved.unionByName(now)
         # a suffix that reaches the end of the repeated lines has its answer; a first place there can meet no one any more
-        now = stored(now, "intervals")
+        now = stored(now, "intervals", 2 * held + level.count())
+        held = now.count()
         over = (F.col("place") + F.col("common") == F.col("stop")) if k else F.lit(True)
         done.append(now.where(over & (F.col("first") < F.col("place"))).select("place", "common"))
         state = now.where(~over)
@@ -177,7 +180,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, str] =
     other line of their text is.  Rows that repeat id and text are one document and come out alike.  No rows in, no rows out.
     """
     found = stored(lines(docs), "lines")
-    gone = stored(spans(runs(found, min_words)), "spans")
+    gone = stored(spans(runs(found, min_words)), "spans", found.count())
     helpers = free([*docs.columns, *names], "n", "id", "th", "spans")
     gone = gone.select(*[F.col(c).alias(x) for c, x in zip((*DOC, "spans"), helpers, strict=True)])
     n, i, th, cut = helpers
