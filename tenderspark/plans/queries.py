@@ -464,13 +464,13 @@ def solicitation(opps: DataFrame, number: str) -> DataFrame:
     return opps.where(F.upper("sol_num").isin(n, n.replace("-", "")) | (F.col("id") == number)).orderBy("id").limit(1)
 
 
-def search_global(index: DataFrame, q: str, first: int = 100, k: int = 8) -> DataFrame:
-    """Hits by score, merged by entity: sums, and the best row's attributes with a line that describes them.
+def search_global(index: DataFrame, q: str, k: int = 8) -> DataFrame:
+    """All hits merged by entity, the k of most score: sums, and the best row's attributes with a line that describes them.
 
     What looks like a stock number gives a part as the first hit (place 0).  Nothing in `q` is a wildcard."""
     text = sanitize(q)
     hit = any_contains(text, "label", "value") | F.coalesce(F.upper("cage").startswith(text), F.lit(False))
-    rows = index.where(hit).orderBy(F.desc("score"), "type", "value", "label").limit(first)
+    rows = index.where(hit)
     cage, folded = F.nullif("cage", F.lit("AGGREGATE")), lambda c: F.upper(F.trim(c))
     key = (
         F.when(F.upper("type").isin("CHILD", "VENDOR") & (cage != ""), F.concat(F.lit("site-"), folded("cage")))

@@ -84,6 +84,18 @@ def test_search_index_is_whole(spark):
     assert {r["type"]: r["count"] for r in index.groupBy("type").count().collect()} == {"CHILD": 20_040, "PARENT": 5_005, "PLATFORM": 2_003, "AGENCY": 2_004}
 
 
+def test_search_finds_a_part_among_small_vendors(spark):
+    got = Q.search_global(M.search_index(*many_vendors(spark)), "000000012").collect()
+    assert [(r.place, r.type, r.label, r.cage) for r in got] == [(0, "NSN", "Lookup Part: 000000012", None), (1, "CHILD", "SUPPLIER#000000012", "00012")]
+
+
+def test_search_merges_all_hits(spark):
+    """A site of 150 names, each less than those of 100 other sites: its sum is the most."""
+    rows = [(f"ACME {k}", "1", "CHILD", 10.0, "1", "C", "S") for k in range(150)] + [(f"ACME X{k}", f"x{k}", "CHILD", 100.0, f"x{k}", "C", "S") for k in range(100)]
+    index = spark.createDataFrame(rows, "label string, value string, type string, score double, cage string, city string, state string")
+    assert [(r.key, r.score) for r in Q.search_global(index, "acme", k=2).collect()] == [("site-1", 1500.0), ("site-X0", 100.0)]
+
+
 def test_open_deadlines(spark):
     rows = spark.createDataFrame([(x, "t", "a", "s", "d") for x in ("2020-01-01", "2021-06-01", "2022-01-01T10:00:00+02:00", "n/a", None)], "deadline string, title string, agency string, sol_num string, description string")
     assert {r.deadline for r in M.opportunities(rows, "2021-06-01").collect()} == {"2021-06-01", "2022-01-01T10:00:00+02:00"}
