@@ -96,6 +96,11 @@ def test_search_merges_all_hits(spark):
     assert [(r.key, r.score) for r in Q.search_global(index, "acme", k=2).collect()] == [("site-1", 1500.0), ("site-X0", 100.0)]
 
 
+def test_search_finds_sites_among_small_vendors(spark):
+    got = Q.search_global(M.search_index(*many_vendors(spark)), "r#00000001").collect()
+    assert [(r.place, r.key, r.score) for r in got] == [(p + 1, f"site-000{19 - p}", 1019.0 - p) for p in range(8)]
+
+
 def test_open_deadlines(spark):
     rows = spark.createDataFrame([(x, "t", "a", "s", "d") for x in ("2020-01-01", "2021-06-01", "2022-01-01T10:00:00+02:00", "n/a", None)], "deadline string, title string, agency string, sol_num string, description string")
     assert {r.deadline for r in M.opportunities(rows, "2021-06-01").collect()} == {"2021-06-01", "2022-01-01T10:00:00+02:00"}
