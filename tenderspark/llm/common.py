@@ -28,10 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def collected(spark: SparkSession) -> None:
+    """Have the driver collect garbage if its heap has grown past half of its bound.  Iterations leave plans, broadcasts and
+    shuffles behind; Spark deletes what nothing reads any more when it is collected, and the heap gives memory back."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager checkpoint in the shared folder: later stages survive the loss of executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    collected(df.sparkSession)
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -55,6 +65,7 @@ def stored(df: DataFrame, name: str = "t", most: int | None = None) -> DataFrame
     if most is not None:
         df = df.coalesce(max(1, -(-most // FILE_ROWS)))
     df.write.parquet(path)
+    collected(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

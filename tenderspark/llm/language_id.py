@@ -27,6 +27,8 @@ SAMPLE_BYTES, TOTAL_BYTES, TEXT_BYTES = 400_000, 4_000_000, 65_536
 #: Bound of the model's table of costs: contexts that the sample holds least often are left out until it fits.
 MODEL_BYTES = 64 << 20
 ORDER, CHUNK = 3, 1 << 20
+#: Contexts whose code lengths are computed at a time.
+NODES = 2048
 UNKNOWN = "und"
 
 
@@ -69,6 +71,26 @@ class Model:
         return out
 
 
+def _contexts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context, byte) of each place of the texts, by order from 0 to ORDER."""
+    pad = b"\n" * ORDER
+    at = np.flatnonzero(np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(t), bool)] for t in texts]))
+    b = np.frombuffer(b"".join(pad + t for t in texts), np.uint8)
+    byte, ctx = b[at].astype(np.int32), np.zeros(len(at), np.int32)
+    for k in range(ORDER + 1):
+        if k:
+            ctx = ctx + (b[at - k].astype(np.int32) << (8 * (k - 1)))
+        yield ctx, byte
+
+
+def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and their counts, of several such lists."""
+    values, at = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
+    counts = np.zeros(len(values), np.int64)
+    np.add.at(counts, at, np.concatenate([n for _, n in found]))
+    return values, counts
+
+
 def train(samples: dict[str, list[bytes]]) -> Model | None:
     """Context trees of each language.  Contexts that the whole sample holds once only, and the rarest of those that would
     make the table larger than MODEL_BYTES, are left out, but for the empty one.  A context is at least as frequent as those
@@ -76,25 +98,18 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
     langs = sorted(k for k, v in samples.items() if any(v))
     if not langs:
         return None
-    pad = b"\n" * ORDER
-    keyed: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by language and order: context, byte
     seen = np.zeros(256, bool)
+    # distinct contexts of each order with their counts, by language; one language's sample is laid out at a time
+    own_found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER)]
     for lang in langs:
-        keep = np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(t), bool)] for t in samples[lang]])
-        b = np.frombuffer(b"".join(pad + t for t in samples[lang]), np.uint8).astype(np.int32)
-        at = np.flatnonzero(keep)
-        byte = b[at]
-        seen[byte] = True
-        ctx, rows = np.zeros(len(at), np.int32), []
-        for k in range(ORDER + 1):
+        for k, (ctx, byte) in enumerate(_contexts(samples[lang])):
+            seen[byte] = True
             if k:
-                ctx = ctx + (b[at - k] << (8 * (k - 1)))
-            rows.append((ctx, byte))
-        keyed.append(rows)
+                own_found[k - 1].append(np.unique(ctx, return_counts=True))
     width = int(seen.sum()) + 1
     classes = np.full(256, width - 1, np.int32)
     classes[seen] = np.arange(width - 1)
-    found = [np.unique(np.concatenate([rows[k][0] for rows in keyed]), return_counts=True) for k in range(1, ORDER + 1)]
+    found = [_merged(own) for own in own_found]
     often = np.sort(np.concatenate([n for _, n in found]))[::-1]
     most = max(0, MODEL_BYTES // (4 * width * len(langs)) - 1)
     least = max(2, int(often[most]) + 1 if most < len(often) else 0)
@@ -102,27 +117,31 @@ def train(samples: dict[str, list[bytes]]) -> Model | None:
     first = np.cumsum([0, *map(len, known)])
     cost = np.zeros((len(langs), first[-1], width), np.float32)
     for i in range(len(langs)):
-        rows, keyed[i] = keyed[i], []
+        rows = _contexts(samples[langs[i]])
         tail = before = None
         for k in range(ORDER + 1):
-            ctx, byte = rows[k]
+            ctx, byte = next(rows)
             node = np.searchsorted(known[k], ctx)
             ok = (node < len(known[k])) & (known[k][np.minimum(node, len(known[k]) - 1)] == ctx) if len(known[k]) else np.zeros(len(ctx), bool)
             count = np.bincount(node[ok] * width + classes[byte[ok]], minlength=len(known[k]) * width).reshape(-1, width).astype(np.float64)
-            n, d, has = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True), count > 0
-            with np.errstate(divide="ignore", invalid="ignore"):
-                if not k:
-                    own_tail = np.full((1, width), np.log2(max(1, 256 - int(d[0, 0]))))
-                    escape = np.where(d < 256, -np.log2(d / (n + d)), 0)
-                    own = np.where(has, -np.log2(count / np.where(d < 256, n + d, n)), escape + own_tail)
-                else:
-                    up = np.searchsorted(known[k - 1], known[k] & ((1 << (8 * (k - 1))) - 1)) if k > 1 else np.zeros(len(known[k]), np.int64)
-                    above, above_tail = before[0][up], tail[up]
-                    left = np.where(has, 0, above)
-                    ln, ld = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-                    own_tail = np.where(left > 0, -np.log2(left / (ln + ld)), np.where(ld > 0, -np.log2(ld / (ln + ld)), 0) + above_tail)
-                    own = np.where(has, -np.log2(count / (n + d)), -np.log2(d / (n + d)) + own_tail)
-                    own = np.where(n > 0, own, before[1][up])
+            own, own_tail = np.zeros_like(count), np.zeros_like(count)
+            if k:
+                up = np.searchsorted(known[k - 1], known[k] & ((1 << (8 * (k - 1))) - 1)) if k > 1 else np.zeros(len(known[k]), np.int64)
+            for at in range(0, len(count), NODES):
+                part, here = slice(at, at + NODES), count[at : at + NODES]
+                n, d, has = here.sum(1, keepdims=True), (here > 0).sum(1, keepdims=True), here > 0
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    if not k:
+                        own_tail[:] = np.log2(max(1, 256 - int(d[0, 0])))
+                        escape = np.where(d < 256, -np.log2(d / (n + d)), 0)
+                        own[part] = np.where(has, -np.log2(here / np.where(d < 256, n + d, n)), escape + own_tail)
+                    else:
+                        above, above_tail = before[0][up[part]], tail[up[part]]
+                        left = np.where(has, 0, above)
+                        ln, ld = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
+                        lost = np.where(left > 0, -np.log2(left / (ln + ld)), np.where(ld > 0, -np.log2(ld / (ln + ld)), 0) + above_tail)
+                        own[part] = np.where(n > 0, np.where(has, -np.log2(here / (n + d)), -np.log2(d / (n + d)) + lost), before[1][up[part]])
+                        own_tail[part] = lost
             tail, before = own_tail, (count, own)
             cost[i, first[k] : first[k + 1]] = own
     nodes2 = np.zeros(65536, np.int32)

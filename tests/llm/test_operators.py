@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from tenderspark.llm import bpe_codec, components, language_id, license_scan, line_dedup, mixing, pivot_dedup, quality, simhash, threshold_topk, token_store
+from tenderspark.llm import bpe_codec, common, components, language_id, license_scan, line_dedup, mixing, pivot_dedup, quality, simhash, threshold_topk, token_store
 from tenderspark.llm.pretokens import split
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part int, h long, fp string, k string, d string"
@@ -629,3 +630,35 @@ def test_lines_stage(docs, none):
     got = {r.doc_id: r.text for r in out.collect()}
     assert 105 not in got and got[103] == SHARED and SHARED not in got[104] and got[104].startswith("x\n")
     assert {100, 101, 102} <= set(got) and line_dedup.stage(none).count() == 0
+
+
+def test_training_lays_out_one_language_at_a_time():
+    draw = random.Random(7)
+    samples = {f"l{k}": [bytes(draw.choices(range(97 + k, 113 + k), k=60_000)) for _ in range(3)] for k in range(8)}
+    tracemalloc.start()
+    try:
+        language_id.train(samples)
+        assert tracemalloc.get_traced_memory()[1] < 35 << 20  # all at once took 52 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_driver_collects_once_half_of_its_heap_is_taken(spark, monkeypatch):
+    """A table or a checkpoint of an iteration leads to a collection if the heap has grown, and to none otherwise."""
+    calls = []
+
+    class Session:
+        class _jvm:
+            class java:
+                class lang:
+                    class Runtime:
+                        getRuntime = staticmethod(lambda: type("R", (), {"totalMemory": lambda self: taken, "maxMemory": lambda self: 100})())
+
+                    class System:
+                        gc = staticmethod(lambda: calls.append(taken))
+
+    for taken in (50, 51):
+        common.collected(Session)
+    assert calls == [51]
+    monkeypatch.setattr(common, "collected", lambda session: calls.append("here"))
+    assert common.stored(spark.range(3)).count() == 3 and common.cut(spark.range(3)).count() == 3 and calls[1:] == ["here"] * 2
