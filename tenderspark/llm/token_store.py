@@ -1,16 +1,16 @@
 """Token ids in compressed blocks: an adaptive context-mixing range coder.
 
-File format.  A store is a Parquet folder (so Spark's commit protocol covers lost executors).  A row is a run of BLOCK
-ids or fewer of one part: `part` and `block` (parts in ascending order of doc_id, blocks from 0), `n`, `crc` (crc32 of the
-ids as little-endian unsigned 32-bit integers) and `payload`.  The first block of a batch lists the batch's documents in `ids`: `doc_id`, `n`.
-Blocks know nothing of each other: each starts from the same state, so any block can be read alone.
+File format.  A store is a Parquet folder (so Spark's commit protocol covers lost executors).  A part (parts in ascending order of doc_id)
+is a run of rows, numbered by `block` from 0: groups of LANES blocks or fewer, each group after its head.  A block holds BLOCK ids or fewer: `n`,
+`crc` (crc32 of the ids as little-endian unsigned 32-bit integers) and `payload`.  A head (`n` is HEAD) holds the shares of ids of its group,
+deflated, with their own crc32, and lists in `ids` the documents that begin after the last head: `doc_id`, `n`.
+Blocks know nothing of each other: each starts from the same state, so any block can be read with its group's head alone.
 
 Model of a block.  A table holds the id that last followed the last id (order 1) and the last two ids (order 2), each with a
 confidence from 0 to 3.  How much weight each prediction gets is learned: for every pair of confidences, the adaptive shares of
-"order 2 right", "order 1 right", "neither" are the mixing weights.  If neither is right, the order-0 model codes the id in two
-digits, the high one by adaptive counts, the low one by adaptive counts for its high digit (digits from OWN on share).
-High digits' counts are re-summed every RENEW ids, low digits' every RENEW_LOW.  Each choice narrows a carry-propagating range coder with 48-bit state and
-16-bit words.  Blocks are coded side by side, one vector operation for all blocks of a batch at a time.
+"order 2 right", "order 1 right", "neither" are the mixing weights.  If neither is right, the order-0 model codes the id by its count in the
+group.  Both choices narrow a carry-propagating range coder once, with 64-bit state and 32-bit words.  Blocks are coded side by side, one
+vector operation for all blocks of a group at a time.
 """
 
 from __future__ import annotations
@@ -34,133 +34,121 @@ from .common import arrow_map, chunks, scratch, slim
 from .pretokens import Pieces, split
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
-BLOCK, LANES, RENEW, RENEW_LOW = 4096, 2048, 128, 1024
-SLOTS, OWN, CHUNK = 1 << 9, 8, 1 << 21
+BLOCK, LANES, SLOTS, CHUNK = 4096, 2048, 1 << 8, 1 << 21
 #: Pieces that the library is given in one text.
 JOINED = 256
-_TOP, _WORD, _TOTAL = np.uint64(1 << 32), np.uint64(16), 1 << 16
-#: Counts of a digit grow by HIT (they stay below 2**16 in a block); each choice has a share of LEAST at least; shares move by 1/2**RATE.
-HIT, LEAST, RATE = 15, 32, 5
-_SPAN = _TOTAL - 3 * LEAST
-_MASK = np.uint64((1 << 48) - 1)
+#: A choice among the three has one of _KINDS parts, LEAST at least; an id without a right guess one of _TOTAL of its own; shares move by 1/2**RATE.
+_KINDS, _TOTAL, LEAST, RATE = 1 << 12, 1 << 16, 2, 5
+_SPAN = (_KINDS - 3 * LEAST) << 4
+_TOP, _WORD, _PARTS, _LAST, _ALL = np.uint64(1 << 32), np.uint64(32), np.uint64(28), np.uint64((1 << 28) - 1), np.uint64((1 << 64) - 1)
+_LOW = np.uint64((1 << 32) - 1)
 
 
 class _Model:
     """State of all lanes.  Ids below 2**16; both sides drive it in the same order.
 
-    Arrays of 2 * lanes hold something for order 1, then for order 2 (or for the first limit of a choice, then for the second).
+    Arrays of two rows, or of 2 * lanes, hold something for order 1, then for order 2.
     """
 
     def __init__(self, lanes: int):
-        self.n, self.rows = lanes, np.arange(lanes)
+        self.n, self.rows = lanes, np.arange(lanes) * 16
         self.base, self.slot = np.arange(2 * lanes) * SLOTS, np.zeros(2 * lanes, np.int64)
         self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # id * 4 + confidence
-        self.limit_at = np.zeros(2 * lanes, np.int64)
-        self.limits = np.repeat(np.array([_SPAN // 4, _SPAN // 2], np.int32), lanes * 16)
-        self.counts = np.ones((lanes, OWN + 2, 256), np.uint16)  # of high digits, then of low ones for each high one
-        self.last = np.zeros((lanes, OWN + 2, 256), np.uint16)  # last value of each digit's share
-        self.tops = np.zeros((lanes, OWN + 2, 16), np.uint16)  # every 16th of them
-        self.a, self.b, self.step = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32), 0
-        self._renew(slice(None))
-
-    def _renew(self, which: slice) -> None:
-        """Shares of 2**16; each digit has at least one."""
-        c = np.cumsum(self.counts[:, which], -1, dtype=np.int32)
-        ends = (c * ((_TOTAL - 256) / c[..., -1:].astype(np.float64))).astype(np.int32) + np.arange(256, dtype=np.int32)
-        ends[..., 255] = _TOTAL - 1
-        self.last[:, which] = ends
-        self.tops[:, which] = ends[..., 15::16]
+        self.first, self.both = np.full(lanes * 16, _SPAN // 4, np.int32), np.full(lanes * 16, _SPAN // 2, np.int32)
+        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def look(self) -> None:
+        """Both guesses, and where the shares of "order 2 right" and of "order 1 right" end (`e1`, `e2`), of _KINDS parts."""
         n, at = self.n, self.slot
-        at[:n] = self.a & np.uint32(SLOTS - 1)
-        at[n:] = ((self.a * np.uint32(40503) + self.b * np.uint32(60493)) >> np.uint32(3)) & np.uint32(SLOTS - 1)
+        np.bitwise_and(self.a, np.uint32(SLOTS - 1), out=at[:n])
+        np.bitwise_and((self.a * np.uint32(40503) + self.b * np.uint32(60493)) >> np.uint32(3), np.uint32(SLOTS - 1), out=at[n:])
         at += self.base
-        self.held = self.table.take(at)
+        self.held = self.table.take(at).reshape(2, n)
         self.guess, self.sure = self.held >> 2, self.held & 3
-        self.g1, self.g2 = self.guess[:n], self.guess[n:]
-        self.limit_at[:n] = self.rows * 16 + (self.sure[n:] * 4 + self.sure[:n])
-        self.limit_at[n:] = self.limit_at[:n] + n * 16
-        self.limit = self.limits.take(self.limit_at)
-        self.e1, self.e2 = self.limit[:n] + LEAST, self.limit[n:] + 2 * LEAST
-
-    def share(self, row: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = row * 256 + digit
-        flat = self.last.reshape(-1)
-        end = flat.take(at).astype(np.int64) + 1
-        start = (flat.take(np.maximum(at - 1, 0)).astype(np.int64) + 1) * (digit > 0)
-        return start, end - start
-
-    def find(self, row: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The digit whose share holds v: shares that end before it are counted, by sixteens, then within them."""
-        v = v.astype(np.uint16)[:, None]
-        sixteen = _true(self.tops.reshape(-1, 16).take(row, 0) < v)
-        return sixteen * 16 + _true(self.last.reshape(-1, 16).take(row * 16 + sixteen, 0) < v)
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, new: np.ndarray) -> None:
-        """`new`: lanes of kind 2 that still run."""
-        n = self.n
-        ids = ids.astype(np.int32)
-        two = np.concatenate((ids, ids))
-        self.table[self.slot] = np.where(self.guess == two, self.held + (self.sure < 3), np.where(self.sure > 0, self.held - 1, two << 2))
-        up = np.concatenate((kind == 0, kind < 2))
-        self.limits[self.limit_at] = self.limit + ((up * np.int32(_SPAN) - self.limit) >> RATE)
-        x, row, flat = ids[new], new * (OWN + 2), self.counts.reshape(-1)
-        hi = x >> 8
-        flat[row * 256 + hi] += np.uint16(HIT)
-        flat[(row + 1 + np.minimum(hi, OWN)) * 256 + (x & 255)] += np.uint16(HIT)
-        self.a, self.b, self.step = ids.astype(np.uint32), self.a, self.step + 1
-        if self.step % RENEW_LOW == 0:
-            self._renew(slice(None))
-        elif self.step % RENEW == 0:
-            self._renew(slice(0, 1))
-
-
-def _true(found: np.ndarray) -> np.ndarray:
-    """How many of each row's 16 are true."""
-    halves = np.bitwise_count(found.view(np.uint64))
-    return (halves[:, 0] + halves[:, 1]).astype(np.int64)
+        self.at = self.rows + (self.sure[1] * 4 + self.sure[0])
+        self.l1, self.l2 = self.first.take(self.at), self.both.take(self.at)
+        self.e1, self.e2 = (self.l1 >> 4) + LEAST, (self.l2 >> 4) + 2 * LEAST
+
+    def learn(self, ids: np.ndarray, right: np.ndarray, any_: np.ndarray) -> None:
+        """`right`: which guesses were; `any_`: whether one was."""
+        self.table[self.slot] = np.where(right, self.held + (self.sure < 3), np.where(self.sure > 0, self.held - 1, ids << 2)).reshape(-1)
+        self.first[self.at] = self.l1 + ((right[1] * np.int32(_SPAN) - self.l1) >> RATE)
+        self.both[self.at] = self.l2 + ((any_ * np.int32(_SPAN) - self.l2) >> RATE)
+        self.a, self.b = ids.view(np.uint32), self.a
+
+
+class Shares:
+    """The order-0 model of a group of blocks: each id's share of 2**16, by its count in the group; without counts, one part each."""
+
+    def __init__(self, size: np.ndarray | None = None):
+        self.size = np.ones(_TOTAL, np.int64) if size is None else size.astype(np.int64)
+        if len(self.size) != _TOTAL or self.size.sum() != _TOTAL:
+            raise ValueError(f"shares of {_TOTAL} ids must sum to {_TOTAL}")
+        # one more part and id stand for a right guess: it takes the whole of its choice
+        whole = np.append(self.size, _TOTAL).astype(np.int32)
+        self.whole, self.start = whole, np.append(np.cumsum(self.size) - self.size, 0).astype(np.int32)
+        self.owner = np.repeat(np.arange(_TOTAL + 1, dtype=np.int32), np.append(self.size, 1))
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Shares:
+        """An id that occurs has one part at least."""
+        counts = np.bincount(ids, minlength=_TOTAL)
+        if len(counts) > _TOTAL:
+            raise ValueError("ids must be in 0 to 65535")
+        if not counts.any():
+            return cls()
+        size = (counts > 0) + counts * (_TOTAL - np.count_nonzero(counts)) // counts.sum()
+        size[counts.argmax()] += _TOTAL - size.sum()
+        return cls(size)
+
+    def dump(self) -> bytes:
+        return zlib.compress(self.size.astype("<u4").tobytes(), 1)
+
+    @classmethod
+    def load(cls, data: bytes) -> Shares:
+        return cls(np.frombuffer(zlib.decompress(data), "<u4"))
 
 
 class _Out:
-    def __init__(self, lanes: int, n: int):
-        self.words, self.at, self.rows = np.zeros((lanes, 3 * n + 8), np.uint16), np.zeros(lanes, np.int64), np.arange(lanes)
-        self.lowest, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
-
-    def put(self, shares: list[tuple[np.ndarray, np.ndarray]], lanes: np.ndarray) -> None:
-        """Narrow `lanes` to each share in turn: start and size, of 2**16 parts."""
-        whole = len(lanes) == len(self.rows)
-        low, rng = (self.lowest, self.range) if whole else (self.lowest[lanes], self.range[lanes])
-        for start, size in shares:
-            r = rng >> _WORD
-            low = low + r * start.astype(np.uint64)
-            rng = r * size.astype(np.uint64)
-            if (over := np.flatnonzero(low > _MASK)).size:
-                low[over] &= _MASK
-                self._carry(lanes[over])
-            if (short := np.flatnonzero(rng < _TOP)).size:
-                k, x = lanes[short], low[short]
-                self.words[k, self.at[k]] = (x >> np.uint64(32)).astype(np.uint16)
-                self.at[k] += 1
-                low[short] = (x << _WORD) & _MASK
-                rng[short] <<= _WORD
-        if whole:
-            self.lowest, self.range = low, rng
-        else:
-            self.lowest[lanes], self.range[lanes] = low, rng
-
-    def _carry(self, lanes: np.ndarray) -> None:
-        at = self.at[lanes] - 1
-        while lanes.size:
-            self.words[lanes, at] += np.uint16(1)
-            again = self.words[lanes, at] == 0
-            lanes, at = lanes[again], at[again] - 1
+    """Words stand in the order in which lanes gave them; a carry waits in the upper half of its lane's last word."""
+
+    def __init__(self, lanes: int):
+        self.words, self.lanes, self.n = np.zeros(1 << 20, np.uint64), np.zeros(1 << 20, np.int32), 0
+        self.lowest, self.range, self.last = np.zeros(lanes, np.uint64), np.full(lanes, _ALL), np.zeros(lanes, np.int64)
+
+    def put(self, start: np.ndarray, size: np.ndarray, on: int) -> None:
+        """Narrow the first `on` lanes to their shares, of 2**28 parts."""
+        low, rng = self.lowest[:on], self.range[:on]
+        r = rng >> _PARTS
+        more = r * start[:on].astype(np.uint64)
+        low += more
+        if (over := np.flatnonzero(low < more)).size:
+            self.words[self.last[over]] += np.uint64(1)
+        np.multiply(r, size[:on].astype(np.uint64), out=rng)
+        if (short := np.flatnonzero(rng < _TOP)).size:
+            x = low[short]
+            self._write(short, x >> _WORD)
+            low[short] = x << _WORD
+            rng[short] <<= _WORD
+
+    def _write(self, lanes: np.ndarray, words: np.ndarray) -> None:
+        at, self.n = self.n, self.n + len(lanes)
+        if self.n > len(self.words):
+            self.words, self.lanes = np.append(self.words, np.zeros_like(self.words)), np.append(self.lanes, np.zeros_like(self.lanes))
+        self.words[at : self.n], self.lanes[at : self.n] = words, lanes
+        self.last[lanes] = np.arange(at, self.n)
 
     def ends(self) -> list[bytes]:
-        for shift in (32, 16, 0):
-            self.words[self.rows, self.at] = (self.lowest >> np.uint64(shift)).astype(np.uint16)
-            self.at += 1
-        return [self.words[k, :n].astype("<u2").tobytes() for k, n in enumerate(self.at.tolist())]
+        every = np.arange(len(self.lowest))
+        for shift in (32, 0):
+            self._write(every, self.lowest >> np.uint64(shift) & _LOW)
+        order = np.argsort(self.lanes[: self.n], kind="stable")
+        words, sizes = self.words[order], np.bincount(self.lanes[: self.n])
+        while (over := np.flatnonzero(words > _LOW)).size:  # never a lane's first word
+            words[over] &= _LOW
+            words[over - 1] += np.uint64(1)
+        data, ends = words.astype("<u4"), np.cumsum(sizes).tolist()
+        return [data[e - n : e].tobytes() for e, n in zip(ends, sizes.tolist(), strict=True)]
 
 
 def _running(sizes: list[int]) -> np.ndarray:
@@ -168,8 +156,9 @@ def _running(sizes: list[int]) -> np.ndarray:
     return np.searchsorted(-np.array(sizes), -np.arange(sizes[0]), side="left")
 
 
-def pack(blocks: list[np.ndarray]) -> list[bytes]:
+def pack(blocks: list[np.ndarray], shares: Shares | None = None) -> list[bytes]:
     """Payloads of blocks of at most BLOCK ids.  Longer blocks come first within a batch, so that lanes that have ended are the last."""
+    shares = shares or Shares()
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
     if blocks and len(blocks[order[0]]) > BLOCK:
@@ -177,29 +166,27 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
     for i in range(0, len(order), LANES):
         part = order[i : i + LANES]
         most = len(blocks[part[0]])
-        ids = np.zeros((most, len(part)), np.int64)
+        fill = int(shares.size.argmax())  # of lanes that have ended
+        ids = np.full((most, len(part)), fill, np.int32)
         for k, p in enumerate(part):
-            ids[: len(blocks[p]), k] = blocks[p]
-        if ids.size and (ids.min() < 0 or ids.max() >= _TOTAL):
-            raise ValueError("ids must be in 0 to 65535")
-        ids = ids.astype(np.int32)
-        m, o = _Model(len(part)), _Out(len(part), most)
-        live = _running([len(blocks[p]) for p in part])
+            if len(b := blocks[p]) and (b.min() < 0 or b.max() >= _TOTAL):
+                raise ValueError("ids must be in 0 to 65535")
+            if not shares.size[b].all():
+                raise ValueError("an id without a share")
+            ids[: len(b), k] = b
+        m, o = _Model(len(part)), _Out(len(part))
+        live = _running([len(blocks[p]) for p in part]).tolist()
         for t in range(most):
-            x, on = ids[t], live[t]
+            x = ids[t]
             m.look()
-            kind = np.where(m.g2 == x, 0, np.where(m.g1 == x, 1, 2))
-            edges = np.zeros((4, m.n), np.int32)
-            edges[1], edges[2], edges[3] = m.e1, m.e2, _TOTAL
-            at = kind * m.n + m.rows
-            start, end = edges.reshape(-1).take(at), edges.reshape(-1).take(at + m.n)
-            o.put([(start[:on], (end - start)[:on])], m.rows[:on])
-            new = np.flatnonzero(kind[:on] == 2)
-            if new.size:
-                row, y = new * (OWN + 2), x[new]
-                hi = y >> 8
-                o.put([m.share(row, hi), m.share(row + 1 + np.minimum(hi, OWN), y & 255)], new)
-            m.learn(x, kind, new)
+            right = m.guess == x
+            one, two = right
+            any_ = one | two
+            low = np.where(two, 0, np.where(one, m.e1, m.e2))
+            part_ = np.where(two, m.e1, np.where(one, m.e2, _KINDS) - low)
+            own = np.where(any_, _TOTAL, x)
+            o.put((low << 16) + part_ * shares.start.take(own), part_ * shares.whole.take(own), live[t])
+            m.learn(x, right, any_)
         for p, payload in zip(part, o.ends(), strict=True):
             out[p] = payload
     return out
@@ -207,31 +194,31 @@ def pack(blocks: list[np.ndarray]) -> list[bytes]:
 
 class _In:
     def __init__(self, payloads: list[bytes]):
-        n = max(map(len, payloads)) // 2 + 4
-        self.words, self.rows = np.zeros((len(payloads), n), np.uint16), np.arange(len(payloads))
+        n = max(map(len, payloads)) // 4 + 3
+        self.words, self.rows = np.zeros((len(payloads), n), np.uint32), np.arange(len(payloads))
         for k, p in enumerate(payloads):
-            self.words[k, : len(p) // 2] = np.frombuffer(p, "<u2")
-        w = self.words[:, :3].astype(np.uint64)
-        self.code = (w[:, 0] << np.uint64(32)) | (w[:, 1] << _WORD) | w[:, 2]
-        self.at, self.range, self.end = np.full(len(payloads), 3), np.full(len(payloads), _MASK), n - 1
-
-    def peek(self, code: np.ndarray, rng: np.ndarray) -> np.ndarray:
-        """Which of 2**16 parts the code lies in.  Doubles are exact enough: numbers have 48 bits, the part 16."""
-        self.r = rng >> _WORD
-        return np.minimum((code.astype(np.float64) / self.r.astype(np.float64)).astype(np.int64), _TOTAL - 1)
-
-    def take(self, code: np.ndarray, start: np.ndarray, size: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = code - self.r * start.astype(np.uint64)
-        rng = self.r * size.astype(np.uint64)
-        if (short := np.flatnonzero(rng < _TOP)).size:
-            k = lanes[short]
-            code[short] = (code[short] << _WORD) | self.words[k, np.minimum(self.at[k], self.end)]
-            self.at[k] += 1
-            rng[short] <<= _WORD
-        return code, rng
-
-
-def unpack(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+            self.words[k, : len(p) // 4] = np.frombuffer(p, "<u4")
+        w = self.words[:, :2].astype(np.uint64)
+        self.code = (w[:, 0] << _WORD) | w[:, 1]
+        self.at, self.range, self.end = np.full(len(payloads), 2), np.full(len(payloads), _ALL), n - 1
+
+    def peek(self) -> np.ndarray:
+        """Which of 2**28 parts the code lies in."""
+        self.r = self.range >> _PARTS
+        return np.minimum(self.code // self.r, _LAST).astype(np.int32)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
+        self.code -= self.r * start.astype(np.uint64)
+        np.multiply(self.r, size.astype(np.uint64), out=self.range)
+        if (short := np.flatnonzero(self.range < _TOP)).size:
+            at = self.at[short]
+            self.code[short] = (self.code[short] << _WORD) | self.words[short, np.minimum(at, self.end)]
+            self.at[short] = at + 1
+            self.range[short] <<= _WORD
+
+
+def unpack(payloads: list[bytes], sizes: list[int], shares: Shares | None = None) -> list[np.ndarray]:
+    shares = shares or Shares()
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(payloads)
     order = sorted(range(len(payloads)), key=lambda k: -sizes[k])
     for i in range(0, len(order), LANES):
@@ -239,33 +226,19 @@ def unpack(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         most = sizes[part[0]]
         m, src = _Model(len(part)), _In([payloads[p] for p in part])
         ids = np.zeros((most, len(part)), np.int32)
-        live = _running([sizes[p] for p in part])
-        for t in range(most):
+        for t in range(most):  # lanes that have ended run on, over zeros, and nothing reads what they give
             m.look()
-            on = live[t]
-            e1, e2 = m.e1[:on], m.e2[:on]
-            v = src.peek(src.code[:on], src.range[:on])
-            kind = (v >= e1).astype(np.int64) + (v >= e2)
-            edges = np.zeros((4, on), np.int32)
-            edges[1], edges[2], edges[3] = e1, e2, _TOTAL
-            at = kind * on + m.rows[:on]
-            start, end = edges.reshape(-1).take(at), edges.reshape(-1).take(at + on)
-            src.code[:on], src.range[:on] = src.take(src.code[:on], start, end - start, m.rows[:on])
-            x = np.zeros(m.n, np.int32)
-            x[:on] = np.where(kind == 0, m.g2[:on], m.g1[:on])
-            new = np.flatnonzero(kind == 2)
-            if new.size:
-                row, code, rng = new * (OWN + 2), src.code[new], src.range[new]
-                hi = m.find(row, src.peek(code, rng))
-                code, rng = src.take(code, *m.share(row, hi), new)
-                row = row + 1 + np.minimum(hi, OWN)
-                lo = m.find(row, src.peek(code, rng))
-                src.code[new], src.range[new] = src.take(code, *m.share(row, lo), new)
-                x[new] = hi << 8 | lo
-            ids[t] = x
-            if on < m.n:
-                kind = np.append(kind, np.full(m.n - on, 2))
-            m.learn(x, kind, new)
+            v = src.peek()
+            kind = v >> 16
+            two, any_ = kind < m.e1, kind < m.e2
+            low = np.where(two, 0, np.where(any_, m.e1, m.e2))
+            part_ = np.where(two, m.e1, np.where(any_, m.e2, _KINDS) - low)
+            first = low << 16
+            new = shares.owner.take(np.where(any_, _TOTAL, ((v - first) / part_).astype(np.int64)))  # 28 bits by 12: exact
+            src.take(first + part_ * shares.start.take(new), part_ * shares.whole.take(new))
+            x = ids[t] = np.where(two, m.guess[1], np.where(any_, m.guess[0], new))
+            right = m.guess == x
+            m.learn(x, right, any_)
         for k, p in enumerate(part):
             out[p] = ids[: sizes[p], k].copy()
     return out
@@ -351,6 +324,8 @@ def tokenise(text_list: list[str], cache: Pieces, added: Added) -> list[bytes]:
     return [b"".join(own) for own in cache.each(cut)]
 
 
+#: What a head has for a number of ids.
+HEAD = -1
 BLOCKS = "part int, block long, n int, crc long, payload binary, ids array<struct<doc_id: {}, n: long>>"
 
 
@@ -373,18 +348,18 @@ def write(docs: DataFrame, where: str, path: str | None = None, parts: int | Non
             n = len(flat) if last else len(flat) // BLOCK * BLOCK
             cut = [flat[i : min(i + BLOCK, n)] for i in range(0, n, BLOCK)]
             held, size = [flat[n:].tobytes()], len(flat) - n
-            if not cut:
-                cut = [flat[:0]] if own else []
-            if cut:
-                rows = pack(cut)
-                docs_ = [own] + [[]] * (len(cut) - 1)
+            for i in range(0, len(cut), LANES):
+                group = cut[i : i + LANES]
+                shares = Shares.of(np.concatenate(group))
+                rows = [shares.dump(), *pack(group, shares)]
+                docs_ = [own] + [[]] * len(group)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(cut), pa.int32()), pa.array(range(block, block + len(cut)), pa.int64()), pa.array([len(c) for c in cut], pa.int32()),
-                     pa.array([zlib.crc32(c.tobytes()) for c in cut], pa.int64()), pa.array(rows, pa.binary()),
+                    [pa.array([part] * len(rows), pa.int32()), pa.array(range(block, block + len(rows)), pa.int64()), pa.array([HEAD, *map(len, group)], pa.int32()),
+                     pa.array([zlib.crc32(rows[0]), *(zlib.crc32(c.tobytes()) for c in group)], pa.int64()), pa.array(rows, pa.binary()),
                      pa.array([[{"doc_id": a, "n": b} for a, b in d] for d in docs_], pa.list_(pa.struct([("doc_id", id_type), ("n", pa.int64())])))],
                     names=["part", "block", "n", "crc", "payload", "ids"],
                 )
-                block, own = block + len(cut), []
+                block, own = block + len(rows), []
 
         for batch in batches:
             column, id_type = batch.column(1), batch.column(0).type
@@ -413,13 +388,22 @@ def read(spark: SparkSession, where: str) -> DataFrame:
     kind = rows.schema["ids"].dataType.elementType["doc_id"].dataType
     schema = f"part int, doc_id {kind.simpleString()}, first long, n_tokens long, ids_crc32 long"
 
+    def checked(row: tuple, data: bytes) -> bytes:
+        if zlib.crc32(data) != row[3]:
+            raise ValueError(f"part {row[0]}, block {row[1]}: its checksum does not fit")
+        return data
+
     def decoded(rows: list[tuple]) -> Iterator[tuple]:
-        got = unpack([r[4] for r in rows], [r[2] for r in rows])
-        for r, ids in zip(rows, got, strict=True):
-            data = ids.astype("<u4").tobytes()
-            if zlib.crc32(data) != r[3]:
-                raise ValueError(f"part {r[0]}, block {r[1]}: its checksum does not fit")
-            yield r, data
+        """Of a group: its head, then its blocks."""
+        if not rows:
+            return
+        head, *blocks = rows
+        if head[2] != HEAD:
+            raise ValueError(f"part {head[0]}, block {head[1]}: the head of its group is missing")
+        shares = Shares.load(checked(head, head[4]))
+        yield head, b""
+        for r, ids in zip(blocks, unpack([r[4] for r in blocks], [r[2] for r in blocks], shares), strict=True):
+            yield r, checked(r, ids.astype("<u4").tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, queue, out = None, 0, [], []
@@ -451,9 +435,9 @@ def read(spark: SparkSession, where: str) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                queue.append(row)
-                if len(queue) >= LANES:
+                if row[2] == HEAD:
                     yield from flush(False)
+                queue.append(row)
         yield from flush(True)
 
     parts = max(1, rows.select("part").distinct().count())
@@ -470,7 +454,7 @@ def store_and_read(docs: DataFrame, where: str | None = None) -> DataFrame:
     write(docs, where)
     found = read(spark, where)
     # one row a part, of which there are as many as the writer's partitions
-    sums = [(r["part"], r["n"]) for r in spark.read.parquet(where).groupBy("part").agg(F.sum("n").alias("n")).collect()]
+    sums = [(r["part"], r["n"]) for r in spark.read.parquet(where).where(F.col("n") != HEAD).groupBy("part").agg(F.sum("n").alias("n")).collect()]
     before, rows = 0, []
     for part, n in sorted(sums):
         rows.append((part, before))

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -452,6 +453,50 @@ def test_coder_round_trip():
     assert alone == together
 
 
+def test_blocks_share_their_groups_counts():
+    """Ids without order take little more than their entropy, in blocks of any length; carries run through whole words."""
+    rng = np.random.default_rng(4)
+    p = 1 / np.arange(1, 3001)
+    blocks = [rng.choice(3000, n, p=p / p.sum()) for n in [4096] * 20 + [700, 1, 0]]
+    every = np.concatenate(blocks)
+    c = np.bincount(every) / len(every)
+    bits = -(c[c > 0] * np.log2(c[c > 0])).sum()
+    shares = token_store.Shares.load(token_store.Shares.of(every).dump())
+    packed = token_store.pack(blocks, shares)
+    assert 8 * sum(map(len, packed)) < 1.08 * bits * len(every)
+    got = token_store.unpack(packed, [len(b) for b in blocks], shares)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, got, strict=True))
+    with pytest.raises(ValueError, match="share"):
+        token_store.pack([np.array([60_000])], shares)
+    for ids in (np.full(9, 65_535), np.arange(65_536), np.zeros(0, np.int64)):
+        assert token_store.Shares.of(ids).size.sum() == 65_536
+    out = token_store._Out(2)
+    out._write(np.array([0, 1, 0, 0]), np.array([7, 5, 0xFFFFFFFF, 0x100000000], np.uint64))
+    assert np.frombuffer(out.ends()[0], "<u4")[:3].tolist() == [8, 0, 0]
+
+
+def test_store_of_several_groups(spark, docs, tmp_path, monkeypatch):
+    """Groups of two blocks of 64 ids: documents run over blocks and groups, and come back whole."""
+    monkeypatch.setattr(token_store, "LANES", 2)
+    monkeypatch.setattr(token_store, "BLOCK", 64)
+    where = f"file://{tmp_path}/groups"
+    run = {}
+    frame = pa.record_batch({"doc_id": pa.array(range(5), pa.int64()), "text": pa.array(["a b c " * k for k in (0, 90, 1, 300, 7)])})
+    monkeypatch.setattr(token_store, "arrow_map", lambda df, f, schema: run.setdefault("f", f) and df)
+    monkeypatch.setattr("pyspark.TaskContext.get", classmethod(lambda cls: type("T", (), {"partitionId": staticmethod(lambda: 3)})))
+    token_store.write(docs, where)
+    out = pa.Table.from_batches(list(run["f"](iter([frame]))))
+    n = out.column("n").to_pylist()
+    assert n.count(token_store.HEAD) > 2 and max(n) == 64 and out.column("block").to_pylist() == list(range(len(n)))
+    rows = out.to_pylist()
+    heads = [k for k, r in enumerate(rows) if r["n"] == token_store.HEAD]
+    ids = []
+    for k, end in zip(heads, [*heads[1:], len(rows)], strict=True):
+        own = rows[k + 1 : end]
+        ids += [x for b in token_store.unpack([r["payload"] for r in own], [r["n"] for r in own], token_store.Shares.load(rows[k]["payload"])) for x in b.tolist()]
+    assert sum(d["n"] for r in rows for d in r["ids"]) == len(ids) and [d["doc_id"] for r in rows for d in r["ids"]] == list(range(5)) and ids.count(token_store.END) == 5
+
+
 def test_joined_pieces_encode_as_the_library_does():
     from tokenizers import Tokenizer
 
