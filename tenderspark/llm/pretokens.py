@@ -44,12 +44,13 @@ class Pieces(dict):
         if len(self) > self.most:
             self.clear()
         out = [list(map(self.get, pieces)) for pieces in lists]
-        open_ = [k for k, got in enumerate(out) if None in got]
+        open_ = [(pieces, got, at) for pieces, got in zip(lists, out, strict=True) if (at := [i for i, x in enumerate(got) if x is None])]
         if open_:
-            asked = list({p for k in open_ for p, x in zip(lists[k], out[k], strict=True) if x is None})
+            asked = list({pieces[i] for pieces, _, at in open_ for i in at})
             self.update(zip(asked, self.encode(asked), strict=True))
-            for k in open_:
-                out[k] = list(map(self.__getitem__, lists[k]))
+            for pieces, got, at in open_:
+                for i in at:
+                    got[i] = self[pieces[i]]
             for p in asked:
                 if len(p) > LONG:
                     del self[p]

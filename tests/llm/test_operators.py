@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from tenderspark.llm import bpe_codec, common, components, language_id, license_scan, line_dedup, mixing, pivot_dedup, quality, simhash, threshold_topk, token_store
+from tenderspark.llm import bpe_codec, common, components, language_id, license_scan, line_dedup, mixing, pivot_dedup, pretokens, quality, simhash, threshold_topk, token_store
 from tenderspark.llm.pretokens import split
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part int, h long, fp string, k string, d string"
@@ -497,6 +497,20 @@ def test_store_of_several_groups(spark, docs, tmp_path, monkeypatch):
     assert sum(d["n"] for r in rows for d in r["ids"]) == len(ids) and [d["doc_id"] for r in rows for d in r["ids"]] == list(range(5)) and ids.count(token_store.END) == 5
 
 
+def test_only_unknown_pieces_are_looked_up_again():
+    class Counted(pretokens.Pieces):
+        seen = 0
+
+        def __getitem__(self, p):
+            self.seen += 1
+            return super().__getitem__(p)
+
+    cache = Counted(lambda pieces: [p.upper() for p in pieces])
+    assert cache.each([["a", "b", "a"], [], ["b", "c" * 99]]) == [["A", "B", "A"], [], ["B", "C" * 99]] and set(cache) == {"a", "b"}
+    cache.seen = 0
+    assert cache.of(["a", "b", "d"]) == ["A", "B", "D"] and cache.seen == 1
+
+
 def test_joined_pieces_encode_as_the_library_does():
     from tokenizers import Tokenizer
 
