@@ -16,10 +16,9 @@ vector operation for all blocks of a group at a time.
 from __future__ import annotations
 
 import json
+import os
 import re
-import sys
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import arrow_map, chunks, scratch, slim
-from .pretokens import Pieces, split
+from .common import arrow_map, buffers, chunks, scratch, slim
+from .pretokens import starts
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
-BLOCK, LANES, SLOTS, CHUNK = 4096, 2048, 1 << 8, 1 << 21
+BLOCK, LANES, SLOTS = 4096, 2048, 1 << 8
+#: Bytes of texts that are tokenised at once (a longer text stands alone), and how many of their pieces are.
+TEXTS, CHUNK = 1 << 22, 1 << 21
 #: Pieces that the library is given in one text.
 JOINED = 256
 #: A choice among the three has one of _KINDS parts, LEAST at least; an id without a right guess one of _TOTAL of its own; shares move by 1/2**RATE.
@@ -244,52 +245,88 @@ def unpack(payloads: list[bytes], sizes: list[int], shares: Shares | None = None
     return out
 
 
-_tokenizers: dict[str, Pieces] = {}
+class Known:
+    """Ids of the pieces met so far, one after another in one array; all are forgotten once there are over `most`, or they hold over `room` bytes."""
 
+    def __init__(self, path: str, most: int = 700_000, room: int = 1 << 25):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
-def _pieces(path: str) -> Pieces:
-    """Cache of the library's ids, as little-endian bytes, of pieces cut as its own pre-tokenizer cuts."""
+        with open(path, "rb") as f:
+            held = json.load(f)
+        how = held.get("pre_tokenizer") or {}
+        if held.get("normalizer") or held.get("post_processor") or how.get("type") != "ByteLevel" or how.get("add_prefix_space") or not how.get("use_regex"):
+            raise ValueError(f"{path}: texts are not cut by the public pattern alone")
+        self.most, self.room, self.added = most, room, Added(path).tokens
+        # the library's own way with a piece, but pieces come cut and spelt as its pre-tokenizer would have them, with a line feed between them
+        self.lib = Tokenizer.from_file(path)
+        self.lib.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        vocabulary = self.lib.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelt = np.zeros(256, "<u4")
+        self.spelt[plain] = plain
+        rest = np.setdiff1d(np.arange(256), plain)
+        self.spelt[rest] = 256 + np.arange(len(rest))
+        self.clear()
+
+    def clear(self) -> None:
+        """Place 0 is that of END."""
+        self.at: dict[bytes, int] = {}
+        self.first, self.size, self.ids, self.held = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END], "<u4"), 0
+        for token in self.added:
+            self._add([token.encode()], np.array([self.lib.token_to_id(token)], "<u4"), np.ones(1, np.int64))
+
+    def trim(self) -> None:
+        if len(self.at) > self.most or self.held > self.room:
+            self.clear()
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        self.at.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces)), strict=True))
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+        self.size, self.ids, self.held = np.append(self.size, size), np.append(self.ids, ids), self.held + sum(map(len, pieces)) + 4 * len(ids)
+
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of these different pieces stands."""
+        ends, data = buffers(pieces)
+        ends, data = ends.tolist(), bytes(data)
+        keys = [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        got = list(map(self.at.get, keys))
+        if None in got:
+            new = [k for k, x in enumerate(got) if x is None]
+            asked = [keys[k] for k in new]
+            n = len(self.size)
+            self._add(asked, *self._encode(asked))
+            out = np.array([-1 if x is None else x for x in got], np.int64)
+            out[new] = np.arange(n, n + len(new))
+            return out
+        return np.array(got, np.int64)
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each piece has: its bytes end where those of its last id end."""
+        end = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        spelt = self.spelt[np.frombuffer(b"".join(pieces), np.uint8)]
+        text = np.insert(spelt, end[:-1], 10).tobytes().decode("utf-32-le")
+        at = [0, *(end + np.arange(1, len(end) + 1)).tolist()]
+        runs = [text[at[k] : at[min(k + JOINED, len(pieces))] - 1] for k in range(0, len(pieces), JOINED)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(runs, add_special_tokens=False)])
+        so_far = np.cumsum(self.bytes[ids])
+        last = np.searchsorted(so_far, end)
+        if len(so_far) and so_far[-1] == end[-1] and np.array_equal(so_far[last], end):
+            return ids, np.diff(last, prepend=-1)
+        # the vocabulary leaves some bytes out
+        alone = [np.array(e.ids, "<u4") for e in self.lib.encode_batch_fast(text.split("\n"), add_special_tokens=False)]
+        return np.concatenate(alone), np.array(list(map(len, alone)), np.int64)
+
+
+_tokenizers: dict[str, Known] = {}
+
+
+def _pieces(path: str) -> Known:
+    """This process's ids of pieces."""
     if path not in _tokenizers:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-
-        def raw(ids: list[int]) -> bytes:
-            out = array("I", ids)
-            if sys.byteorder != "little":
-                out.byteswap()
-            return out.tobytes()
-
-        line = t.encode("\n", add_special_tokens=False).ids
-
-        def encode(pieces: list[str]) -> Iterator[bytes]:
-            """Pieces go to the library by JOINED, a line feed after each: it is a piece of its own there, and no byte of the
-            others, so its id parts theirs.  Blanks would merge with it; they, and what comes back in other numbers, go alone."""
-            if len(line) != 1:
-                yield from (raw(e.ids) for e in t.encode_batch_fast(pieces, add_special_tokens=False))
-                return
-            for i in range(0, len(pieces), 20_000):
-                part = pieces[i : i + 20_000]
-                words = [p for p in part if not p.isspace() and "\n" not in p]
-                runs = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-                found: dict[str, bytes] = {}
-                for run, e in zip(runs, t.encode_batch_fast(["\n".join(run) for run in runs], add_special_tokens=False), strict=True):
-                    ids, at, own = e.ids, 0, []
-                    for k, x in enumerate(ids):
-                        if x == line[0]:
-                            own.append(ids[at:k])
-                            at = k + 1
-                    own.append(ids[at:])
-                    if len(own) == len(run):
-                        found.update(zip(run, map(raw, own), strict=True))
-                rest = [p for p in part if p not in found]
-                found.update(zip(rest, (raw(e.ids) for e in t.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-                yield from map(found.__getitem__, part)
-
-        _tokenizers[path] = Pieces(encode)
+        _tokenizers[path] = Known(path)
     return _tokenizers[path]
 
 
@@ -301,27 +338,48 @@ class Added:
             found = json.load(f).get("added_tokens") or []
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in found):
             raise ValueError(f"{path}: an added token with conditions of its own")
-        self.ids = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in found}
-        self.any = re.compile("|".join(map(re.escape, sorted(self.ids, key=len, reverse=True)))) if found else None
-
-    def parts(self, text: str) -> list[str] | None:
-        """Text and tokens in turn; None without a token."""
-        return re.split(f"({self.any.pattern})", text) if self.any and self.any.search(text) else None
-
-
-def tokenise(text_list: list[str], cache: Pieces, added: Added) -> list[bytes]:
+        self.tokens = sorted((x["content"] for x in found), key=len, reverse=True)
+        self.any = re.compile(b"|".join(re.escape(t.encode()) for t in self.tokens)) if found else None
+
+    def within(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where tokens begin and end, a row each; texts begin and end `at`."""
+        if not self.any or not self.any.search(data):
+            return np.zeros((0, 2), np.int64)
+        return np.array([(i + m.start(), i + m.end()) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) for m in self.any.finditer(data[i:j])], np.int64).reshape(-1, 2)
+
+
+def encoded(column: pa.Array, cache: Known, added: Added, end: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after another, and how many each has; with `end`, END follows each."""
+    at, data = buffers(column)
+    data, at = np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+    tokens = added.within(data, at)
+    begin = np.unique(np.append(at[:-1], tokens))
+    cut = starts(data, begin[begin < len(data)])
+    if len(tokens):
+        inside = np.zeros(len(cut) + 1, np.int64)
+        np.add.at(inside, np.searchsorted(cut, tokens[:, 0], side="right"), 1)
+        np.add.at(inside, np.searchsorted(cut, tokens[:, 1]), -1)
+        cut = cut[np.cumsum(inside[:-1]) == 0]
+    cache.trim()
+    of, places = np.searchsorted(cut, at), [np.zeros(0, np.int64)]
+    offsets, whole = np.append(cut, len(data)).astype(np.int32), pa.py_buffer(data)
+    for i in range(0, len(cut), CHUNK):
+        n = min(CHUNK, len(cut) - i)
+        part = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets[i : i + n + 1]), whole]).dictionary_encode()
+        places.append(cache.places(part.dictionary)[part.indices.to_numpy()])
+    place = np.concatenate(places)
+    if end:
+        place, of = np.insert(place, of[1:], 0), of + np.arange(len(of))
+    size = cache.size[place]
+    so_far = np.append(0, np.cumsum(size))
+    ids = cache.ids[np.repeat(cache.first[place] - so_far[:-1], size) + np.arange(so_far[-1])]
+    return ids, np.diff(so_far[of])
+
+
+def tokenise(text_list: list[str], cache: Known, added: Added) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
-    parts = [added.parts(t) for t in text_list]
-    if any(parts):
-        flat = [x for t, own in zip(text_list, parts, strict=True) for x in (own[::2] if own else [t])]
-        coded, out = iter(tokenise(flat, cache, added)), []
-        for own in parts:
-            out.append(b"".join(added.ids[x] if k % 2 else next(coded) for k, x in enumerate(own)) if own else next(coded))
-        return out
-    cut = [split(t) for t in text_list]
-    if len(cut) == 1:
-        return [b"".join([b"".join(cache.of(cut[0][i : i + CHUNK])) for i in range(0, len(cut[0]), CHUNK)])]
-    return [b"".join(own) for own in cache.each(cut)]
+    ids, sizes = encoded(pa.array(text_list, pa.large_string()), cache, added)
+    return [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if text_list else []
 
 
 #: What a head has for a number of ids.
@@ -333,7 +391,6 @@ def write(docs: DataFrame, where: str, path: str | None = None, parts: int | Non
     """Encode every text (null: empty), append END, write blocks under `where`; rows without an id come last."""
     path = path or public_tokenizers.path(VOCABULARY)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -344,10 +401,10 @@ def write(docs: DataFrame, where: str, path: str | None = None, parts: int | Non
 
         def blocks(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, block, own  # id_type too is that of the last batch
-            flat = np.frombuffer(b"".join(held), "<u4")
+            flat = np.concatenate([np.zeros(0, "<u4"), *held])
             n = len(flat) if last else len(flat) // BLOCK * BLOCK
             cut = [flat[i : min(i + BLOCK, n)] for i in range(0, n, BLOCK)]
-            held, size = [flat[n:].tobytes()], len(flat) - n
+            held, size = [flat[n:].copy()], len(flat) - n
             for i in range(0, len(cut), LANES):
                 group = cut[i : i + LANES]
                 shares = Shares.of(np.concatenate(group))
@@ -364,12 +421,11 @@ def write(docs: DataFrame, where: str, path: str | None = None, parts: int | Non
         for batch in batches:
             column, id_type = batch.column(1), batch.column(0).type
             doc_ids = batch.column(0).to_pylist()
-            for i, j in chunks(column, CHUNK):
-                for k, ids in zip(range(i, j), tokenise([t or "" for t in column.slice(i, j - i).to_pylist()], cache, added), strict=True):
-                    held.append(ids + end)
-                    n = len(ids) // 4 + 1
-                    own.append((doc_ids[k], n))
-                    size += n
+            for i, j in chunks(column, TEXTS):
+                ids, sizes = encoded(column.slice(i, j - i), cache, added, end=True)
+                held.append(ids)
+                own.extend(zip(doc_ids[i:j], sizes.tolist(), strict=True))
+                size += len(ids)
                 if size >= LANES * BLOCK:
                     yield from blocks(False)
         yield from blocks(True)

@@ -523,6 +523,46 @@ def test_joined_pieces_encode_as_the_library_does():
         assert token_store.tokenise(odd, cache, added) == want
 
 
+def test_matches_are_cut_all_at_once():
+    """As the pattern cuts each text alone, wherever the texts around it begin and end."""
+    rng, some = random.Random(3), "abz d's're'v'e'll'm't \n\t\r\xa0é½1\u00b2ßſ日🎉,.<|\x1c\x1f\x85\u2028\u3000▁٣\u0301\U0001d7d8"
+    for _ in range(300):
+        texts = ["".join(rng.choices(some, k=rng.randint(1, 20))) for _ in range(rng.randint(1, 30))]
+        raw = [t.encode() for t in texts]
+        at = np.cumsum([0, *map(len, raw)])
+        data = b"".join(raw)
+        cut = [*pretokens.starts(np.frombuffer(data, np.uint8), at[:-1]).tolist(), len(data)]
+        assert [data[i:j].decode() for i, j in zip(cut, cut[1:])] == [p for t in texts for p in split(t)]
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for text in (every[:256], every):
+        data = np.frombuffer(text.encode(), np.uint8)
+        cut = [*pretokens.starts(data, np.zeros(1, np.int64)).tolist(), len(data)]
+        assert [data[i:j].tobytes().decode() for i, j in zip(cut, cut[1:])] == split(text)
+
+
+def test_known_pieces_are_bounded_and_whole(tmp_path):
+    """After forgetting, long pieces and with a vocabulary that leaves bytes out, ids stay those of the library."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_store.VOCABULARY)
+    held = json.load(open(path))
+    held["model"]["vocab"].pop("z"), held["model"].update(merges=[])
+    held["model"]["vocab"] = {k: v for k, v in held["model"]["vocab"].items() if len(k) == 1}
+    less = f"{tmp_path}/less.json"
+    json.dump(held, open(less, "w"))
+    texts = ["zz az z\n", None, "", "b" * 5000 + " <|endoftext|>z", "<|endoftext|", "|>", "l'été 'll"]
+    for at in (path, less):
+        lib, added = Tokenizer.from_file(at), token_store.Added(at)
+        want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+        cache = token_store.Known(at, most=3)
+        for _ in range(3):
+            ids, sizes = token_store.encoded(pa.array(texts), cache, added, end=True)
+            assert ids.tolist() == [x for w in want for x in [*w, token_store.END]] and sizes.tolist() == [len(w) + 1 for w in want]
+            assert len(cache.at) < 20
+
+
 def test_store(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
