@@ -2,15 +2,16 @@
 
 File format.  A store is a Parquet folder (so Spark's commit protocol covers lost executors).  A part (parts in ascending order of doc_id)
 is a run of rows, numbered by `block` from 0: groups of LANES blocks or fewer, each group after its head.  A block holds BLOCK ids or fewer: `n`,
-`crc` (crc32 of the ids as little-endian unsigned 32-bit integers) and `payload`.  A head (`n` is HEAD) holds the shares of ids of its group,
+`crc` (crc32 of the ids as little-endian unsigned 32-bit integers) and `payload`.  A head (`n` is HEAD) holds the shares of ids of its group and its guesses,
 deflated, with their own crc32, and lists in `ids` the documents that begin after the last head: `doc_id`, `n`.
 Blocks know nothing of each other: each starts from the same state, so any block can be read with its group's head alone.
 
-Model of a block.  A table holds the id that last followed the last id (order 1) and the last two ids (order 2), each with a
-confidence from 0 to 3.  How much weight each prediction gets is learned: for every pair of confidences, the adaptive shares of
-"order 2 right", "order 1 right", "neither" are the mixing weights.  If neither is right, the order-0 model codes the id by its count in the
-group.  Both choices narrow a carry-propagating range coder once, with 64-bit state and 32-bit words.  Blocks are coded side by side, one
-vector operation for all blocks of a group at a time.
+Model of a block.  Two tables of its group, of which the head has the entries that were met often enough, hold the id that follows the last id
+(order 1) and the last two ids (order 2) most often, each with a confidence from 0 to 3: how often it does.  How much weight each prediction gets
+is learned within the block: for every pair of confidences, the adaptive shares of "order 2 right", "order 1 right", "neither" are the
+mixing weights.  If neither is right, the order-0 model codes the id by its count in the group.  Both choices narrow a carry-propagating range
+coder once, with 64-bit state and 32-bit words.  Blocks are coded side by side, one vector operation for all blocks of a group at a time; the
+writer, who has all ids, looks guesses up for many steps at once.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import arrow_map, buffers, chunks, scratch, slim
 from .pretokens import starts
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
-BLOCK, LANES, SLOTS = 4096, 2048, 1 << 8
+BLOCK, LANES, LONGEST = 1024, 8192, 4096
 #: Bytes of texts that are tokenised at once (a longer text stands alone), and how many of their pieces are.
 TEXTS, CHUNK = 1 << 22, 1 << 21
 #: Pieces that the library is given in one text.
@@ -41,50 +42,55 @@ JOINED = 256
 #: A choice among the three has one of _KINDS parts, LEAST at least; an id without a right guess one of _TOTAL of its own; shares move by 1/2**RATE.
 _KINDS, _TOTAL, LEAST, RATE = 1 << 12, 1 << 16, 2, 5
 _SPAN = (_KINDS - 3 * LEAST) << 4
+#: Pairs of ids share so many places for their guess; a guess needs a place met so often; steps whose guesses the writer looks up at once.
+SLOTS, OFTEN, STEPS = 1 << 16, 4, 64
 _TOP, _WORD, _PARTS, _LAST, _ALL = np.uint64(1 << 32), np.uint64(32), np.uint64(28), np.uint64((1 << 28) - 1), np.uint64((1 << 64) - 1)
-_LOW = np.uint64((1 << 32) - 1)
+_LOW, _RIGHT = np.uint64((1 << 32) - 1), np.array([[1], [2]])
 
 
-class _Model:
-    """State of all lanes.  Ids below 2**16; both sides drive it in the same order.
+def _slots(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Where the guess stands that follows two ids, of 32 bits without sign."""
+    return ((last * np.uint32(40503) + before * np.uint32(60493)) >> np.uint32(8)) & np.uint32(SLOTS - 1)
 
-    Arrays of two rows, or of 2 * lanes, hold something for order 1, then for order 2.
-    """
+
+class _Mix:
+    """Weights of all lanes; both sides drive them in the same order.  Arrays of two rows hold something for "order 2 right", then for "either right"."""
 
     def __init__(self, lanes: int):
-        self.n, self.rows = lanes, np.arange(lanes) * 16
-        self.base, self.slot = np.arange(2 * lanes) * SLOTS, np.zeros(2 * lanes, np.int64)
-        self.table = np.zeros(2 * lanes * SLOTS, np.int32)  # id * 4 + confidence
-        self.first, self.both = np.full(lanes * 16, _SPAN // 4, np.int32), np.full(lanes * 16, _SPAN // 2, np.int32)
-        self.a, self.b = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def look(self) -> None:
-        """Both guesses, and where the shares of "order 2 right" and of "order 1 right" end (`e1`, `e2`), of _KINDS parts."""
-        n, at = self.n, self.slot
-        np.bitwise_and(self.a, np.uint32(SLOTS - 1), out=at[:n])
-        np.bitwise_and((self.a * np.uint32(40503) + self.b * np.uint32(60493)) >> np.uint32(3), np.uint32(SLOTS - 1), out=at[n:])
-        at += self.base
-        self.held = self.table.take(at).reshape(2, n)
-        self.guess, self.sure = self.held >> 2, self.held & 3
-        self.at = self.rows + (self.sure[1] * 4 + self.sure[0])
-        self.l1, self.l2 = self.first.take(self.at), self.both.take(self.at)
-        self.e1, self.e2 = (self.l1 >> 4) + LEAST, (self.l2 >> 4) + 2 * LEAST
-
-    def learn(self, ids: np.ndarray, right: np.ndarray, any_: np.ndarray) -> None:
-        """`right`: which guesses were; `any_`: whether one was."""
-        self.table[self.slot] = np.where(right, self.held + (self.sure < 3), np.where(self.sure > 0, self.held - 1, ids << 2)).reshape(-1)
-        self.first[self.at] = self.l1 + ((right[1] * np.int32(_SPAN) - self.l1) >> RATE)
-        self.both[self.at] = self.l2 + ((any_ * np.int32(_SPAN) - self.l2) >> RATE)
-        self.a, self.b = ids.view(np.uint32), self.a
+        self.shares = np.repeat(np.array([_SPAN // 4, _SPAN // 2], np.int32), lanes * 16)
+        self.least, self.rows = np.array([[LEAST], [2 * LEAST]], np.int32), np.array([[0], [lanes * 16]]) + np.arange(lanes) * 16
+        self.edges = np.zeros((4, lanes), np.int32)  # of the three kinds, of _KINDS parts
+        self.edges[3], self.lane, self.n = _KINDS, np.arange(lanes), lanes
+
+    def look(self, pair: np.ndarray) -> None:
+        """`pair`: of confidences, 0 to 15."""
+        self.at = self.rows + pair
+        self.held = self.shares.take(self.at)
+        np.add(self.held >> 4, self.least, out=self.edges[1:3])
+
+    def part(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the share of each lane's kind begins (0: order 2 right, 1: order 1 right, 2: neither), and its size."""
+        at = self.lane + kind * np.int64(self.n)
+        low = self.edges.take(at)
+        return low, self.edges.take(at + self.n) - low
+
+    def learn(self, kind: np.ndarray) -> None:
+        self.shares[self.at] = self.held + (((kind < _RIGHT) * np.int32(_SPAN) - self.held) >> RATE)
 
 
 class Shares:
-    """The order-0 model of a group of blocks: each id's share of 2**16, by its count in the group; without counts, one part each."""
+    """What a group of blocks knows: each id's share of 2**16, by its count in the group (without counts, one part each), and its guesses.
 
-    def __init__(self, size: np.ndarray | None = None):
+    `guess`: id * 4 + confidence that follows each id, then that of each place of pairs; where there is none, an id is to follow itself, and a pair 0.
+    """
+
+    NONE = np.append(np.arange(_TOTAL, dtype=np.int32) << 2, np.zeros(SLOTS, np.int32))
+
+    def __init__(self, size: np.ndarray | None = None, guess: np.ndarray | None = None):
         self.size = np.ones(_TOTAL, np.int64) if size is None else size.astype(np.int64)
         if len(self.size) != _TOTAL or self.size.sum() != _TOTAL:
             raise ValueError(f"shares of {_TOTAL} ids must sum to {_TOTAL}")
+        self.guess = self.NONE if guess is None else guess
         # one more part and id stand for a right guess: it takes the whole of its choice
         whole = np.append(self.size, _TOTAL).astype(np.int32)
         self.whole, self.start = whole, np.append(np.cumsum(self.size) - self.size, 0).astype(np.int32)
@@ -100,14 +106,38 @@ class Shares:
             return cls()
         size = (counts > 0) + counts * (_TOTAL - np.count_nonzero(counts)) // counts.sum()
         size[counts.argmax()] += _TOTAL - size.sum()
-        return cls(size)
+        ids, guess = ids.astype(np.uint32), cls.NONE.copy()
+        cls._most(ids[:-1], ids[1:], guess[:_TOTAL])
+        cls._most(_slots(ids[1:-1], ids[:-2]), ids[2:], guess[_TOTAL:])
+        return cls(size, guess)
+
+    @staticmethod
+    def _most(place: np.ndarray, after: np.ndarray, guess: np.ndarray) -> None:
+        """For each place met at least OFTEN times the id most often after it, by how large a part: under 1/8, 1/4, 1/2, or more."""
+        if not len(place):
+            return
+        pairs = np.sort(place << np.uint32(16) | after)
+        begin = np.concatenate(([0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1, [len(pairs)]))
+        pairs, n = pairs[begin[:-1]], begin[1:] - begin[:-1]
+        begin = np.append(0, np.flatnonzero((pairs[1:] ^ pairs[:-1]) >= _TOTAL) + 1)
+        pairs = pairs.astype(np.int64)
+        every, best = np.add.reduceat(n, begin), np.maximum.reduceat(n << 16 | pairs & 0xFFFF, begin)
+        most = best >> 16
+        sure = (8 * most >= every) * 1 + (4 * most >= every) + (2 * most >= every)
+        often = every >= OFTEN
+        guess[(pairs[begin] >> 16)[often]] = ((best & 0xFFFF) << 2 | sure)[often]
 
     def dump(self) -> bytes:
-        return zlib.compress(self.size.astype("<u4").tobytes(), 1)
+        sure, ids = self.guess & 3, (self.guess >> 2) - (self.NONE >> 2) & 0xFFFF
+        return zlib.compress(self.size.astype("<u4").tobytes() + ids.astype("<u2").tobytes() + sure.astype(np.uint8).tobytes(), 1)
 
     @classmethod
     def load(cls, data: bytes) -> Shares:
-        return cls(np.frombuffer(zlib.decompress(data), "<u4"))
+        data, n = zlib.decompress(data), len(cls.NONE)
+        if len(data) != 4 * _TOTAL + 3 * n:
+            raise ValueError("a head of another length")
+        ids = (np.frombuffer(data, "<u2", n, 4 * _TOTAL) + (cls.NONE >> 2)) & 0xFFFF
+        return cls(np.frombuffer(data, "<u4", _TOTAL), (ids << 2 | np.frombuffer(data, np.uint8, n, 4 * _TOTAL + 2 * n)).astype(np.int32))
 
 
 class _Out:
@@ -158,36 +188,38 @@ def _running(sizes: list[int]) -> np.ndarray:
 
 
 def pack(blocks: list[np.ndarray], shares: Shares | None = None) -> list[bytes]:
-    """Payloads of blocks of at most BLOCK ids.  Longer blocks come first within a batch, so that lanes that have ended are the last."""
+    """Payloads of blocks of at most LONGEST ids.  Longer blocks come first within a batch, so that lanes that have ended are the last."""
     shares = shares or Shares()
     out: list[bytes] = [b""] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda k: -len(blocks[k]))
-    if blocks and len(blocks[order[0]]) > BLOCK:
-        raise ValueError(f"blocks hold {BLOCK} ids at most")
+    if blocks and len(blocks[order[0]]) > LONGEST:
+        raise ValueError(f"blocks hold {LONGEST} ids at most")
     for i in range(0, len(order), LANES):
         part = order[i : i + LANES]
         most = len(blocks[part[0]])
         fill = int(shares.size.argmax())  # of lanes that have ended
-        ids = np.full((most, len(part)), fill, np.int32)
+        ids = np.full((most + 2, len(part)), fill, np.int32)
+        ids[:2] = 0  # before the first
         for k, p in enumerate(part):
             if len(b := blocks[p]) and (b.min() < 0 or b.max() >= _TOTAL):
                 raise ValueError("ids must be in 0 to 65535")
             if not shares.size[b].all():
                 raise ValueError("an id without a share")
-            ids[: len(b), k] = b
-        m, o = _Model(len(part)), _Out(len(part))
+            ids[2 : len(b) + 2, k] = b
+        m, o = _Mix(len(part)), _Out(len(part))
         live = _running([len(blocks[p]) for p in part]).tolist()
-        for t in range(most):
-            x = ids[t]
-            m.look()
-            right = m.guess == x
-            one, two = right
-            any_ = one | two
-            low = np.where(two, 0, np.where(one, m.e1, m.e2))
-            part_ = np.where(two, m.e1, np.where(one, m.e2, _KINDS) - low)
-            own = np.where(any_, _TOTAL, x)
-            o.put((low << 16) + part_ * shares.start.take(own), part_ * shares.whole.take(own), live[t])
-            m.learn(x, right, any_)
+        for t in range(0, most, STEPS):
+            x = ids[t + 2 : min(t + STEPS, most) + 2]
+            last, before = (ids[t + k : t + k + len(x)].view(np.uint32) for k in (1, 0))
+            one, two = shares.guess.take(last), shares.guess.take(_slots(last, before) + np.uint32(_TOTAL))
+            kind = np.where(two >> 2 == x, 0, np.where(one >> 2 == x, 1, 2))
+            own = np.where(kind < 2, _TOTAL, x)
+            start, whole, pair = shares.start.take(own), shares.whole.take(own), (two & 3) * 4 + (one & 3)
+            for k in range(len(x)):
+                m.look(pair[k])
+                low, part_ = m.part(kind[k])
+                o.put((low << 16) + part_ * start[k], part_ * whole[k], live[t + k])
+                m.learn(kind[k])
         for p, payload in zip(part, o.ends(), strict=True):
             out[p] = payload
     return out
@@ -225,21 +257,25 @@ def unpack(payloads: list[bytes], sizes: list[int], shares: Shares | None = None
     for i in range(0, len(order), LANES):
         part = order[i : i + LANES]
         most = sizes[part[0]]
-        m, src = _Model(len(part)), _In([payloads[p] for p in part])
+        m, src = _Mix(len(part)), _In([payloads[p] for p in part])
         ids = np.zeros((most, len(part)), np.int32)
+        last, before, at = np.zeros(len(part), np.uint32), np.zeros(len(part), np.uint32), np.zeros((2, len(part)), np.int64)
         for t in range(most):  # lanes that have ended run on, over zeros, and nothing reads what they give
-            m.look()
+            at[0] = last
+            np.add(_slots(last, before), _TOTAL, out=at[1])
+            held = shares.guess.take(at)
+            (one, two), sure = held >> 2, held & 3
+            m.look(sure[1] * 4 + sure[0])
             v = src.peek()
-            kind = v >> 16
-            two, any_ = kind < m.e1, kind < m.e2
-            low = np.where(two, 0, np.where(any_, m.e1, m.e2))
-            part_ = np.where(two, m.e1, np.where(any_, m.e2, _KINDS) - low)
-            first = low << 16
+            past1, past2 = (v >> 16 >= m.edges[1:3]).view(np.int8)
+            kind = past1 + past2
+            low, part_ = m.part(kind)
+            first, any_ = low << 16, kind < 2
             new = shares.owner.take(np.where(any_, _TOTAL, ((v - first) / part_).astype(np.int64)))  # 28 bits by 12: exact
             src.take(first + part_ * shares.start.take(new), part_ * shares.whole.take(new))
-            x = ids[t] = np.where(two, m.guess[1], np.where(any_, m.guess[0], new))
-            right = m.guess == x
-            m.learn(x, right, any_)
+            x = ids[t] = np.where(any_, np.where(kind < 1, two, one), new)
+            m.learn(kind)
+            last, before = x.view(np.uint32), last
         for k, p in enumerate(part):
             out[p] = ids[: sizes[p], k].copy()
     return out
@@ -407,7 +443,7 @@ def write(docs: DataFrame, where: str, path: str | None = None, parts: int | Non
             held, size = [flat[n:].copy()], len(flat) - n
             for i in range(0, len(cut), LANES):
                 group = cut[i : i + LANES]
-                shares = Shares.of(np.concatenate(group))
+                shares = Shares.of(flat[i * BLOCK : min((i + LANES) * BLOCK, n)])
                 rows = [shares.dump(), *pack(group, shares)]
                 docs_ = [own] + [[]] * len(group)
                 yield pa.RecordBatch.from_arrays(

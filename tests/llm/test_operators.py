@@ -475,6 +475,34 @@ def test_blocks_share_their_groups_counts():
     assert np.frombuffer(out.ends()[0], "<u4")[:3].tolist() == [8, 0, 0]
 
 
+def test_guesses_of_a_group():
+    """What most often follows each id and pair, by a dictionary; they go through a head, and let blocks of a text with order take less."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 40, 6000) ** 2
+    ids[1::3] = ids[::3] + 1
+    shares, after = token_store.Shares.of(ids), defaultdict(lambda: defaultdict(int))
+    for a, b, c in zip([None, *ids.tolist()], ids.tolist(), ids[1:].tolist()):
+        after[b][c] += 1
+        if a is not None:
+            after[65_536 + int(token_store._slots(np.array([b], np.uint32), np.array([a], np.uint32))[0])][c] += 1
+    for at in range(131_072):
+        n = sum((found := after.get(at, {})).values())
+        if n < token_store.OFTEN:
+            assert shares.guess[at] == (at * 4 if at < 65_536 else 0)
+        else:
+            part = found[int(shares.guess[at]) >> 2] / n
+            assert part == max(found.values()) / n and shares.guess[at] & 3 == (part >= 1 / 8) + (part >= 1 / 4) + (part >= 1 / 2)
+    again = token_store.Shares.load(shares.dump())
+    assert np.array_equal(again.guess, shares.guess) and np.array_equal(again.size, shares.size)
+    with pytest.raises(ValueError, match="length"):
+        token_store.Shares.load(zlib.compress(bytes(9)))
+    blocks = [ids[i : i + 1000] for i in range(0, 6000, 1000)]
+    packed = token_store.pack(blocks, shares)
+    assert sum(map(len, packed)) < 0.8 * sum(map(len, token_store.pack(blocks, token_store.Shares(shares.size))))
+    got = token_store.unpack(packed, [1000] * 6, again)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, got, strict=True))
+
+
 def test_store_of_several_groups(spark, docs, tmp_path, monkeypatch):
     """Groups of two blocks of 64 ids: documents run over blocks and groups, and come back whole."""
     monkeypatch.setattr(token_store, "LANES", 2)
