@@ -16,6 +16,7 @@ writer, who has all ids, looks guesses up for many steps at once.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -43,14 +44,18 @@ JOINED = 256
 _KINDS, _TOTAL, LEAST, RATE = 1 << 12, 1 << 16, 2, 5
 _SPAN = (_KINDS - 3 * LEAST) << 4
 #: Pairs of ids share so many places for their guess; a guess needs a place met so often; steps whose guesses the writer looks up at once.
-SLOTS, OFTEN, STEPS = 1 << 16, 4, 64
+SLOTS, OFTEN, STEPS = 1 << 16, 4, 16
 _TOP, _WORD, _PARTS, _LAST, _ALL = np.uint64(1 << 32), np.uint64(32), np.uint64(28), np.uint64((1 << 28) - 1), np.uint64((1 << 64) - 1)
 _LOW, _RIGHT = np.uint64((1 << 32) - 1), np.array([[1], [2]])
 
 
 def _slots(last: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Where the guess stands that follows two ids, of 32 bits without sign."""
-    return ((last * np.uint32(40503) + before * np.uint32(60493)) >> np.uint32(8)) & np.uint32(SLOTS - 1)
+    out = last * np.uint32(40503)
+    out += before * np.uint32(60493)
+    out >>= np.uint32(8)
+    out &= np.uint32(SLOTS - 1)
+    return out
 
 
 class _Mix:
@@ -106,7 +111,7 @@ class Shares:
             return cls()
         size = (counts > 0) + counts * (_TOTAL - np.count_nonzero(counts)) // counts.sum()
         size[counts.argmax()] += _TOTAL - size.sum()
-        ids, guess = ids.astype(np.uint32), cls.NONE.copy()
+        ids, guess = ids.astype(np.uint32, copy=False), cls.NONE.copy()
         cls._most(ids[:-1], ids[1:], guess[:_TOTAL])
         cls._most(_slots(ids[1:-1], ids[:-2]), ids[2:], guess[_TOTAL:])
         return cls(size, guess)
@@ -116,7 +121,9 @@ class Shares:
         """For each place met at least OFTEN times the id most often after it, by how large a part: under 1/8, 1/4, 1/2, or more."""
         if not len(place):
             return
-        pairs = np.sort(place << np.uint32(16) | after)
+        pairs = place << np.uint32(16)
+        pairs |= after
+        pairs.sort()
         begin = np.concatenate(([0], np.flatnonzero(pairs[1:] != pairs[:-1]) + 1, [len(pairs)]))
         pairs, n = pairs[begin[:-1]], begin[1:] - begin[:-1]
         begin = np.append(0, np.flatnonzero((pairs[1:] ^ pairs[:-1]) >= _TOTAL) + 1)
@@ -282,7 +289,7 @@ def unpack(payloads: list[bytes], sizes: list[int], shares: Shares | None = None
 
 
 class Known:
-    """Ids of the pieces met so far, one after another in one array; all are forgotten once there are over `most`, or they hold over `room` bytes."""
+    """Ids of the pieces met so far, one after another in one array; most are forgotten once there are over `most`, or they hold over `room` bytes."""
 
     def __init__(self, path: str, most: int = 700_000, room: int = 1 << 25):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -310,34 +317,45 @@ class Known:
     def clear(self) -> None:
         """Place 0 is that of END."""
         self.at: dict[bytes, int] = {}
-        self.first, self.size, self.ids, self.held = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END], "<u4"), 0
+        self.first, self.size, self.ids, self.met, self.held = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END], "<u4"), np.zeros(1, np.int32), 0
         for token in self.added:
             self._add([token.encode()], np.array([self.lib.token_to_id(token)], "<u4"), np.ones(1, np.int64))
 
     def trim(self) -> None:
-        if len(self.at) > self.most or self.held > self.room:
-            self.clear()
+        """Only pieces that were asked for twice or more stay, if they are no more than half."""
+        if len(self.at) <= self.most and self.held <= self.room:
+            return
+        kept = np.flatnonzero(self.met[1:] > 1) + 1
+        pieces, size = list(self.at), self.size[kept]  # in the order of their places
+        ids = self.ids[np.repeat(self.first[kept] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        pieces = [pieces[k - 1] for k in kept.tolist()]
+        self.clear()
+        if 2 * len(pieces) <= self.most and 2 * (sum(map(len, pieces)) + 4 * len(ids)) <= self.room:
+            new = [k for k, x in enumerate(pieces) if x not in self.at]  # tokens are there again
+            if len(new) < len(pieces):
+                stay = np.zeros(len(pieces), bool)
+                stay[new] = True
+                ids, size, pieces = ids[np.repeat(stay, size)], size[stay], [pieces[k] for k in new]
+            self._add(pieces, ids, size)
 
     def _add(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         self.at.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces)), strict=True))
         self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+        self.met = np.append(self.met, np.zeros(len(pieces), np.int32))
         self.size, self.ids, self.held = np.append(self.size, size), np.append(self.ids, ids), self.held + sum(map(len, pieces)) + 4 * len(ids)
 
     def places(self, pieces: pa.Array) -> np.ndarray:
         """Where each of these different pieces stands."""
         ends, data = buffers(pieces)
         ends, data = ends.tolist(), bytes(data)
-        keys = [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
-        got = list(map(self.at.get, keys))
-        if None in got:
-            new = [k for k, x in enumerate(got) if x is None]
-            asked = [keys[k] for k in new]
-            n = len(self.size)
+        keys = [data[i:j] for i, j in itertools.pairwise(ends)]
+        out = np.fromiter(map(self.at.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        if (new := np.flatnonzero(out < 0)).size:
+            asked = [keys[k] for k in new.tolist()]
+            out[new] = np.arange(len(new)) + len(self.size)
             self._add(asked, *self._encode(asked))
-            out = np.array([-1 if x is None else x for x in got], np.int64)
-            out[new] = np.arange(n, n + len(new))
-            return out
-        return np.array(got, np.int64)
+        self.met[out] += 1
+        return out
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has: its bytes end where those of its last id end."""

@@ -589,6 +589,13 @@ def test_known_pieces_are_bounded_and_whole(tmp_path):
             ids, sizes = token_store.encoded(pa.array(texts), cache, added, end=True)
             assert ids.tolist() == [x for w in want for x in [*w, token_store.END]] and sizes.tolist() == [len(w) + 1 for w in want]
             assert len(cache.at) < 20
+    cache, texts = token_store.Known(path, most=60), ["all of these words stay, as they come again"]
+    want = Tokenizer.from_file(path).encode(texts[0], add_special_tokens=False).ids
+    added = token_store.Added(path)
+    for k in range(40):
+        assert token_store.encoded(pa.array(texts), cache, added)[0].tolist() == want
+        token_store.encoded(pa.array([" ".join(f"n{chr(97 + k % 26)}{chr(97 + i)}{'q' * (k // 26)}" for i in range(20))]), cache, added)
+        assert b" again" in cache.at and b"<|endoftext|>" in cache.at and len(cache.at) < 100 and cache.met.shape == cache.size.shape == (len(cache.at) + 1,)
 
 
 def test_store(spark, docs, none, tmp_path):
